@@ -35,8 +35,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        special = [regex.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join([r"\s (?:\s|$)", *special]))
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
+        self.run = regex.compile(r"\s (?:\s|$)").search
         self.pretoken = regex.compile(public_tokenizers.PATTERN).findall
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte = [""] * 256
@@ -56,12 +57,23 @@ class Encoder:
         return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], self.kind).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.word[w] for w in self.pretoken(chunk)])
+        """Ids of a space and what follows it up to the next space."""
+        if chunk.isalpha():
+            return self.word[" " + chunk]
+        if chunk[:-1].isalpha() and not (chunk[-1].isnumeric() or chunk[-1].isspace()):
+            return self.word[" " + chunk[:-1]] + self.word[chunk[-1]]
+        return b"".join([self.word[w] for w in self.pretoken(" " + chunk)])
+
+    def whole(self, text: str) -> bool:
+        """Whether a cut at a space could fall inside one of the pre-tokenizer's pieces."""
+        spaces = "  " in text or "\n " in text or any(c in text for c in self.odd)
+        return spaces and bool(self.run(text)) or any(x in text for x in self.special)
 
     def __call__(self, text: str) -> bytes:
-        if self.whole.search(text):
+        if self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.chunk.__getitem__, text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]))
+        first, *rest = text.split(" ")
+        return b"".join([*map(self.word.__getitem__, self.pretoken(first)), *map(self.chunk.__getitem__, rest)])
 
 
 class _Cache(dict):
@@ -173,7 +185,7 @@ def pack(
     """
     ids = scratch.save(tokens(docs, tokenizer, end_id, queues))
     filled = ids.groupBy("queue", "part").agg(F.sum("n").alias("total"))
-    base = filled.select("queue", "part", (F.sum("total").over(W.partitionBy("queue").orderBy("part")) - F.col("total")).alias("base"))
+    base = scratch.save(filled.select("queue", "part", (F.sum("total").over(W.partitionBy("queue").orderBy("part")) - F.col("total")).alias("base")))
     totals = sorted((r.queue, r.total) for r in filled.groupBy("queue").agg(F.sum("total").alias("total")).collect())
     names, sizes = [q for q, _ in totals], np.array([t for _, t in totals], np.int64)
     window = sequence_tokens * window_sequences
