@@ -80,6 +80,8 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _SHINGLE = _rng.integers(1, 2**64, 5, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and all other ASCII that is neither letter nor digit.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = 0xD1342543DE82EF95
 _powers: dict[str, np.ndarray] = {}
 #: Bytes of text that are hashed at once.
@@ -128,21 +130,22 @@ def offsets(column: pa.Array) -> np.ndarray:
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts: row, 64-bit hash (A-Z lower-cased), byte span."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, space: np.ndarray = _SPACE):
         ends = offsets(column)
         low, high = int(ends[0]), int(ends[-1])
         raw = column.buffers()[2] if len(column) else None
         self.data = np.frombuffer(raw, np.uint8)[low:high] if raw is not None and high > low else np.zeros(0, np.uint8)
         self.edges = ends - low
         n = high - low
-        black = ~_SPACE[self.data]
+        black = ~space[self.data]
         first = np.zeros(n + 1, bool)
         first[self.edges] = True
         self.start = np.flatnonzero(black & (first[:-1] | np.concatenate(([True], ~black[:-1]))[:n]))
         self.end = np.flatnonzero(black & (first[1:] | np.concatenate((~black[1:], [True]))[:n])) + 1
         up, down = _power(n)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[self.data] * up[:n], dtype=np.uint64)))
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + _ODD)
+        span = lambda end: mix((total[end] - total[self.start]) * down[self.start] + _ODD)
+        self.hash, self.prefix = span(self.end), lambda size: span(np.minimum(self.end, self.start + size))
         self.first = np.searchsorted(self.start, self.edges)  # of each row, and the end
         self.row = np.repeat(np.arange(len(column)), np.diff(self.first))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, quality, toxicity, urls, warc
 from .common import Scratch
 
 
@@ -22,6 +23,37 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark), tokenizer_file())
 
 
-QUERIES = {"op10_packing": op10_packing}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
 
-ORACLES: dict[str, str] = {}
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    found = warc.archive(table(spark, sf_dir, "pages"), scratch, scratch.path(), payload=False)
+    return found.select(
+        F.col("metadata.page_id").alias("page_id"),
+        *(F.col(f"response.{c}").alias(c) for c in ("payload_bytes", "payload_digest", "record_type", "refers_to")),
+    )
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), Scratch(spark))
+
+
+QUERIES = {"op4_warc": op4_warc, "op5_urls": op5_urls, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing}
+
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, COALESCE(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, MIN(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT d.page_id, payload_bytes, payload_digest,
+          CASE WHEN first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN first < d.page_id THEN first END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)
+    """,
+}
