@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality, rules, toxicity, urls, warc
+from . import decontaminate, licenses, lines, packing, quality, rules, toxicity, urls, warc
 from .common import Scratch
 
 
@@ -52,7 +52,15 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
-QUERIES = {"op2_rules": op2_rules, "op7_licenses": op7_licenses, "op4_warc": op4_warc, "op5_urls": op5_urls, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op8_lines": op8_lines, "op2_rules": op2_rules, "op7_licenses": op7_licenses, "op4_warc": op4_warc, "op5_urls": op5_urls, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing}
 
 ORACLES: dict[str, str] = {
     "op2_rules": rules.SQL,
