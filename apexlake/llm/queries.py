@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, packing, quality, rules, toxicity, urls, warc
+from . import decontaminate, jaccard, licenses, lines, packing, quality, rules, toxicity, urls, warc
 from .common import Scratch
 
 
@@ -60,7 +60,11 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op8_lines": op8_lines, "op2_rules": op2_rules, "op7_licenses": op7_licenses, "op4_warc": op4_warc, "op5_urls": op5_urls, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing}
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+QUERIES = {"op6_jaccard": op6_jaccard, "op1_decontamination": op1_decontamination, "op8_lines": op8_lines, "op2_rules": op2_rules, "op7_licenses": op7_licenses, "op4_warc": op4_warc, "op5_urls": op5_urls, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing}
 
 ORACLES: dict[str, str] = {
     "op2_rules": rules.SQL,
