@@ -71,11 +71,11 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(x[:, None] - self.cuts, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int = 10_000, vocabulary: int = 2048, least_z: float = 4.0, grades: int = 3) -> Ordinal | None:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int = 10_000, vocabulary: int = 2048, least_z: float = 5.5, grades: int = 3) -> Ordinal | None:
     """Fit on at most ``sample_rows`` labelled rows of each class, those with the smallest hashes of doc_id.
 
-    Features are the words and beginnings of words whose document counts differ most between the classes, at least by
-    ``least_z`` standard errors, ``vocabulary`` at most. Labels say only toxic or not, so the grade of a
+    Features are the words and beginnings of words whose document counts differ most between the classes, by the
+    signed root of the likelihood ratio, at least ``least_z``, ``vocabulary`` at most. Labels say only toxic or not, so the grade of a
     toxic row comes from the number of its toxic words: of the sampled toxic rows that have any, the
     thirds are grades 1 to 3; toxic rows without any have grade 1, other rows 0. Of near copies (equal
     least shingle) one row counts, so that a group of copies makes no features. None without both classes.
@@ -90,8 +90,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int =
     of = {r.toxic: r.n for r in found.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     if len(of) < 2:
         return None
-    p1, p0 = (F.col("a") + 0.5) / (of[1] + 1), (F.col("b") + 0.5) / (of[0] + 1)
-    z = (F.log(p1) - F.log(p0)) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    term = lambda seen, share: F.when(seen > 0, seen * F.log(seen / ((F.col("a") + F.col("b")) * F.lit(share)))).otherwise(0.0)
+    share = of[1] / (of[0] + of[1])
+    z = F.signum(F.col("a") / of[1] - F.col("b") / of[0]) * F.sqrt(F.greatest(F.lit(0.0), 2 * (term(F.col("a"), share) + term(F.col("b"), 1 - share))))
     words = found.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     words = scratch.save(words.where("a + b >= 5").withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "word").limit(vocabulary).select("word", "z"))
     strength = {r.word: r.z for r in words.collect()}
