@@ -43,10 +43,18 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.expr(cover)).drop("w", "bits", "sorted", "mask", "starts")
 
 
+def normal(line: F.Column) -> F.Column:
+    """Lower-case, runs of white space as one space, none around; the pattern runs only where it must."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, SPACES, " ")).otherwise(line)))
+
+
 def line_rows(rows: DataFrame) -> DataFrame:
     """(host, doc_id, body, line, words): each line with a word, as the hash of its normalised form."""
     lines = rows.select("host", "doc_id", "body", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace(F.lower("line"), SPACES, " "))).where("line <> ''")
+    lines = lines.withColumn("line", normal(F.col("line"))).where("line <> ''")
     return lines.select("host", "doc_id", "body", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("words"))
 
 
