@@ -139,9 +139,8 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, percent: int)
         for batch in batches:
             keep = []
             for at in range(0, batch.num_rows, 200):
-                one, two = (strings(batch.column(k)[at : at + 200]) for k in (2, 3))
-                for i in range(len(one)):
-                    x, y = (Words(c.slice(i, 1)).shingles()[0] for c in (one, two))
+                one, two = ([s for low, high in slices(c) for s in Words(c.slice(low, high - low)).shingles()] for c in (strings(batch.column(k)[at : at + 200]) for k in (2, 3)))
+                for x, y in zip(one, two):
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
             good = pa.array(keep, pa.bool_())
@@ -151,23 +150,45 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, percent: int)
     return scratch.save(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def _near(docs: DataFrame, scratch: Scratch, walks: int) -> DataFrame:
-    """Pairs to begin with: classes that share a least shingle lie in one leaf, and meet its first class."""
+def _leaves(docs: DataFrame, scratch: Scratch, walks: int) -> DataFrame:
+    """(walk, leaf, cls): classes that share a least shingle under a walk's order lie in one leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, kinds = [], {"leaf": pa.int64(), "cls": pa.int64()}
+        rows, kinds = [], {"walk": pa.int32(), "leaf": pa.int64(), "cls": pa.int64()}
         salts = mix(np.arange(1, walks + 1, dtype=np.uint64))
         for _, key, s, _, _ in _sets(batches):
             if len(s):
-                rows += [(int(signed(mix(np.array([mix(s ^ salt).min() ^ salt])))[0]), key) for salt in salts]
+                least = signed(np.array([mix(s ^ salt).min() for salt in salts]))
+                rows += [(k, leaf, key) for k, leaf in enumerate(least.tolist())]
             if len(rows) >= 5000:
                 yield _columns(kinds, rows)
                 rows = []
         yield _columns(kinds, rows)
 
-    leaves = scratch.save(docs.mapInArrow(run, "leaf long, cls long"))
-    first = scratch.save(leaves.groupBy("leaf").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first < last").select("leaf", "first"))
-    return scratch.save(leaves.join(first, "leaf").where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct())
+    leaves = scratch.save(docs.mapInArrow(run, "walk int, leaf long, cls long"))
+    ends = scratch.save(leaves.groupBy("walk", "leaf").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high"))
+    out = scratch.save(leaves.join(ends, ["walk", "leaf"]))
+    scratch.drop(leaves)
+    return out
+
+
+def _near(docs: DataFrame, scratch: Scratch, percent: int, walks: int) -> tuple[DataFrame, DataFrame]:
+    """Links to begin with, and their components.
+
+    The members of a leaf meet its least class; then those not joined up meet the least and the greatest
+    classes of all their leaves, so that a group of near copies is one component but for a few.
+    """
+    leaves = _leaves(docs, scratch, walks)
+    pair = lambda rows, end: rows.where(f"cls <> {end}").select(F.least("cls", end).alias("a"), F.greatest("cls", end).alias("b"))
+    links = verified(scratch.save(pair(leaves.where("walk < 2"), "low").distinct()), docs, scratch, percent)
+    comps = scratch.save(components(links, scratch))
+    pairs = scratch.save(pair(leaves, "low").unionByName(pair(leaves, "high")).distinct())
+    scratch.drop(leaves)
+    root = lambda end: comps.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    more = verified(scratch.save(apart.select("a", "b")), docs, scratch, percent)
+    links = scratch.save(links.unionByName(more))
+    return links, scratch.save(components(links, scratch))
 
 
 def _entries(docs: DataFrame, often: np.ndarray, percent: int, scratch: Scratch, bitmap: np.ndarray | None) -> DataFrame:
@@ -242,14 +263,14 @@ def candidates(entries: DataFrame, percent: int, scratch: Scratch, leaf: int = 1
     return scratch.save(found.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct())
 
 
-def join(docs: DataFrame, scratch: Scratch, percent: int = 80, walks: int = 2) -> DataFrame:
+def join(docs: DataFrame, scratch: Scratch, percent: int = 80, walks: int = 6) -> DataFrame:
     """Similarity join of whole texts: (doc_id, n_shingles, component_id).
 
     A document's set is that of its distinct shingles of five words (A-Z lower-cased); two documents link
     when 100 * intersection >= percent * union. component_id is the smallest doc_id that links lead to.
 
-    Equal sets are one class. First, classes in one leaf of least shingles meet its first class, which
-    joins up groups of near copies. Then a forest of signature trees finds all other links: similar sets
+    Equal sets are one class. First, classes in one leaf of least shingles meet its least and greatest
+    class, which joins up groups of near copies. Then a forest of signature trees finds all other links: similar sets
     share a shingle of their prefix, so a tree stands below each prefix shingle whose classes aren't all
     joined up yet, and pairs of its nodes are ruled out by bitmaps, sizes and components. All that is left
     is compared exactly. Frequent shingles come last in prefixes, by counters of fixed size over all texts.
@@ -271,8 +292,7 @@ def join(docs: DataFrame, scratch: Scratch, percent: int = 80, walks: int = 2) -
     rows = profile.where("part is null").drop("part", "counts")
     classes = scratch.save(rows.where("n > 0").groupBy("cls").agg(*(F.any_value(c).alias(c) for c in ("n", *_BITS))))
 
-    links = verified(_near(docs, scratch, walks), docs, scratch, percent)
-    comps = scratch.save(components(links, scratch))
+    links, comps = _near(docs, scratch, percent, walks)
 
     live = _entries(docs, often, percent, scratch, None).groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
     live = scratch.save(live.where("low < high").select("token"))
