@@ -23,6 +23,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        # Rows are whole documents; batches of the usual length would hold tens of MB of text for each task.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
         self.spark, self.top, self.paths = spark, f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}", 0
 
     def path(self) -> str:
@@ -85,7 +87,7 @@ PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = 0xD1342543DE82EF95
 _powers: dict[str, np.ndarray] = {}
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

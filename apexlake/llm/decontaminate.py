@@ -149,6 +149,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, least_wor
     them anywhere; of repeated item_ids with other texts each counts. Null, empty texts: no matches.
     Repeated documents: a row each. Empty tables: no rows. Other columns are ignored.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     items = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
     blocks = max(1, -(-items.count() // block))

@@ -89,10 +89,10 @@ def _filter_of(keys: DataFrame, column: str, scratch: Scratch) -> np.ndarray:
     """A bitmap of fixed size with a bit for each key; it only lets some more pass than are keys."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << FILTER, bool)
+        packed, size = np.zeros(1 << (FILTER - 3), np.uint8), 1 << 16
         for batch in batches:
-            own[_bit(batch.column(0).to_numpy())] = True
-        packed, size = np.packbits(own), 1 << 16
+            at = _bit(batch.column(0).to_numpy())
+            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         rows = [(k, packed[k * size : (k + 1) * size].tobytes()) for k in range(len(packed) // size)]
         yield _columns({"part": pa.int32(), "bits": pa.binary()}, [r for r in rows if any(r[1])])
 
