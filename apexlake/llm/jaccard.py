@@ -36,7 +36,7 @@ def _sets(batches: Iterator[pa.RecordBatch], once: bool = True) -> Iterator[tupl
                 if once:
                     if key in seen:
                         continue
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(key)
                 yield batch.column(0)[low + i].as_py(), key, s, texts, low + i
@@ -59,15 +59,24 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(counts, s >> np.uint64(64 - COUNTERS), 1)
         if len(rows) >= 2000:
             yield _columns(kinds, rows)
-            rows, known = [], known if len(known) < 500_000 else set()
+            rows, known = [], known if len(known) < 200_000 else set()
     size = 1 << 14
     rows += [(None, None, None, *[None] * SIGNATURE, k, counts[k * size : (k + 1) * size].astype("<i8").tobytes()) for k in range(len(counts) // size)]
     yield _columns(kinds, rows)
 
 
-def _add_counts(pdf):
-    total = np.sum([np.frombuffer(x, "<i8") for x in pdf["counts"]], axis=0)
-    return pdf[["part"]].head(1).assign(counts=total.astype("<i8").tobytes())
+def _merged(rows: DataFrame, column: str, kind: str, add) -> list:
+    """Blocks (part, bytes) of all tasks, those of one part merged where they meet, element by element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(block.as_buffer(), kind)
+                whole[part] = add(whole[part], own) if part in whole else own.copy()
+        yield _columns({"part": pa.int32(), column: pa.binary()}, [(k, x.tobytes()) for k, x in whole.items()])
+
+    return rows.select("part", column).repartition("part").mapInArrow(run, f"part int, {column} binary").collect()
 
 
 def _prefix(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
@@ -96,11 +105,7 @@ def _filter_of(keys: DataFrame, column: str, scratch: Scratch) -> np.ndarray:
         rows = [(k, packed[k * size : (k + 1) * size].tobytes()) for k in range(len(packed) // size)]
         yield _columns({"part": pa.int32(), "bits": pa.binary()}, [r for r in rows if any(r[1])])
 
-    def join(pdf):
-        both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]])
-        return pdf[["part"]].head(1).assign(bits=both.tobytes())
-
-    got = keys.select(column).mapInArrow(bits, "part int, bits binary").groupBy("part").applyInPandas(join, "part int, bits binary").collect()
+    got = _merged(keys.select(column).mapInArrow(bits, "part int, bits binary"), "bits", "u1", np.bitwise_or)
     out = np.zeros((1 << FILTER) // 8, np.uint8)
     for r in got:
         out[r.part << 16 : (r.part + 1) << 16] = np.frombuffer(bytes(r.bits), np.uint8)
@@ -283,7 +288,7 @@ def join(docs: DataFrame, scratch: Scratch, percent: int = 80, walks: int = 6) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shape = "doc_id long, cls long, n long, " + ", ".join(f"{b} long" for b in _BITS) + ", part int, counts binary"
     profile = scratch.save(docs.mapInArrow(_profile, shape))
-    counts = profile.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(_add_counts, "part int, counts binary").collect()
+    counts = _merged(profile.where("part is not null"), "counts", "<i8", np.add)
     often = np.zeros(1 << COUNTERS, np.int64)
     for r in counts:
         part = np.frombuffer(bytes(r.counts), "<i8")
