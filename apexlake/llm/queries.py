@@ -57,7 +57,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents"), Scratch(spark))
+    return lines.dedup(table(spark, sf_dir, "documents"), Scratch(spark), least_words=1)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
