@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK walks, bit-sampling LSH over item-sized windows, exact edit distance."""
+"""Benchmark decontamination: pieces of items, one of which no passage within the edits lacks, and exact edit distance."""
 
 from __future__ import annotations
 
@@ -42,12 +42,11 @@ def edits_of(item: list[int], text: list[int], most: int) -> tuple[int, int] | N
 class Items:
     """The benchmark's items as word hashes, with the tables that windows of documents are looked up in."""
 
-    def __init__(self, ids: list[int], texts: list[str], error: float, least_words: int, walks: int, samples: int, bits: int, seed: int = 11):
-        rng = np.random.Generator(np.random.PCG64(seed))
+    def __init__(self, ids: list[int], texts: list[str], error: float, least_words: int):
         words = Words(strings(pa.array(texts, pa.string())))
         spans = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
-        self.items = [(i, s) for i, s in zip(ids, spans) if len(s) >= least_words]
-        self.most = [int(error * len(s)) for _, s in self.items]
+        self.items = [(i, s) for i, s in zip(ids, spans) if len(s)]
+        self.most = [int(error * len(s)) if len(s) >= least_words else 0 for _, s in self.items]
         self.lists = [s.tolist() for _, s in self.items]
         self.sets = [set(s) for s in self.lists]
         self.known = np.unique(np.concatenate([s for _, s in self.items])) if self.items else np.zeros(0, np.uint64)
@@ -59,42 +58,27 @@ class Items:
         for (_, s), k in zip(self.items, self.most):
             classes[int(np.log(len(s)) / np.log(1.15))].append((len(s) - k, k))
         self.windows = [(min(a for a, _ in c), max(k for _, k in c)) for c in classes.values()]
-        self.walks, self.bits = rng.integers(1, 2**64, walks, dtype=np.uint64), bits
-        self.steps = min(64, max(4, int(1.5 * min((len(s) for _, s in self.items), default=4))))
-        self.picks = rng.integers(0, self.steps, (walks, samples, bits))
-        self.used = [set(p.ravel().tolist()) for p in self.picks]
-        keys, owners = [], []
-        for number, (_, s) in enumerate(self.items):
-            own = self.keys(np.concatenate((s, np.zeros(self.steps, np.uint64))), np.zeros(1, np.int64)).ravel()
-            keys.append(own)
-            owners.append(np.full(len(own), number))
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.key, self.owner = keys[order], owners[order]
+        # One of k + 1 pieces is whole after k edits, wherever they lie: pieces by length, sorted by key.
+        pieces: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for number, ((_, s), k) in enumerate(zip(self.items, self.most)):
+            edges = [i * len(s) // (k + 1) for i in range(k + 2)]
+            for low, high in zip(edges[:-1], edges[1:]):
+                pieces[high - low].append((int(self.keys(s[low:high], high - low)[0]), number, low))
+        self.pieces = {}
+        for size, own in pieces.items():
+            own.sort()
+            self.pieces[size] = tuple(np.array(c, t) for c, t in zip(zip(*own), (np.uint64, np.int64, np.int64)))
         self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.key >> np.uint64(44)] = True
-
-    def keys(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Sampled keys of the CGK walks from each start: (starts, walks * samples).
-
-        A walk writes the word it stands on at each step and goes on by a random bit of word and step, so
-        walks over similar texts meet again after an edit and then write the same.
-        """
-        out = []
-        for w, salt in enumerate(self.walks):
-            at, wrote, turns = starts.copy(), {}, mix(h ^ salt)
-            for j in range(self.steps):
-                here = np.minimum(at, len(h) - 1)
-                if j in self.used[w]:
-                    wrote[j] = h[here]
-                at += (turns[here] >> np.uint64(j) & np.uint64(1)).astype(np.int64)
-            for s, places in enumerate(self.picks[w]):
-                key = np.full(len(starts), mix(np.array([w * 1000 + s + 1], np.uint64))[0])
-                for p in places:
-                    key = mix(key + wrote[p])
-                out.append(key)
-        return np.stack(out, axis=1) if out else np.zeros((len(starts), 0), np.uint64)
+        for key, _, _ in self.pieces.values():
+            self.seen[key >> np.uint64(44)] = True
+
+    @staticmethod
+    def keys(h: np.ndarray, size: int) -> np.ndarray:
+        """Keys of all runs of so many words."""
+        out = np.full(max(len(h) - size + 1, 0), size, np.uint64)
+        for k in range(size):
+            out = mix(out + h[k : k + len(out)])
+        return out
 
     def find(self, words: Words) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item number, first word, end, edits, words of the item): the best match of each row and item."""
@@ -112,18 +96,31 @@ class Items:
             m = n - size
             if m >= 0:
                 good[: m + 1] |= (other[size:] - other[: m + 1] <= most) & (np.arange(m + 1) + size <= last[: m + 1])
-        starts = np.flatnonzero(good)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for low in range(0, len(starts), 20_000):
-            some = starts[low : low + 20_000]
-            keys = self.keys(h, some)
-            spot = np.flatnonzero(self.seen[keys.ravel() >> np.uint64(44)])
-            own = keys.ravel()[spot]
-            first, end = np.searchsorted(self.key, own), np.searchsorted(self.key, own, "right")
-            times = end - first
-            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            pairs = np.repeat(some[spot // keys.shape[1]], times) * len(self.items) + self.owner[np.repeat(first, times) + nth]
-            for p, number in zip(*(x.tolist() for x in divmod(np.unique(pairs), len(self.items)))):
+        most_of = np.array(self.most, np.int64)
+        # A piece so far from any good start belongs to no match.
+        reach = self.longest + max(self.most) + 1
+        upto = np.concatenate(([0], np.cumsum(good)))
+        spots = np.arange(n)
+        near = upto[np.minimum(spots + max(self.most) + 1, n)] > upto[np.maximum(spots - reach, 0)]
+        for size, (key, owner, offset) in self.pieces.items():
+            own = self.keys(h, size)
+            some = np.flatnonzero(self.seen[own >> np.uint64(44)] & near[: len(own)])
+            some = some[some + size <= last[some]]
+            first, end = np.searchsorted(key, own[some]), np.searchsorted(key, own[some], "right")
+            some, first, end = (x[end > first] for x in (some, first, end))
+            tried = [np.zeros(0, np.int64)]
+            for low in range(0, len(some), 20_000):
+                times = (end - first)[low : low + 20_000]
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                hit, at = np.repeat(first[low : low + 20_000], times) + nth, np.repeat(some[low : low + 20_000], times)
+                for shift in range(-max(self.most), max(self.most) + 1):
+                    start = at - offset[hit] + shift
+                    fit = (np.abs(shift) <= most_of[owner[hit]]) & (start >= 0) & (start < n)
+                    start, number = start[fit], owner[hit][fit]
+                    fit = good[start] & (last[start] == last[at[fit]])
+                    tried.append(np.unique(start[fit] * len(self.items) + number[fit]))
+            for p, number in zip(*(x.tolist() for x in divmod(np.unique(np.concatenate(tried)), len(self.items)))):
                 item, most = self.lists[number], self.most[number]
                 text = h[p : min(p + len(item) + most, last[p])].tolist()
                 if len(text) < len(item) - most or len(self.sets[number].difference(text)) > most:
@@ -136,17 +133,18 @@ class Items:
         return [(row, number, b[1], b[2], b[0], len(self.items[number][1])) for (row, number), b in best.items()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, least_words: int = 8, walks: int = 4, samples: int = 16, bits: int = 3, block: int = 10_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, least_words: int = 8, block: int = 10_000) -> DataFrame:
     """Passages of documents that are benchmark items but for a few edits: (doc_id, item_id, start, end, edits, item_words).
 
     Every word of a whole text may start a passage. Starts whose item-sized window has more words
-    that no item has than edits are allowed cannot match and are left out; from the others, ``walks`` CGK
-    walks of ``samples`` sampled keys each look items up, and the edit distance in words decides: at most
-    ``error`` times the item's words. The best passage of each document and item is returned, words
-    counted from 0. Items are taken to the tasks in blocks of at most ``block``, a pass for each.
-
-    Items of less than ``least_words`` words, empty or null ones match nothing, as chance would find
-    them anywhere; of repeated item_ids with other texts each counts. Null, empty texts: no matches.
+    that no item has than edits are allowed cannot match and are left out. Of an item with k edits allowed,
+    one of k + 1 pieces is whole in any match, wherever the edits lie: starts around the pieces found are
+    tried, and the edit distance in words decides: at most ``error`` times the item's words. The best passage
+    of each document and item is returned, words counted from 0. Items are taken to the tasks in blocks of
+    at most ``block``, a pass for each.
+
+    Items of less than ``least_words`` words match where all their words are equal; empty or null ones match
+    nothing; of repeated item_ids with other texts each counts. Null, empty texts: no matches.
     Repeated documents: a row each. Empty tables: no rows. Other columns are ignored.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
@@ -156,7 +154,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, least_wor
     found = []
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        index = Items([r.item_id for r in own], [r.text for r in own], error, least_words, walks, samples, bits)
+        index = Items([r.item_id for r in own], [r.text for r in own], error, least_words)
 
         def run(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
