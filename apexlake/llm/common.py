@@ -3,6 +3,7 @@ union-find, and vectorised hashing of words and word shingles in Arrow batches."
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,32 +18,63 @@ class Scratch:
     """Intermediate tables, written as Parquet to the folder in ``spark.checkpoint.dir``.
 
     A written table cuts the lineage, survives lost executors and carries size statistics, so that
-    later joins broadcast it only if it is small. Only where the setting is absent (tests) a folder of
-    our own is taken.
+    later joins broadcast it only if it is small. Where the setting is absent, a session on one machine
+    takes a folder of its own; on a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession):
-        top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        # Rows are whole documents; batches of the usual length would hold tens of MB of text for each task.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-        self.spark, self.top, self.paths = spark, f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}", 0
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            top = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        self.spark, self.top, self.live = spark, f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}", []
+        self.paths = 0
 
     def path(self) -> str:
         self.paths += 1
         return f"{self.top}/{self.paths}"
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         path = self.path()
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.live.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing will read again."""
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df.scratch_path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Save df and delete all other tables."""
+        out = self.save(df)
+        for path in self.live[:-1]:
+            self._delete(path)
+        return out
+
+    def _delete(self, path: str) -> None:
+        if path in self.live:
+            self.live.remove(path)
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches by bytes while a job runs, as rows are whole documents; the caller's settings come back."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

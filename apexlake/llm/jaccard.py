@@ -12,76 +12,88 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, Words, components, mix, signed, slices, strings
 
-#: Words of 64 bits in a signature, log2 of the counters of frequent shingles, of the bits of a filter.
-SIGNATURE, COUNTERS, FILTER = 8, 20, 26
+#: Words of 64 bits in a signature, log2 of the counters of frequent shingles, least shingles kept of a set.
+SIGNATURE, COUNTERS, WALKS = 8, 20, 6
+#: Linked sets share one prefix shingle, and one more for each so many shingles of the smaller set.
+SHARED = 24
 _BITS = [f"b{i}" for i in range(SIGNATURE)]
+_SALTS = mix(np.arange(1, WALKS + 1, dtype=np.uint64))
+PROFILE = "doc_id long, body long, cls long, n long, " + ", ".join(f"{b} long" for b in _BITS) + ", least array<long>, shingles array<long>, part int, counts binary"
 
 
-def _key(s: np.ndarray) -> int:
-    """One hash of a shingle set; equal sets are one class."""
-    if not len(s):
-        return 0
-    both = np.array([mix(s).sum(dtype=np.uint64), mix(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))])
-    return int(signed(mix(both[:1] + mix(both[1:])))[0])
+def _rows_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, size, signature, least shingles by walk) of each set; equal sets are one class."""
+    size = np.array([len(s) for s in sets], np.int64)
+    cls, sign, least = np.zeros(len(sets), np.int64), np.zeros((len(sets), SIGNATURE), np.int64), np.zeros((len(sets), WALKS), np.int64)
+    some = np.flatnonzero(size)
+    if not len(some):
+        return cls, size, sign, least
+    flat, first = np.concatenate(sets), (np.cumsum(size) - size)[some]
+    total = lambda x: np.add.reduceat(x, first)
+    cls[some] = signed(mix(total(mix(flat)) + mix(total(mix(flat + np.uint64(1))) + size[some].astype(np.uint64))))
+    for k, salt in enumerate(_SALTS):
+        least[some, k] = signed(np.minimum.reduceat(mix(flat ^ salt), first))
+    bits = np.zeros((len(sets), SIGNATURE * 64), bool)
+    bits[np.repeat(np.arange(len(sets)), size), (flat >> np.uint64(20)) % np.uint64(SIGNATURE * 64)] = True
+    return cls, size, np.packbits(bits, axis=1, bitorder="little").view(np.int64), least
 
 
-def _sets(batches: Iterator[pa.RecordBatch], once: bool = True) -> Iterator[tuple[int | None, int, np.ndarray, pa.Array, int]]:
-    """(doc_id, class, shingles, texts, row) of each document; once: of equal sets that meet in a task, one."""
-    seen: set[int] = set()
-    for batch in batches:
-        texts = strings(batch.column(1))
-        for low, high in slices(texts):
-            for i, s in enumerate(Words(texts.slice(low, high - low)).shingles()):
-                key = _key(s)
-                if once:
-                    if key in seen:
-                        continue
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(key)
-                yield batch.column(0)[low + i].as_py(), key, s, texts, low + i
-
-
-def _columns(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds.values())], names=list(kinds))
+def _lists(values: np.ndarray, sizes: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=None if null is None else pa.array(null))
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class, size and signature of each document; then the task's counts of shingles by leading bits."""
-    kinds = {"doc_id": pa.int64(), "cls": pa.int64(), "n": pa.int64()} | {b: pa.int64() for b in _BITS} | {"part": pa.int32(), "counts": pa.binary()}
-    counts, rows, known = np.zeros(1 << COUNTERS, np.int64), [], set()
-    for doc, key, s, _, _ in _sets(batches, once=False):
-        bits = np.zeros(SIGNATURE * 64, bool)
-        bits[(s >> np.uint64(20)) % np.uint64(SIGNATURE * 64)] = True
-        rows.append((doc, key, len(s), *np.packbits(bits, bitorder="little").view(np.int64).tolist(), None, None))
-        if key not in known:
-            known.add(key)
-            np.add.at(counts, s >> np.uint64(64 - COUNTERS), 1)
-        if len(rows) >= 2000:
-            yield _columns(kinds, rows)
-            rows, known = [], known if len(known) < 200_000 else set()
-    size = 1 << 14
-    rows += [(None, None, None, *[None] * SIGNATURE, k, counts[k * size : (k + 1) * size].astype("<i8").tobytes()) for k in range(len(counts) // size)]
-    yield _columns(kinds, rows)
-
-
-def _merged(rows: DataFrame, column: str, kind: str, add) -> list:
-    """Blocks (part, bytes) of all tasks, those of one part merged where they meet, element by element."""
+    """Class, size, signature, least shingles of each document, and its set, once for each class where it is met
+    again soon; then the task's counts of shingles by leading bits."""
+    names, counts, known = [x.split()[0] for x in PROFILE.split(", ")], np.zeros(1 << COUNTERS, np.int64), set()
+    for batch in batches:
+        texts = strings(batch.column(2))
+        for low, high in slices(texts):
+            sets = Words(texts.slice(low, high - low)).shingles()
+            cls, size, sign, least = _rows_of(sets)
+            again = np.zeros(len(sets), bool)
+            for i, key in enumerate(cls.tolist()):
+                again[i] = key in known or not size[i]
+                known.add(key)
+            if len(known) > 100_000:
+                known.clear()
+            own = np.concatenate([s for s, seen in zip(sets, again) if not seen] or [np.zeros(0, np.uint64)])
+            np.add.at(counts, own >> np.uint64(64 - COUNTERS), 1)
+            none = high - low
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)[low:high], batch.column(1)[low:high], pa.array(cls), pa.array(size), *(pa.array(np.ascontiguousarray(sign[:, k])) for k in range(SIGNATURE)),
+                 _lists(least.ravel(), np.full(none, WALKS)), _lists(signed(own), np.where(again, 0, size), again), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())],
+                names=names,
+            )
+    step = 1 << 14
+    parts = [counts[k : k + step].astype("<i8").tobytes() for k in range(0, len(counts), step)]
+    kinds = [pa.int64()] * (4 + SIGNATURE) + [pa.list_(pa.int64())] * 2
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), t) for t in kinds), pa.array(range(len(parts)), pa.int32()), pa.array(parts)], names=names)
+
+
+def _summed(rows: DataFrame) -> np.ndarray:
+    """The counters of all tasks added up, block by block; rare ones are set to 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(block.as_buffer(), kind)
-                whole[part] = add(whole[part], own) if part in whole else own.copy()
-        yield _columns({"part": pa.int32(), column: pa.binary()}, [(k, x.tobytes()) for k, x in whole.items()])
-
-    return rows.select("part", column).repartition("part").mapInArrow(run, f"part int, {column} binary").collect()
+                own = np.frombuffer(block.as_buffer(), "<i8")
+                whole[part] = whole[part] + own if part in whole else own.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())], names=["part", "counts"])
+
+    out = np.zeros(1 << COUNTERS, np.int64)
+    for r in rows.where("part is not null").select("part", "counts").repartition("part").mapInArrow(run, "part int, counts binary").collect():
+        own = np.frombuffer(bytes(r.counts), "<i8")
+        out[r.part * len(own) : (r.part + 1) * len(own)] = own
+    out[out <= 1.5 * out.mean() + 128] = 0
+    return out
 
 
 def _prefix(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of which any set that is similar enough shares one: rare before frequent, by hash."""
-    length = len(s) - -(-len(s) * percent // 100) + 1
+    """The shingles of which any set that is similar enough shares 1 + n // SHARED: rare before frequent, by hash."""
+    length = min(len(s), len(s) - -(-len(s) * percent // 100) + 1 + len(s) // SHARED)
     weight = often[s >> np.uint64(64 - COUNTERS)]
     rare = s[weight == 0]
     if len(rare) >= length:
@@ -90,167 +102,105 @@ def _prefix(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate((rare, rest[np.lexsort((rest, weight[weight > 0]))]))[:length]
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.view(np.uint64)) >> np.uint64(64 - FILTER)).astype(np.int64)
-
-
-def _filter_of(keys: DataFrame, column: str, scratch: Scratch) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each key; it only lets some more pass than are keys."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, size = np.zeros(1 << (FILTER - 3), np.uint8), 1 << 16
-        for batch in batches:
-            at = _bit(batch.column(0).to_numpy())
-            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-        rows = [(k, packed[k * size : (k + 1) * size].tobytes()) for k in range(len(packed) // size)]
-        yield _columns({"part": pa.int32(), "bits": pa.binary()}, [r for r in rows if any(r[1])])
-
-    got = _merged(keys.select(column).mapInArrow(bits, "part int, bits binary"), "bits", "u1", np.bitwise_or)
-    out = np.zeros((1 << FILTER) // 8, np.uint8)
-    for r in got:
-        out[r.part << 16 : (r.part + 1) << 16] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
-def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _bit(keys)
-    return (bitmap[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
-
-
-def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(cls, text) of the wanted classes, one text each."""
-    bitmap = scratch.spark.sparkContext.broadcast(_filter_of(wanted, "cls", scratch))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, kinds = [], {"cls": pa.int64(), "text": pa.string()}
-        for _, key, _, texts, i in _sets(batches):
-            if _passes(bitmap.value, np.array([key]))[0]:
-                rows.append((key, texts[i].as_py()))
-            if len(rows) >= 500:
-                yield _columns(kinds, rows)
-                rows = []
-        yield _columns(kinds, rows)
-
-    found = docs.mapInArrow(run, "cls long, text string").join(wanted, "cls", "left_semi")
-    return scratch.save(found.groupBy("cls").agg(F.min("text").alias("text")))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes those whose sets are similar enough, by their texts."""
-    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    texts = _texts(docs, wanted, scratch)
+def _entries(sets: DataFrame, often: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
+    """(token, cls, spot): the prefix shingles of each class, and how many of its set come before."""
+    shared = scratch.spark.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for at in range(0, batch.num_rows, 200):
-                one, two = ([s for low, high in slices(c) for s in Words(c.slice(low, high - low)).shingles()] for c in (strings(batch.column(k)[at : at + 200]) for k in (2, 3)))
-                for x, y in zip(one, two):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
-            good = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy().view(np.uint64)
+            own = [_prefix(flat[a:b], shared.value, percent) for a, b in zip(ends[:-1], ends[1:])]
+            size = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(np.concatenate(own)) if own else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate([np.arange(k) for k in size]).astype(np.int32) if own else np.zeros(0, np.int32))],
+                names=["token", "cls", "spot"],
+            )
 
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-    return scratch.save(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return scratch.save(sets.select("cls", "shingles").mapInArrow(run, "token long, cls long, spot int"))
 
 
-def _leaves(docs: DataFrame, scratch: Scratch, walks: int) -> DataFrame:
-    """(walk, leaf, cls): classes that share a least shingle under a walk's order lie in one leaf."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, kinds = [], {"walk": pa.int32(), "leaf": pa.int64(), "cls": pa.int64()}
-        salts = mix(np.arange(1, walks + 1, dtype=np.uint64))
-        for _, key, s, _, _ in _sets(batches):
-            if len(s):
-                least = signed(np.array([mix(s ^ salt).min() for salt in salts]))
-                rows += [(k, leaf, key) for k, leaf in enumerate(least.tolist())]
-            if len(rows) >= 5000:
-                yield _columns(kinds, rows)
-                rows = []
-        yield _columns(kinds, rows)
-
-    leaves = scratch.save(docs.mapInArrow(run, "walk int, leaf long, cls long"))
-    ends = scratch.save(leaves.groupBy("walk", "leaf").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high"))
-    out = scratch.save(leaves.join(ends, ["walk", "leaf"]))
-    scratch.drop(leaves)
+def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes those whose sets are similar enough."""
+    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    own = scratch.save(sets.select("cls", "shingles").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("s")), "lz4")
+    both = pairs.join(own.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    out = scratch.save(both.where((100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))) & (F.col("common") > 0)).select("a", "b"))
+    scratch.drop(wanted, own)
     return out
 
 
-def _near(docs: DataFrame, scratch: Scratch, percent: int, walks: int) -> tuple[DataFrame, DataFrame]:
-    """Links to begin with, and their components.
+def _hubs(sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links to begin with, and their components: classes meet the hub of their group.
 
-    The members of a leaf meet its least class; then those not joined up meet the least and the greatest
-    classes of all their leaves, so that a group of near copies is one component but for a few.
+    Classes with an equal least shingle under some walk are a group; its hub is the class whose least
+    shingles are the most common ones, so the text that the others are edited from. Each class meets
+    first the hub it shares most with, then one of each other component that a hub of its belongs to;
+    hubs that it shares less than two least shingles with are left to the trees.
     """
-    leaves = _leaves(docs, scratch, walks)
-    pair = lambda rows, end: rows.where(f"cls <> {end}").select(F.least("cls", end).alias("a"), F.greatest("cls", end).alias("b"))
-    links = verified(scratch.save(pair(leaves.where("walk < 2"), "low").distinct()), docs, scratch, percent)
+    leaves = sets.select("cls", F.posexplode("least").alias("walk", "leaf")).distinct()
+    shared = scratch.save(leaves.groupBy("walk", "leaf").agg(F.count("*").alias("k")).where("k > 1"))
+    leaves = scratch.save(leaves.join(shared, ["walk", "leaf"]))
+    weight = leaves.groupBy("cls").agg(F.sum("k").alias("weight"))
+    leaves = scratch.save(leaves.join(weight, "cls"))
+    hubs = leaves.groupBy("walk", "leaf").agg(F.max(F.struct("weight", "cls")).alias("hub"))
+    met = leaves.join(scratch.save(hubs), ["walk", "leaf"]).where("cls <> hub.cls").groupBy("cls", "hub").agg(F.count("*").alias("times")).where("times > 1")
+    met = scratch.save(met.select("cls", F.col("hub.cls").alias("hub"), F.struct("times", F.col("hub.weight").alias("weight"), F.col("hub.cls").alias("hub")).alias("rank")))
+    pair = lambda df: df.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    first = met.groupBy("cls").agg(F.max("rank").alias("rank")).select("cls", F.col("rank.hub").alias("hub"))
+    links = verified(scratch.save(pair(first)), sets, scratch, percent)
     comps = scratch.save(components(links, scratch))
-    pairs = scratch.save(pair(leaves, "low").unionByName(pair(leaves, "high")).distinct())
-    scratch.drop(leaves)
     root = lambda end: comps.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = verified(scratch.save(apart.select("a", "b")), docs, scratch, percent)
+    apart = met.join(root("cls"), "cls", "left").join(root("hub"), "hub", "left")
+    apart = apart.select("cls", "hub", F.col("rank.times").alias("times"), F.coalesce("root_cls", "cls").alias("x"), F.coalesce("root_hub", "hub").alias("y")).where("x <> y")
+    apart = apart.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("times", "cls", "hub")).alias("p")).select("p.cls", "p.hub")
+    more = verified(scratch.save(pair(apart)), sets, scratch, percent)
     links = scratch.save(links.unionByName(more))
     return links, scratch.save(components(links, scratch))
 
 
-def _entries(docs: DataFrame, often: np.ndarray, percent: int, scratch: Scratch, bitmap: np.ndarray | None) -> DataFrame:
-    """(token, cls): the prefix shingles of each class, those that pass the filter if there is one."""
-    shared = scratch.spark.sparkContext.broadcast((often, bitmap))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, bitmap = shared.value
-        tokens, owners, size = [], [], 0
-        done = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), pa.array(np.concatenate(owners) if owners else [], pa.int64())], names=["token", "cls"])
-        for _, key, s, _, _ in _sets(batches):
-            if len(s):
-                own = signed(_prefix(s, often, percent))
-                own = own if bitmap is None else own[_passes(bitmap, own)]
-                tokens.append(own)
-                owners.append(np.full(len(own), key))
-                size += len(own)
-            if size >= 50_000:
-                yield done()
-                tokens, owners, size = [], [], 0
-        yield done()
-
-    return docs.mapInArrow(run, "token long, cls long")
-
-
 def _bound(x: str, y: str, percent: int) -> F.Column:
     """Whether two nodes may hold a linked pair: by sizes, by components, and by the largest possible overlap.
 
     Sets share at most the bits that both nodes have, and one more for each shingle that fell on a bit
-    another one of its set had set already.
+    another one of its set had set already. Nor can they share more than the smaller number of
+    shingles before and after the token that both stand below.
     """
     c = lambda side, name: F.col(f"{side}_{name}")
     shared = sum((F.bit_count(c(x, b).bitwiseAND(c(y, b))) for b in _BITS[1:]), F.bit_count(c(x, "b0").bitwiseAND(c(y, "b0"))))
-    overlap = shared + F.least(c(x, "over"), c(y, "over"))
+    overlap = F.least(shared + F.least(c(x, "over"), c(y, "over")), F.least(c(x, "before"), c(y, "before")) + 1 + F.least(c(x, "after"), c(y, "after")))
     sizes = (100 * c(x, "high") >= percent * c(y, "low")) & (100 * c(y, "high") >= percent * c(x, "low"))
     one = (c(x, "first") == c(x, "last")) & (c(y, "first") == c(y, "last")) & (c(x, "first") == c(y, "first"))
     return sizes & ~one & ((100 + percent) * overlap >= percent * (c(x, "low") + c(y, "low")))
 
 
-def candidates(entries: DataFrame, percent: int, scratch: Scratch, leaf: int = 16, fan: int = 32) -> DataFrame:
+def candidates(entries: DataFrame, percent: int, scratch: Scratch, leaf: int = 16, fan: int = 32, tree: int = 4096) -> DataFrame:
     """Pairs of classes that dual traversal can't rule out: (a, b).
 
-    entries: (token, cls, comp, n, signature). The classes below a token are a tree: ordered by size,
-    ``leaf`` of them make a leaf, ``fan`` leaves a node above. Pairs of nodes below one token are followed
-    from the top; pairs that _bound() rules out are not opened.
+    entries: (token, k, cls, spot, comp, n, signature); k is the number of classes below the token, spot
+    the number of shingles of the set that come before it. The classes below a token are a tree, or
+    several if there are more than ``tree``, so that no task numbers them all: ordered by size, ``leaf`` of
+    them make a leaf, ``fan`` leaves a node above. Pairs of nodes below one token are followed from the
+    top; pairs that _bound() rules out are not opened. Pairs found below fewer tokens than linked sets of
+    their sizes share go, too.
     """
-    spot = F.row_number().over(W.partitionBy("token").orderBy("n", "cls")) - 1
-    rows = entries.withColumn("spot", spot).select(
+    own = F.pmod(F.xxhash64("cls"), F.ceil(F.col("k") / tree))
+    rows = entries.withColumn("tree", own).withColumn("place", F.row_number().over(W.partitionBy("token", "tree").orderBy("n", "cls")) - 1)
+    at = lambda size: F.shiftleft("tree", 40) + F.floor(F.col("place") / size)
+    rows = rows.select(
         "token", "cls", F.col("n").alias("low"), F.col("n").alias("high"), F.col("comp").alias("first"), F.col("comp").alias("last"), *_BITS,
-        (F.col("n") - sum((F.bit_count(b) for b in _BITS[1:]), F.bit_count("b0"))).alias("over"), F.floor(F.col("spot") / leaf).alias("leaf"), F.floor(F.col("spot") / (leaf * fan)).alias("node"),
+        (F.col("n") - sum((F.bit_count(b) for b in _BITS[1:]), F.bit_count("b0"))).alias("over"),
+        F.col("spot").cast("long").alias("before"), (F.col("n") - F.col("spot") - 1).alias("after"), at(leaf).alias("leaf"), at(leaf * fan).alias("node"),
     )
     rows = scratch.save(rows)
     merge = lambda df, *by: df.groupBy("token", *by).agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), *(F.bit_or(b).alias(b) for b in _BITS), F.max("over").alias("over")
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), *(F.bit_or(b).alias(b) for b in _BITS),
+        *(F.max(c).alias(c) for c in ("over", "before", "after")),
     )
     leaves = scratch.save(merge(rows, "leaf", "node"))
-    nodes = scratch.save(merge(leaves, "node"))
+    nodes = merge(leaves, "node")
     side = lambda df, s, keep: df.select(*(F.col(c) if c == "token" else F.col(c).alias(f"{s}_{c}") for c in df.columns))
 
     def opened(pairs: DataFrame | None, below: DataFrame, by: str | None, order: str) -> DataFrame:
@@ -265,61 +215,75 @@ def candidates(entries: DataFrame, percent: int, scratch: Scratch, leaf: int = 1
     middle = scratch.save(opened(top, leaves, "node", "leaf").select("token", "x_leaf", "y_leaf"))
     found = middle.join(side(rows.drop("node"), "x", None), ["token", "x_leaf"]).join(side(rows.drop("node"), "y", None), ["token", "y_leaf"])
     found = found.where((F.col("x_cls") < F.col("y_cls")) | ((F.col("x_leaf") < F.col("y_leaf")) & (F.col("x_cls") != F.col("y_cls")))).where(_bound("x", "y", percent))
-    return scratch.save(found.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct())
+    found = found.groupBy(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("x_low", "y_low")).alias("n"))
+    out = scratch.save(found.where(F.col("times") > F.floor(F.col("n") / SHARED)).select("a", "b"))
+    scratch.drop(rows, leaves, middle)
+    return out
+
+
+def _grouped(docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(doc_id, body, n, comp): the size of each row's set, and its component, null without shingles."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("body"), text.alias("text"))
+    profile = scratch.save(rows.mapInArrow(_profile, PROFILE), "lz4")
+    often = _summed(profile)
+    sets = profile.where("shingles is not null")
+
+    links, comps = _hubs(sets, scratch, percent)
+
+    entries = _entries(sets, often, percent, scratch)
+    live = entries.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")
+    some = entries.join(scratch.save(live), "token").distinct().join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "spot", F.coalesce("root", "cls").alias("comp"))
+    some = scratch.save(some)
+    scratch.drop(entries)
+    mixed = some.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).where("low < high").select("token", "k")
+    classes = sets.groupBy("cls").agg(*(F.any_value(c).alias(c) for c in ("n", *_BITS)))
+    below = some.join(scratch.save(mixed), "token").join(scratch.save(classes), "cls")
+    more = verified(candidates(below, percent, scratch), sets, scratch, percent)
+
+    comps = scratch.save(components(links.unionByName(more), scratch))
+    owned = profile.where("part is null").select("doc_id", "body", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(comps, F.col("cls") == F.col("node"), "left")
+    return scratch.last(owned.select("doc_id", "body", "n", F.coalesce("root", "cls").alias("comp")))
 
 
-def join(docs: DataFrame, scratch: Scratch, percent: int = 80, walks: int = 6) -> DataFrame:
+def join(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
     """Similarity join of whole texts: (doc_id, n_shingles, component_id).
 
     A document's set is that of its distinct shingles of five words (A-Z lower-cased); two documents link
     when 100 * intersection >= percent * union. component_id is the smallest doc_id that links lead to.
 
-    Equal sets are one class. First, classes in one leaf of least shingles meet its least and greatest
-    class, which joins up groups of near copies. Then a forest of signature trees finds all other links: similar sets
-    share a shingle of their prefix, so a tree stands below each prefix shingle whose classes aren't all
-    joined up yet, and pairs of its nodes are ruled out by bitmaps, sizes and components. All that is left
-    is compared exactly. Frequent shingles come last in prefixes, by counters of fixed size over all texts.
+    Equal sets are one class. Similar sets share a shingle of their prefix, so a signature tree stands below
+    each prefix shingle of two classes or more, and pairs of its nodes are ruled out by bitmaps, sizes,
+    places and components; all that is left is compared exactly. So that groups of near copies are one
+    component, which trees skip, before they are built, each class meets the hub of its group first.
+    Frequent shingles come last in prefixes, by counters of fixed size over all texts.
 
     Fewer than five words: the whole sequence is the one shingle. Null, empty or blank text: no shingles,
     linked with nothing, component_id is doc_id. Repeated rows are in one class. Rows of one doc_id with
     different texts are judged each. Null doc_id: never the smallest, unless alone. Empty table: no rows.
     Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shape = "doc_id long, cls long, n long, " + ", ".join(f"{b} long" for b in _BITS) + ", part int, counts binary"
-    profile = scratch.save(docs.mapInArrow(_profile, shape))
-    counts = _merged(profile.where("part is not null"), "counts", "<i8", np.add)
-    often = np.zeros(1 << COUNTERS, np.int64)
-    for r in counts:
-        part = np.frombuffer(bytes(r.counts), "<i8")
-        often[r.part * len(part) : (r.part + 1) * len(part)] = part
-    often[often <= 1.5 * often.mean() + 128] = 0
-    rows = profile.where("part is null").drop("part", "counts")
-    classes = scratch.save(rows.where("n > 0").groupBy("cls").agg(*(F.any_value(c).alias(c) for c in ("n", *_BITS))))
-
-    links, comps = _near(docs, scratch, percent, walks)
-
-    live = _entries(docs, often, percent, scratch, None).groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
-    live = scratch.save(live.where("low < high").select("token"))
-    some = scratch.save(_entries(docs, often, percent, scratch, _filter_of(live, "token", scratch)).join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", F.coalesce("root", "cls").alias("comp")).distinct())
-    mixed = scratch.save(some.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token"))
-    entries = some.join(mixed, "token").join(classes, "cls")
-    more = verified(candidates(entries, percent, scratch), docs, scratch, percent)
-
-    all_links = links.unionByName(more)
-    comps = scratch.save(components(all_links, scratch))
-    owned = rows.select("doc_id", "n", "cls").join(comps, rows.cls == comps.node, "left").select("doc_id", "n", F.coalesce("root", "cls").alias("comp"))
-    owned = scratch.save(owned)
-    least = scratch.save(owned.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").select("comp", "component_id"))
-    out = owned.join(least, (owned.comp == least.comp) & (owned.n > 0), "left")
+    owned = _grouped(docs, scratch, percent)
+    least = owned.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").select("comp", "component_id")
+    out = owned.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; empty ones and those with null doc_id stay.
+def keep_one(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
+    """One row of each group, that with the smallest doc_id (then text hash; a null doc_id comes last).
 
-    Rows repeated with one doc_id are one document and stay together.
+    Rows without shingles stay. Of a row repeated exactly one stays; of rows of one doc_id each text is
+    judged for itself.
     """
-    groups = join(docs, scratch, **options)
-    gone = scratch.save(groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    owned = _grouped(docs, scratch, percent).where("comp is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
+    keys = owned.groupBy("comp", place.alias("place")).agg(F.count("*").alias("times"))
+    firsts = keys.groupBy("comp").agg(F.min("place").alias("first"))
+    keys = keys.join(firsts, "comp").where("place <> first or times > 1")
+    keys = scratch.last(keys.select(F.col("place.doc_id").alias("_id"), F.col("place.body").alias("_body"), (F.col("place") == F.col("first")).alias("_first")))
+    same = docs.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs.text.cast("string"), F.lit(""))) == F.col("_body"))
+    out = docs.join(keys, same, "left_anti")
+    repeated = keys.where("_first").select("_id", "_body")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
