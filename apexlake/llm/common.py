@@ -119,7 +119,7 @@ PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = 0xD1342543DE82EF95
 _powers: dict[str, np.ndarray] = {}
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 500_000
+SLICE_BYTES = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -177,12 +177,19 @@ class Words:
         self.start = np.flatnonzero(black & (first[:-1] | np.concatenate(([True], ~black[:-1]))[:n]))
         self.end = np.flatnonzero(black & (first[1:] | np.concatenate((~black[1:], [True]))[:n])) + 1
         up, down = _power(n)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[self.data] * up[:n], dtype=np.uint64)))
-        span = lambda end: mix((total[end] - total[self.start]) * down[self.start] + _ODD)
-        self.hash, self.prefix = span(self.end), lambda size: span(np.minimum(self.end, self.start + size))
+        self.total, self.down = np.zeros(n + 1, np.uint64), down
+        np.cumsum(_BYTE[self.data] * up[:n], dtype=np.uint64, out=self.total[1:])
+        self.hash = self._hash(self.end)
         self.first = np.searchsorted(self.start, self.edges)  # of each row, and the end
         self.row = np.repeat(np.arange(len(column)), np.diff(self.first))
 
+    def _hash(self, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[self.start]) * self.down[self.start] + _ODD)
+
+    def prefix(self, size: int) -> np.ndarray:
+        """Hashes of the first so many bytes of each word."""
+        return self._hash(np.minimum(self.end, self.start + size))
+
     def shingles(self) -> list[np.ndarray]:
         """Of each row: the sorted distinct hashes of its five-word shingles; with fewer words, of all in one."""
         h, n = self.hash, len(self.hash)
