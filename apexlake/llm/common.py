@@ -6,7 +6,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,13 +107,40 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def join_up(leaves: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, least_times: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links to begin with between those that share leaves: (leaves of two members or more, links, components).
+
+    leaves: (leaf, member) without repeats. The hub of a leaf is the member whose leaves are largest, so
+    among near copies the one that the others are edited from. Each member meets first the hub it shares
+    most leaves with, then one of each other component that a hub of its belongs to. Hubs shared in
+    fewer than ``least_times`` leaves are passed over. verify: (a, b) to those of them that are links.
+    """
+    shared = scratch.save(leaves.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1"))
+    leaves = scratch.save(leaves.join(shared, "leaf"))
+    weighed = leaves.join(scratch.save(leaves.groupBy("member").agg(F.sum("k").alias("weight"))), "member")
+    hubs = scratch.save(weighed.groupBy("leaf").agg(F.max(F.struct("weight", "member")).alias("hub")))
+    met = leaves.join(hubs, "leaf").where("member <> hub.member").groupBy("member", "hub").agg(F.count("*").alias("times")).where(F.col("times") >= least_times)
+    met = scratch.save(met.select("member", F.col("hub.member").alias("hub"), F.struct("times", F.col("hub.weight").alias("weight"), F.col("hub.member").alias("hub")).alias("rank")))
+    pair = lambda df: df.select(F.least("member", "hub").alias("a"), F.greatest("member", "hub").alias("b")).distinct()
+    first = met.groupBy("member").agg(F.max("rank").alias("rank")).select("member", F.col("rank.hub").alias("hub"))
+    links = verify(scratch.save(pair(first)))
+    comps = scratch.save(components(links, scratch))
+    root = lambda end: comps.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    apart = met.join(root("member"), "member", "left").join(root("hub"), "hub", "left")
+    apart = apart.select("member", "hub", F.col("rank.times").alias("times"), F.coalesce("root_member", "member").alias("x"), F.coalesce("root_hub", "hub").alias("y")).where("x <> y")
+    apart = apart.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("times", "member", "hub")).alias("p")).select("p.member", "p.hub")
+    links = scratch.save(links.unionByName(verify(scratch.save(pair(apart)))))
+    return leaves, links, scratch.save(components(links, scratch))
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _SHINGLE = _rng.integers(1, 2**64, 5, dtype=np.uint64) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: White space and all other ASCII that is neither letter nor digit.
 PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = 0xD1342543DE82EF95
@@ -149,6 +176,17 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         start = end
 
 
+def span_sums(data: np.ndarray) -> np.ndarray:
+    """Sums by which the hash of any run of these bytes is known at once."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power(len(data))[0][: len(data)], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((sums[end] - sums[start]) * _power(len(sums))[1][start] + _ODD)
+
+
 def strings(column: pa.Array) -> pa.Array:
     """The column as plain strings; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -164,7 +202,7 @@ def offsets(column: pa.Array) -> np.ndarray:
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts: row, 64-bit hash (A-Z lower-cased), byte span."""
 
-    def __init__(self, column: pa.Array, space: np.ndarray = _SPACE):
+    def __init__(self, column: pa.Array, space: np.ndarray = SPACE):
         ends = offsets(column)
         low, high = int(ends[0]), int(ends[-1])
         raw = column.buffers()[2] if len(column) else None
@@ -176,19 +214,14 @@ class Words:
         first[self.edges] = True
         self.start = np.flatnonzero(black & (first[:-1] | np.concatenate(([True], ~black[:-1]))[:n]))
         self.end = np.flatnonzero(black & (first[1:] | np.concatenate((~black[1:], [True]))[:n])) + 1
-        up, down = _power(n)
-        self.total, self.down = np.zeros(n + 1, np.uint64), down
-        np.cumsum(_BYTE[self.data] * up[:n], dtype=np.uint64, out=self.total[1:])
-        self.hash = self._hash(self.end)
+        self.sums = span_sums(self.data)
+        self.hash = span_hash(self.sums, self.start, self.end)
         self.first = np.searchsorted(self.start, self.edges)  # of each row, and the end
         self.row = np.repeat(np.arange(len(column)), np.diff(self.first))
 
-    def _hash(self, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[self.start]) * self.down[self.start] + _ODD)
-
     def prefix(self, size: int) -> np.ndarray:
         """Hashes of the first so many bytes of each word."""
-        return self._hash(np.minimum(self.end, self.start + size))
+        return span_hash(self.sums, self.start, np.minimum(self.end, self.start + size))
 
     def shingles(self) -> list[np.ndarray]:
         """Of each row: the sorted distinct hashes of its five-word shingles; with fewer words, of all in one."""

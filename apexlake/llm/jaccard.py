@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, mix, signed, slices, strings
+from .common import Scratch, Words, components, join_up, mix, signed, slices, strings
 
 #: Words of 64 bits in a signature, log2 of the counters of frequent shingles, least shingles kept of a set.
 SIGNATURE, COUNTERS, WALKS = 8, 20, 6
@@ -132,35 +132,6 @@ def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int)
     return out
 
 
-def _hubs(sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links to begin with, and their components: classes meet the hub of their group.
-
-    Classes with an equal least shingle under some walk are a group; its hub is the class whose least
-    shingles are the most common ones, so the text that the others are edited from. Each class meets
-    first the hub it shares most with, then one of each other component that a hub of its belongs to;
-    hubs that it shares less than two least shingles with are left to the trees.
-    """
-    leaves = sets.select("cls", F.posexplode("least").alias("walk", "leaf")).distinct()
-    shared = scratch.save(leaves.groupBy("walk", "leaf").agg(F.count("*").alias("k")).where("k > 1"))
-    leaves = scratch.save(leaves.join(shared, ["walk", "leaf"]))
-    weight = leaves.groupBy("cls").agg(F.sum("k").alias("weight"))
-    leaves = scratch.save(leaves.join(weight, "cls"))
-    hubs = leaves.groupBy("walk", "leaf").agg(F.max(F.struct("weight", "cls")).alias("hub"))
-    met = leaves.join(scratch.save(hubs), ["walk", "leaf"]).where("cls <> hub.cls").groupBy("cls", "hub").agg(F.count("*").alias("times")).where("times > 1")
-    met = scratch.save(met.select("cls", F.col("hub.cls").alias("hub"), F.struct("times", F.col("hub.weight").alias("weight"), F.col("hub.cls").alias("hub")).alias("rank")))
-    pair = lambda df: df.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    first = met.groupBy("cls").agg(F.max("rank").alias("rank")).select("cls", F.col("rank.hub").alias("hub"))
-    links = verified(scratch.save(pair(first)), sets, scratch, percent)
-    comps = scratch.save(components(links, scratch))
-    root = lambda end: comps.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    apart = met.join(root("cls"), "cls", "left").join(root("hub"), "hub", "left")
-    apart = apart.select("cls", "hub", F.col("rank.times").alias("times"), F.coalesce("root_cls", "cls").alias("x"), F.coalesce("root_hub", "hub").alias("y")).where("x <> y")
-    apart = apart.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("times", "cls", "hub")).alias("p")).select("p.cls", "p.hub")
-    more = verified(scratch.save(pair(apart)), sets, scratch, percent)
-    links = scratch.save(links.unionByName(more))
-    return links, scratch.save(components(links, scratch))
-
-
 def _bound(x: str, y: str, percent: int) -> F.Column:
     """Whether two nodes may hold a linked pair: by sizes, by components, and by the largest possible overlap.
 
@@ -229,7 +200,9 @@ def _grouped(docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     often = _summed(profile)
     sets = profile.where("shingles is not null")
 
-    links, comps = _hubs(sets, scratch, percent)
+    # Near copies are one component before trees are built; what shares one least shingle only is left to them.
+    leaves = sets.select(F.posexplode("least").alias("walk", "least"), F.col("cls").alias("member")).select(F.xxhash64("walk", "least").alias("leaf"), "member").distinct()
+    _, links, comps = join_up(leaves, lambda pairs: verified(pairs, sets, scratch, percent), scratch, 2)
 
     entries = _entries(sets, often, percent, scratch)
     live = entries.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")

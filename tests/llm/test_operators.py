@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 import pytest
 from helpers import docs, rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from apexlake.llm import decontaminate, jaccard, licenses, lines, quality, rules, toxicity, urls, warc
@@ -73,10 +74,11 @@ def test_trees_alone_find_all_pairs(spark):
     for i, s in enumerate(sets):
         bits = np.zeros(SIGNATURE * 64, bool)
         bits[(s >> np.uint64(20)) % np.uint64(SIGNATURE * 64)] = True
-        for t in _prefix(s, often, 80) if len(s) else []:
-            out.append((int(t.view(np.int64)), i, i, len(s), *np.packbits(bits, bitorder="little").view(np.int64).tolist()))
-    entries = spark.createDataFrame(out, "token long, cls long, comp long, n long, " + ", ".join(f"{b} long" for b in _BITS))
-    got = {(a, b) for a, b in rows(jaccard.candidates(entries, 80, Scratch(spark), leaf=2, fan=2))}
+        for spot, t in enumerate(_prefix(s, often, 80) if len(s) else []):
+            out.append((int(t.view(np.int64)), i, spot, i, len(s), *np.packbits(bits, bitorder="little").view(np.int64).tolist()))
+    entries = spark.createDataFrame(out, "token long, cls long, spot int, comp long, n long, " + ", ".join(f"{b} long" for b in _BITS))
+    entries = entries.withColumn("k", F.count("*").over(Window.partitionBy("token")))
+    got = {(a, b) for a, b in rows(jaccard.candidates(entries, 80, Scratch(spark), leaf=2, fan=2, tree=7))}
     plain = [set(s.tolist()) for s in sets]
     for i in range(len(plain)):
         for j in range(i):
@@ -122,8 +124,7 @@ def test_line_dedup_is_brute_force(spark):
 
     def own(line):
         norm = re.sub("[ \t-\r]+", " ", line.lower()).strip(" ")
-        at = [m.start() for m in re.finditer("(?<![^ ])(?=.)", norm)]
-        return norm, {norm[a : a + 12] for a in at}
+        return norm, {norm[a : a + 8] for a in range(max(1, len(norm) - 7))}
 
     places = [(d, k, *own(x)) for d, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
     places = [p for p in places if len(p[2].split(" ")) >= 5]
