@@ -35,10 +35,10 @@ class Scratch:
         self.paths += 1
         return f"{self.top}/{self.paths}"
 
-    def save(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, **options: str) -> DataFrame:
         path = self.path()
         with small_batches(self.spark):
-            df.write.option("compression", compression).parquet(path)
+            df.write.options(**{"compression": "zstd"} | options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         self.live.append(path)
@@ -107,17 +107,31 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def among(rows: DataFrame, keys: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """The rows whose column is among keys, and few others, without a shuffle of rows.
+
+    A bitmap of 2**bits bits over hashes is broadcast, as words of 64: at most 2**18 rows, whatever the
+    number of keys; the more keys there are, the more others pass.
+    """
+    spot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({column}), {64 - bits}) & 63 as int))")
+    words = keys.groupBy(F.shiftright(spot, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.join(F.broadcast(words), F.shiftright(spot, 6) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def join_up(leaves: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, least_times: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links to begin with between those that share leaves: (leaves of two members or more, links, components).
 
-    leaves: (leaf, member) without repeats. The hub of a leaf is the member whose leaves are largest, so
+    leaves: (leaf, member), repeats allowed. The hub of a leaf is the member whose leaves are largest, so
     among near copies the one that the others are edited from. Each member meets first the hub it shares
     most leaves with, then one of each other component that a hub of its belongs to. Hubs shared in
     fewer than ``least_times`` leaves are passed over. verify: (a, b) to those of them that are links.
     """
-    shared = scratch.save(leaves.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1"))
+    often = scratch.save(leaves.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf"))
+    leaves = scratch.save(among(leaves, often, "leaf").distinct())
+    shared = leaves.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1")
     leaves = scratch.save(leaves.join(shared, "leaf"))
-    weighed = leaves.join(scratch.save(leaves.groupBy("member").agg(F.sum("k").alias("weight"))), "member")
+    weighed = leaves.join(leaves.groupBy("member").agg(F.sum("k").alias("weight")), "member")
     hubs = scratch.save(weighed.groupBy("leaf").agg(F.max(F.struct("weight", "member")).alias("hub")))
     met = leaves.join(hubs, "leaf").where("member <> hub.member").groupBy("member", "hub").agg(F.count("*").alias("times")).where(F.col("times") >= least_times)
     met = scratch.save(met.select("member", F.col("hub.member").alias("hub"), F.struct("times", F.col("hub.weight").alias("weight"), F.col("hub.member").alias("hub")).alias("rank")))
@@ -130,6 +144,7 @@ def join_up(leaves: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
     apart = apart.select("member", "hub", F.col("rank.times").alias("times"), F.coalesce("root_member", "member").alias("x"), F.coalesce("root_hub", "hub").alias("y")).where("x <> y")
     apart = apart.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("times", "member", "hub")).alias("p")).select("p.member", "p.hub")
     links = scratch.save(links.unionByName(verify(scratch.save(pair(apart)))))
+    scratch.drop(often, hubs, met)
     return leaves, links, scratch.save(components(links, scratch))
 
 

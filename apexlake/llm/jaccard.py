@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, join_up, mix, signed, slices, strings
+from .common import Scratch, Words, among, components, join_up, mix, signed, slices, strings
 
 #: Words of 64 bits in a signature, log2 of the counters of frequent shingles, least shingles kept of a set.
 SIGNATURE, COUNTERS, WALKS = 8, 20, 6
+#: Bits of a shingle's hash; in sorted sets Parquet packs the differences.
+WIDE = 48
+PACKED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 #: Linked sets share one prefix shingle, and one more for each so many shingles of the smaller set.
 SHARED = 24
 _BITS = [f"b{i}" for i in range(SIGNATURE)]
@@ -50,7 +53,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = strings(batch.column(2))
         for low, high in slices(texts):
-            sets = Words(texts.slice(low, high - low)).shingles()
+            sets = [s >> np.uint64(64 - WIDE) for s in Words(texts.slice(low, high - low)).shingles()]
             cls, size, sign, least = _rows_of(sets)
             again = np.zeros(len(sets), bool)
             for i, key in enumerate(cls.tolist()):
@@ -59,7 +62,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(known) > 100_000:
                 known.clear()
             own = np.concatenate([s for s, seen in zip(sets, again) if not seen] or [np.zeros(0, np.uint64)])
-            np.add.at(counts, own >> np.uint64(64 - COUNTERS), 1)
+            np.add.at(counts, own >> np.uint64(WIDE - COUNTERS), 1)
             none = high - low
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[low:high], batch.column(1)[low:high], pa.array(cls), pa.array(size), *(pa.array(np.ascontiguousarray(sign[:, k])) for k in range(SIGNATURE)),
@@ -94,7 +97,7 @@ def _summed(rows: DataFrame) -> np.ndarray:
 def _prefix(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of which any set that is similar enough shares 1 + n // SHARED: rare before frequent, by hash."""
     length = min(len(s), len(s) - -(-len(s) * percent // 100) + 1 + len(s) // SHARED)
-    weight = often[s >> np.uint64(64 - COUNTERS)]
+    weight = often[s >> np.uint64(WIDE - COUNTERS)]
     rare = s[weight == 0]
     if len(rare) >= length:
         return rare[:length]
@@ -103,7 +106,7 @@ def _prefix(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _entries(sets: DataFrame, often: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
-    """(token, cls, spot): the prefix shingles of each class, and how many of its set come before."""
+    """(token, cls, n, spot): the prefix shingles of each class, its size, and how many of its set come before."""
     shared = scratch.spark.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,19 +115,20 @@ def _entries(sets: DataFrame, often: np.ndarray, percent: int, scratch: Scratch)
             ends = lists.offsets.to_numpy()
             flat = lists.values.to_numpy().view(np.uint64)
             own = [_prefix(flat[a:b], shared.value, percent) for a, b in zip(ends[:-1], ends[1:])]
-            size = [len(x) for x in own]
+            size = np.array([len(x) for x in own], np.int64)
+            spots = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.concatenate(own)) if own else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate([np.arange(k) for k in size]).astype(np.int32) if own else np.zeros(0, np.int32))],
-                names=["token", "cls", "spot"],
+                [pa.array(signed(np.concatenate([*own, np.zeros(0, np.uint64)]))), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(np.diff(ends), size)), pa.array(spots.astype(np.int32))],
+                names=["token", "cls", "n", "spot"],
             )
 
-    return scratch.save(sets.select("cls", "shingles").mapInArrow(run, "token long, cls long, spot int"))
+    return scratch.save(sets.select("cls", "shingles").mapInArrow(run, "token long, cls long, n int, spot int"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes those whose sets are similar enough."""
     wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    own = scratch.save(sets.select("cls", "shingles").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("s")), "lz4")
+    own = scratch.save(among(sets.select("cls", "shingles"), wanted, "cls").groupBy("cls").agg(F.first("shingles").alias("s")).join(wanted, "cls", "left_semi"), **PACKED)
     both = pairs.join(own.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
     out = scratch.save(both.where((100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))) & (F.col("common") > 0)).select("a", "b"))
@@ -148,14 +152,13 @@ def _bound(x: str, y: str, percent: int) -> F.Column:
 
 
 def candidates(entries: DataFrame, percent: int, scratch: Scratch, leaf: int = 16, fan: int = 32, tree: int = 4096) -> DataFrame:
-    """Pairs of classes that dual traversal can't rule out: (a, b).
+    """Pairs of classes below a token that dual traversal can't rule out, for each token: (a, b, n) with the smaller size.
 
     entries: (token, k, cls, spot, comp, n, signature); k is the number of classes below the token, spot
     the number of shingles of the set that come before it. The classes below a token are a tree, or
     several if there are more than ``tree``, so that no task numbers them all: ordered by size, ``leaf`` of
     them make a leaf, ``fan`` leaves a node above. Pairs of nodes below one token are followed from the
-    top; pairs that _bound() rules out are not opened. Pairs found below fewer tokens than linked sets of
-    their sizes share go, too.
+    top; pairs that _bound() rules out are not opened.
     """
     own = F.pmod(F.xxhash64("cls"), F.ceil(F.col("k") / tree))
     rows = entries.withColumn("tree", own).withColumn("place", F.row_number().over(W.partitionBy("token", "tree").orderBy("n", "cls")) - 1)
@@ -186,33 +189,45 @@ def candidates(entries: DataFrame, percent: int, scratch: Scratch, leaf: int = 1
     middle = scratch.save(opened(top, leaves, "node", "leaf").select("token", "x_leaf", "y_leaf"))
     found = middle.join(side(rows.drop("node"), "x", None), ["token", "x_leaf"]).join(side(rows.drop("node"), "y", None), ["token", "y_leaf"])
     found = found.where((F.col("x_cls") < F.col("y_cls")) | ((F.col("x_leaf") < F.col("y_leaf")) & (F.col("x_cls") != F.col("y_cls")))).where(_bound("x", "y", percent))
-    found = found.groupBy(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("x_low", "y_low")).alias("n"))
-    out = scratch.save(found.where(F.col("times") > F.floor(F.col("n") / SHARED)).select("a", "b"))
-    scratch.drop(rows, leaves, middle)
-    return out
+    return found.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"), F.least("x_low", "y_low").alias("n"))
+
+
+def _in_leaf(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n) of the pairs below tokens that have so few classes that they are one leaf."""
+    one = F.struct("cls", "n", "spot", "comp")
+    leaf = entries.groupBy("token").agg(F.array_sort(F.collect_list(one)).alias("m"))
+    rows = leaf.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
+    c = lambda side, name: F.col(f"{side}.{name}")
+    overlap = F.least(c("x", "spot"), c("y", "spot")) + F.least(c("x", "n") - c("x", "spot"), c("y", "n") - c("y", "spot"))
+    may = ((100 + percent) * F.least(overlap, c("x", "n"), c("y", "n")) >= percent * (c("x", "n") + c("y", "n"))) & (c("x", "comp") != c("y", "comp"))
+    return rows.where(may).select(c("x", "cls").alias("a"), c("y", "cls").alias("b"), F.least(c("x", "n"), c("y", "n")).alias("n"))
 
 
-def _grouped(docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _grouped(docs: DataFrame, scratch: Scratch, percent: int, leaf: int = 16) -> DataFrame:
     """(doc_id, body, n, comp): the size of each row's set, and its component, null without shingles."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("body"), text.alias("text"))
-    profile = scratch.save(rows.mapInArrow(_profile, PROFILE), "lz4")
+    profile = scratch.save(rows.mapInArrow(_profile, PROFILE), **PACKED)
     often = _summed(profile)
     sets = profile.where("shingles is not null")
 
     # Near copies are one component before trees are built; what shares one least shingle only is left to them.
-    leaves = sets.select(F.posexplode("least").alias("walk", "least"), F.col("cls").alias("member")).select(F.xxhash64("walk", "least").alias("leaf"), "member").distinct()
+    leaves = sets.select(F.posexplode("least").alias("walk", "least"), F.col("cls").alias("member")).select(F.xxhash64("walk", "least").alias("leaf"), "member")
     _, links, comps = join_up(leaves, lambda pairs: verified(pairs, sets, scratch, percent), scratch, 2)
 
     entries = _entries(sets, often, percent, scratch)
-    live = entries.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")
-    some = entries.join(scratch.save(live), "token").distinct().join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "spot", F.coalesce("root", "cls").alias("comp"))
-    some = scratch.save(some)
+    live = scratch.save(entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"))
+    some = among(entries, live, "token").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
+    some = scratch.save(some.groupBy("cls", "token").agg(*(F.first(x).alias(c) for c, x in (("n", "n"), ("spot", "spot"), ("comp", F.coalesce("root", "cls"))))))
     scratch.drop(entries)
     mixed = some.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).where("low < high").select("token", "k")
-    classes = sets.groupBy("cls").agg(*(F.any_value(c).alias(c) for c in ("n", *_BITS)))
-    below = some.join(scratch.save(mixed), "token").join(scratch.save(classes), "cls")
-    more = verified(candidates(below, percent, scratch), sets, scratch, percent)
+    below = scratch.save(some.join(mixed, "token"))
+    scratch.drop(some)
+    large = scratch.save(below.where(F.col("k") > leaf))
+    classes = among(sets.select("cls", *_BITS), large, "cls").groupBy("cls").agg(*(F.any_value(c).alias(c) for c in _BITS))
+    found = _in_leaf(below.where(F.col("k") <= leaf), percent).unionByName(candidates(large.join(scratch.save(classes), "cls"), percent, scratch, leaf))
+    found = found.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("n").alias("n")).where(F.col("times") > F.floor(F.col("n") / SHARED))
+    more = verified(scratch.save(found.select("a", "b")), sets, scratch, percent)
 
     comps = scratch.save(components(links.unionByName(more), scratch))
     owned = profile.where("part is null").select("doc_id", "body", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(comps, F.col("cls") == F.col("node"), "left")
@@ -227,7 +242,8 @@ def join(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
 
     Equal sets are one class. Similar sets share a shingle of their prefix, so a signature tree stands below
     each prefix shingle of two classes or more, and pairs of its nodes are ruled out by bitmaps, sizes,
-    places and components; all that is left is compared exactly. So that groups of near copies are one
+    places and components; pairs that meet below as many tokens as linked sets of their sizes share are
+    compared exactly. So that groups of near copies are one
     component, which trees skip, before they are built, each class meets the hub of its group first.
     Frequent shingles come last in prefixes, by counters of fixed size over all texts.
 
