@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: For tables of sorted lists of numbers: Parquet packs the differences.
+PACKED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+
+
 class Scratch:
     """Intermediate tables, written as Parquet to the folder in ``spark.checkpoint.dir``.
 

@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, among, components, join_up, mix, signed, slices, strings
+from .common import PACKED, Scratch, Words, among, components, join_up, mix, signed, slices, strings
 
 #: Words of 64 bits in a signature, log2 of the counters of frequent shingles, least shingles kept of a set.
 SIGNATURE, COUNTERS, WALKS = 8, 20, 6
-#: Bits of a shingle's hash; in sorted sets Parquet packs the differences.
+#: Bits of a shingle's hash.
 WIDE = 48
-PACKED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 #: Linked sets share one prefix shingle, and one more for each so many shingles of the smaller set.
 SHARED = 24
 _BITS = [f"b{i}" for i in range(SIGNATURE)]
