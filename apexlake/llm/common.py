@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -111,16 +112,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def among(rows: DataFrame, keys: DataFrame, column: str, bits: int = 24) -> DataFrame:
-    """The rows whose column is among keys, and few others, without a shuffle of rows.
+def among(rows: DataFrame, keys: DataFrame, key: str, column: str | None = None, bits: int = 24) -> DataFrame:
+    """The rows whose column is among the keys, and few others, without a shuffle of rows.
 
     A bitmap of 2**bits bits over hashes is broadcast, as words of 64: at most 2**18 rows, whatever the
     number of keys; the more keys there are, the more others pass.
     """
-    spot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({column}), {64 - bits}) & 63 as int))")
-    words = keys.groupBy(F.shiftright(spot, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    return rows.join(F.broadcast(words), F.shiftright(spot, 6) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+    word = lambda c: F.shiftrightunsigned(F.xxhash64(c), 70 - bits)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({c}), {64 - bits}) & 63 as int))")
+    words = keys.groupBy(word(key).alias("_word")).agg(F.bit_or(bit(key)).alias("_bits"))
+    column = column or key
+    return rows.join(F.broadcast(words), word(column) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit(column)) != 0).drop("_word", "_bits")
 
 
 def join_up(leaves: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, least_times: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -128,7 +130,7 @@ def join_up(leaves: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
 
     leaves: (leaf, member), repeats allowed. The hub of a leaf is the member whose leaves are largest, so
     among near copies the one that the others are edited from. Each member meets first the hub it shares
-    most leaves with, then one of each other component that a hub of its belongs to. Hubs shared in
+    most leaves with, then one of each other component that a hub or neighbour of its belongs to. Those shared in
     fewer than ``least_times`` leaves are passed over. verify: (a, b) to those of them that are links.
     """
     often = scratch.save(leaves.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf"))
@@ -144,11 +146,15 @@ def join_up(leaves: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
     links = verify(scratch.save(pair(first)))
     comps = scratch.save(components(links, scratch))
     root = lambda end: comps.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    # Hubs that are like few of their leaf leave a group in pieces: neighbours in a leaf meet as well.
+    order = W.partitionBy("leaf", F.pmod(F.xxhash64("member"), F.ceil(F.col("k") / 4096))).orderBy("member")
+    beside = leaves.select("member", F.lag("member").over(order).alias("hub")).where("hub is not null").groupBy("member", "hub").agg(F.count("*").alias("times")).where(F.col("times") >= least_times)
+    met = met.select("member", "hub", "rank.times").unionByName(beside)
     apart = met.join(root("member"), "member", "left").join(root("hub"), "hub", "left")
-    apart = apart.select("member", "hub", F.col("rank.times").alias("times"), F.coalesce("root_member", "member").alias("x"), F.coalesce("root_hub", "hub").alias("y")).where("x <> y")
+    apart = apart.select("member", "hub", "times", F.coalesce("root_member", "member").alias("x"), F.coalesce("root_hub", "hub").alias("y")).where("x <> y")
     apart = apart.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("times", "member", "hub")).alias("p")).select("p.member", "p.hub")
     links = scratch.save(links.unionByName(verify(scratch.save(pair(apart)))))
-    scratch.drop(often, hubs, met)
+    scratch.drop(often, hubs)
     return leaves, links, scratch.save(components(links, scratch))
 
 
