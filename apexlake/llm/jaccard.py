@@ -202,7 +202,7 @@ def _in_leaf(entries: DataFrame, percent: int) -> DataFrame:
     return rows.where(may).select(c("x", "cls").alias("a"), c("y", "cls").alias("b"), F.least(c("x", "n"), c("y", "n")).alias("n"))
 
 
-def _grouped(docs: DataFrame, scratch: Scratch, percent: int, leaf: int = 16) -> DataFrame:
+def _grouped(docs: DataFrame, scratch: Scratch, percent: int, leaf: int = 32) -> DataFrame:
     """(doc_id, body, n, comp): the size of each row's set, and its component, null without shingles."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("body"), text.alias("text"))
@@ -211,7 +211,9 @@ def _grouped(docs: DataFrame, scratch: Scratch, percent: int, leaf: int = 16) ->
     sets = profile.where("shingles is not null")
 
     # Near copies are one component before trees are built; what shares one least shingle only is left to them.
-    leaves = sets.select(F.posexplode("least").alias("walk", "least"), F.col("cls").alias("member")).select(F.xxhash64("walk", "least").alias("leaf"), "member")
+    # Leaves are equal least shingles of one walk, and of three: those part large groups into more alike ones.
+    keys = [F.xxhash64(F.lit(i), *(F.col("least")[k] for k in walks)) for i, walks in enumerate([*((k,) for k in range(WALKS)), (0, 1, 2), (3, 4, 5), (0, 2, 4), (1, 3, 5)])]
+    leaves = sets.select(F.explode(F.array(*keys)).alias("leaf"), F.col("cls").alias("member"))
     _, links, comps = join_up(leaves, lambda pairs: verified(pairs, sets, scratch, percent), scratch, 2)
 
     entries = _entries(sets, often, percent, scratch)
