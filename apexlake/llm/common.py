@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -112,6 +112,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of doc_id and text: what tells rows apart where doc_ids repeat or are null."""
+    return F.xxhash64(F.coalesce(docs.doc_id.cast("string"), F.lit("none")), F.coalesce(docs.text.cast("string"), F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with row_key() in the place of doc_id, to judge each row by itself."""
+    return docs.select(row_key(docs).alias("doc_id"), docs.text.cast("string").alias("text"))
+
+
 def among(rows: DataFrame, keys: DataFrame, key: str, column: str | None = None, bits: int = 24) -> DataFrame:
     """The rows whose column is among the keys, and few others, without a shuffle of rows.
 

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: pieces of items, one of which no passage within the edits lacks, and exact edit distance."""
+"""Benchmark decontamination: CGK walks, bit-sampling LSH over windows up to an item's size, exact edit distance."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, mix, slices, strings
+from .common import Scratch, Words, keyed, mix, row_key, slices, strings
 
 PAIRS = "doc_id long, item_id long, start long, end long, edits int, item_words int"
 
@@ -42,7 +42,7 @@ def edits_of(item: list[int], text: list[int], most: int) -> tuple[int, int] | N
 class Items:
     """The benchmark's items as word hashes, with the tables that windows of documents are looked up in."""
 
-    def __init__(self, ids: list[int], texts: list[str], error: float, least_words: int):
+    def __init__(self, ids: list[int], texts: list[str], error: float, least_words: int, walks: int, samples: int, bits: int, seed: int = 11):
         words = Words(strings(pa.array(texts, pa.string())))
         spans = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         self.items = [(i, s) for i, s in zip(ids, spans) if len(s)]
@@ -58,27 +58,50 @@ class Items:
         for (_, s), k in zip(self.items, self.most):
             classes[int(np.log(len(s)) / np.log(1.15))].append((len(s) - k, k))
         self.windows = [(min(a for a, _ in c), max(k for _, k in c)) for c in classes.values()]
-        # One of k + 1 pieces is whole after k edits, wherever they lie: pieces by length, sorted by key.
-        pieces: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for number, ((_, s), k) in enumerate(zip(self.items, self.most)):
-            edges = [i * len(s) // (k + 1) for i in range(k + 2)]
-            for low, high in zip(edges[:-1], edges[1:]):
-                pieces[high - low].append((int(self.keys(s[low:high], high - low)[0]), number, low))
-        self.pieces = {}
-        for size, own in pieces.items():
-            own.sort()
-            self.pieces[size] = tuple(np.array(c, t) for c, t in zip(zip(*own), (np.uint64, np.int64, np.int64)))
-        self.seen = np.zeros(1 << 20, bool)
-        for key, _, _ in self.pieces.values():
-            self.seen[key >> np.uint64(44)] = True
-
-    @staticmethod
-    def keys(h: np.ndarray, size: int) -> np.ndarray:
-        """Keys of all runs of so many words."""
-        out = np.full(max(len(h) - size + 1, 0), size, np.uint64)
-        for k in range(size):
-            out = mix(out + h[k : k + len(out)])
-        return out
+        # Walks of each item from every word of it, so that edits at its head leave others whole; sampled over
+        # windows of eight steps (fewer in short items), sixteen and so on up to the item's size.
+        rng = np.random.Generator(np.random.PCG64(seed))
+        self.walks = rng.integers(1, 2**64, walks, dtype=np.uint64)
+        least = lambda n: min(8, 1 << max(0, n.bit_length() - 2))
+        self.scales = sorted({1 << k for _, s in self.items for k in range(len(s).bit_length()) if 1 << k >= least(len(s))})
+        draw = lambda size: np.unique([(i * size + rng.integers(0, max(1, size))) // bits for i in range(bits)])  # noqa: E731  one step of each part
+        self.picks = {(w, size): [draw(size) for _ in range(samples)] for size in self.scales for w in range(walks)}
+        parts = []
+        for number, (_, s) in enumerate(self.items):
+            for size in self.scales:
+                if least(len(s)) <= size <= len(s):
+                    starts = np.arange(len(s) - size + 1)
+                    own = self.keys(s, starts, [size])
+                    parts.append((own.ravel(), np.full(own.size, number), np.repeat(starts, own.shape[1])))
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        key, owner, offset = (np.concatenate(c) for c in zip(empty, *parts))
+        order = np.lexsort((offset, owner, key))
+        self.key, self.owner, self.offset = key[order], owner[order].astype(np.int32), offset[order].astype(np.int32)
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self.key >> np.uint64(42)] = True
+
+    def keys(self, h: np.ndarray, starts: np.ndarray, scales: list[int]) -> np.ndarray:
+        """Sampled keys of the CGK walks from each start, over windows of so many steps: a row for each start.
+
+        A walk writes the word it stands on at each step and goes on by a random bit of word and step, so
+        walks over similar texts meet again after an edit and then write the same.
+        """
+        out = []
+        for w, salt in enumerate(self.walks):
+            at, wrote, turns = starts.copy(), {}, mix(h ^ salt)
+            used = {int(p) for size in scales for own in self.picks[w, size] for p in own}
+            for j in range(max(used, default=-1) + 1):
+                here = np.minimum(at, len(h) - 1)
+                if j in used:
+                    wrote[j] = h[here]
+                at += (turns[here] >> np.uint64(j & 63) & np.uint64(1)).astype(np.int64)
+            for size in scales:
+                for s, places in enumerate(self.picks[w, size]):
+                    key = np.full(len(starts), mix(np.array([(w * 1000 + s) * 1000 + size], np.uint64))[0])
+                    for p in places.tolist():
+                        key = mix(key + wrote[p])
+                    out.append(key)
+        return np.stack(out, axis=1) if out else np.zeros((len(starts), 0), np.uint64)
 
     def find(self, words: Words) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item number, first word, end, edits, words of the item): the best match of each row and item."""
@@ -98,28 +121,27 @@ class Items:
                 good[: m + 1] |= (other[size:] - other[: m + 1] <= most) & (np.arange(m + 1) + size <= last[: m + 1])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         most_of = np.array(self.most, np.int64)
-        # A piece so far from any good start belongs to no match.
-        reach = self.longest + max(self.most) + 1
-        upto = np.concatenate(([0], np.cumsum(good)))
-        spots = np.arange(n)
-        near = upto[np.minimum(spots + max(self.most) + 1, n)] > upto[np.maximum(spots - reach, 0)]
-        for size, (key, owner, offset) in self.pieces.items():
-            own = self.keys(h, size)
-            some = np.flatnonzero(self.seen[own >> np.uint64(44)] & near[: len(own)])
-            some = some[some + size <= last[some]]
-            first, end = np.searchsorted(key, own[some]), np.searchsorted(key, own[some], "right")
-            some, first, end = (x[end > first] for x in (some, first, end))
-            tried = [np.zeros(0, np.int64)]
-            for low in range(0, len(some), 20_000):
-                times = (end - first)[low : low + 20_000]
-                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                hit, at = np.repeat(first[low : low + 20_000], times) + nth, np.repeat(some[low : low + 20_000], times)
-                for shift in range(-max(self.most), max(self.most) + 1):
-                    start = at - offset[hit] + shift
-                    fit = (np.abs(shift) <= most_of[owner[hit]]) & (start >= 0) & (start < n)
-                    start, number = start[fit], owner[hit][fit]
-                    fit = good[start] & (last[start] == last[at[fit]])
-                    tried.append(np.unique(start[fit] * len(self.items) + number[fit]))
+        # A walk so far from any good start belongs to no match.
+        reach, slack = self.longest + max(self.most), max(self.most)
+        upto, spots = np.concatenate(([0], np.cumsum(good))), np.arange(n)
+        near = np.flatnonzero(upto[np.minimum(spots + slack + 1, n)] > upto[np.maximum(spots - reach, 0)])
+        for low in range(0, len(near), 10_000):
+            some = near[low : low + 10_000]
+            keys = self.keys(h, some, self.scales)
+            spot = np.flatnonzero(self.seen[keys.ravel() >> np.uint64(42)])
+            own = keys.ravel()[spot]
+            first, end = np.searchsorted(self.key, own), np.searchsorted(self.key, own, "right")
+            times = end - first
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            hit, at = np.repeat(first, times) + nth, np.repeat(some[spot // max(1, keys.shape[1])], times)
+            pairs = np.unique((at - self.offset[hit] + reach) * len(self.items) + self.owner[hit])
+            begin, number = pairs // len(self.items) - reach, pairs % len(self.items)
+            tried = []
+            for shift in range(-slack, slack + 1):
+                start = begin + shift
+                fit = (np.abs(shift) <= most_of[number]) & (start >= 0) & (start < n)
+                fit[fit] = good[start[fit]]
+                tried.append(start[fit] * len(self.items) + number[fit])
             for p, number in zip(*(x.tolist() for x in divmod(np.unique(np.concatenate(tried)), len(self.items)))):
                 item, most = self.lists[number], self.most[number]
                 text = h[p : min(p + len(item) + most, last[p])].tolist()
@@ -133,13 +155,13 @@ class Items:
         return [(row, number, b[1], b[2], b[0], len(self.items[number][1])) for (row, number), b in best.items()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, least_words: int = 8, block: int = 10_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, least_words: int = 8, walks: int = 2, samples: int = 3, bits: int = 4, block: int = 1000) -> DataFrame:
     """Passages of documents that are benchmark items but for a few edits: (doc_id, item_id, start, end, edits, item_words).
 
     Every word of a whole text may start a passage. Starts whose item-sized window has more words
-    that no item has than edits are allowed cannot match and are left out. Of an item with k edits allowed,
-    one of k + 1 pieces is whole in any match, wherever the edits lie: starts around the pieces found are
-    tried, and the edit distance in words decides: at most ``error`` times the item's words. The best passage
+    that no item has than edits are allowed cannot match and are left out. At the others, CGK walks are
+    sampled over windows of eight steps up to an item's size and looked up among walks from every word of
+    every item; starts around what is found are tried, and the edit distance in words decides: at most ``error`` times the item's words. The best passage
     of each document and item is returned, words counted from 0. Items are taken to the tasks in blocks of
     at most ``block``, a pass for each.
 
@@ -147,16 +169,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, least_wor
     nothing; of repeated item_ids with other texts each counts. Null, empty texts: no matches.
     Repeated documents: a row each. Empty tables: no rows. Other columns are ignored.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     items = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
     blocks = max(1, -(-items.count() // block))
     found = []
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        index = Items([r.item_id for r in own], [r.text for r in own], error, least_words)
+        index = Items([r.item_id for r in own], [r.text for r in own], error, least_words, walks, samples, bits)
 
-        def run(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in batches:
                 column, rows = strings(batch.column(1)), []
                 for low, high in slices(column):
@@ -170,6 +194,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, least_wor
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The documents without a benchmark passage, with their columns."""
-    bad = scratch.save(matches(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents without a benchmark passage, with their columns. Rows of one doc_id are judged each by their text."""
+    bad = scratch.last(matches(keyed(docs), benchmark, **options).select("doc_id").distinct())
+    return docs.join(bad, row_key(docs) == bad.doc_id, "left_anti")

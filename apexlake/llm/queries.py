@@ -20,15 +20,18 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark), tokenizer_file())
+    scratch = Scratch(spark)
+    return scratch.last(packing.pack(table(spark, sf_dir, "documents"), scratch, tokenizer_file()))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+    scratch = Scratch(spark)
+    return scratch.last(quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+    scratch = Scratch(spark)
+    return scratch.last(toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return Scratch(spark).last(decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, Scratch, Words, mix, signed, slices, strings
+from .common import PUNCTUATION, Scratch, Words, keyed, mix, row_key, signed, slices, strings
 
 
 #: Bytes of the beginnings of words that are features beside the words.
@@ -28,13 +28,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high in slices(texts):
             words = Words(texts.slice(low, high - low), PUNCTUATION)
             own = features(words)
-            for i, shingles in enumerate(words.shingles()):
-                h, times = np.unique(own[words.first[i] : words.first[i + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(k)[low + i].as_py()] * len(h), t) for k, t in ((0, pa.int64()), (2, pa.int32()))] 
-                    + [pa.array(np.repeat(signed(shingles[:1]), len(h))), pa.array(signed(h)), pa.array(times)],
-                    names=["doc_id", "toxic", "least", "word", "times"],
-                )
+            ids, marks = batch.column(0), batch.column(2)
+            rows = [(np.unique(own[words.first[i] : words.first[i + 1]], return_counts=True), s[:1]) for i, s in enumerate(words.shingles())]
+            sizes = np.array([len(h) for (h, _), _ in rows])
+            at = pa.array(np.repeat(np.arange(low, high), sizes))
+            least = np.array([int(signed(s)[0]) if len(s) else 0 for _, s in rows], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [ids.cast(pa.int64()).take(at), marks.cast(pa.int32()).take(at), pa.array(np.repeat(least, sizes)), pa.array(signed(np.concatenate([h for (h, _), _ in rows]))), pa.array(np.concatenate([n for (_, n), _ in rows]))],
+                names=["doc_id", "toxic", "least", "word", "times"],
+            )
 
 
 class Ordinal:
@@ -122,7 +124,11 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float
     repeated labels the largest counts, null labels do not. Without labels of both classes everything
     has severity 0. Null doc_id: scored, never learned from. Other columns are ignored.
     """
-    model = fit(docs, labels, scratch, **fitting)
+    return applied(docs, fit(docs, labels, scratch, **fitting), threshold)
+
+
+def applied(docs: DataFrame, model: Ordinal | None, threshold: float) -> DataFrame:
+    """score() by a fitted model."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +157,8 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(apply, out)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The documents that are not toxic, with their columns."""
-    bad = score(docs, labels, scratch, **options).where("toxic").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(scratch.save(bad), docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+def keep_clean(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = 0.5, **fitting) -> DataFrame:
+    """The documents that are not toxic, with their columns. Rows of one doc_id are judged each by their text."""
+    model = fit(docs, labels, scratch, **fitting)
+    bad = scratch.last(applied(keyed(docs), model, threshold).where("toxic").select("doc_id").distinct())
+    return docs.join(bad, row_key(docs) == bad.doc_id, "left_anti")
