@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def speed_unit(name: str, most: float | None) -> str:
-    """Unit of a speed column by its name, else by its largest value; metres a second if unknown."""
+def speed_unit(name: str, most: float | None = None) -> str:
+    """Unit of a speed column by its name; else ms if its largest value is below 50, or unknown, taken as ms."""
     low = name.lower()
     if "mph" in low:
         return "mph"
     if "kmh" in low or "km/h" in low:
         return "kmh"
-    return "ms"
+    if "mps" in low or "m/s" in low or (most is not None and most < 50):
+        return "ms"
+    return "unknown"
 
 
 def to_ms(speed: Column, unit: str) -> Column:
@@ -26,11 +28,29 @@ def squeeze(text: Column) -> Column:
 
 
 def severity_label(score: Column) -> Column:
-    return F.when(score >= 0.8, "very high").when(score >= 0.6, "high").when(score >= 0.4, "medium").otherwise("low")
+    """How consistent a turn is driven, by its normalised stability score."""
+    return F.when(score >= 0.8, "Very Poor").when(score >= 0.6, "Poor").when(score >= 0.4, "Average").otherwise("Good")
 
 
-def priority_label(score: Column) -> Column:
-    return F.when(score >= 25, "critical").when(score >= 20, "high").when(score >= 15, "medium").otherwise("low")
+def priority_label(composite: Column) -> Column:
+    """How urgent a turn is, by its composite issue score."""
+    return F.when(composite >= 25, "Very High Priority").when(composite >= 20, "High Priority").when(composite >= 15, "Medium Priority").otherwise("Lower Priority")
+
+
+#: What each event type is called in reports.
+ISSUES = {
+    "conservative_entry": "Conservative Entry / Overslowing",
+    "late_brake": "Late Braking / Missed Apex",
+    "weak_exit": "Weak Corner Exit",
+    "overslow": "Conservative Entry / Overslowing",
+    "heavy_brake": "Late Braking / Missed Apex",
+    "early_brake": "Conservative Entry / Overslowing",
+}
+
+
+def issue_name(kind: Column) -> Column:
+    """The issue of an event type; null for others."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in ISSUES.items() for x in pair)), kind)
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

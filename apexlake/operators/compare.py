@@ -12,11 +12,17 @@ def pivot(scores: DataFrame, sessions: list) -> DataFrame:
     return scores.groupBy("turn").pivot("session", sessions).agg(F.first("score"))
 
 
+def _direction(change: F.Column) -> F.Column:
+    return F.when(change > 0, "improved").when(change < 0, "worsened").otherwise("stable")
+
+
 def trend(times: DataFrame) -> DataFrame:
-    """(first, last, improvement, slope, intercept) of lap times by date order."""
+    """(first_s, last_s, improvement_s, improvement_pct, trend, slope, intercept) of lap times by date order."""
     numbered = times.withColumn("i", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("date")) - 1).cast("double"))
     out = numbered.agg(F.min_by("laptime_s", "date").alias("first_s"), F.max_by("laptime_s", "date").alias("last_s"), F.regr_slope("laptime_s", "i").alias("slope"), F.regr_intercept("laptime_s", "i").alias("intercept"))
-    return out.withColumn("improvement_s", F.col("first_s") - F.col("last_s"))
+    out = out.withColumn("improvement_s", F.col("first_s") - F.col("last_s"))
+    percent = F.when(F.col("first_s") > 0, F.col("improvement_s") / F.col("first_s") * 100).otherwise(0.0)
+    return out.withColumns({"improvement_pct": percent, "trend": _direction(F.col("improvement_s"))})
 
 
 def step_changes(rows: DataFrame, value: str, least: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -35,8 +41,19 @@ def common_turns(scores: DataFrame, most: int = 8) -> DataFrame:
 def first_last(scores: DataFrame) -> DataFrame:
     """(turn, first_score, last_score, change, trend, spread) of turns with two sessions or more."""
     out = scores.groupBy("turn").agg(F.min_by("score", "date").alias("first_score"), F.max_by("score", "date").alias("last_score"), (F.max("score") - F.min("score")).alias("spread"), F.count("*").alias("n"))
-    out = out.where("n >= 2").withColumn("change", F.col("last_score") - F.col("first_score"))
-    return out.withColumn("trend", F.when(F.col("change") < 0, "improved").when(F.col("change") > 0, "worse").otherwise("same")).drop("n")
+    out = out.where("n >= 2").withColumn("change", F.col("first_score") - F.col("last_score"))
+    return out.withColumn("trend", _direction(F.col("change"))).drop("n")
+
+
+def long_table(sessions: DataFrame) -> DataFrame:
+    """(session, date, turn, composite_score): top issues of all sessions; without a composite the issue score, else 0."""
+    score = F.coalesce(*(F.col(c) for c in ("composite_score", "score") if c in sessions.columns), F.lit(0.0))
+    return sessions.select("session", "date", "turn", score.cast("double").alias("composite_score"))
+
+
+def timed(sessions: DataFrame) -> DataFrame:
+    """Sessions that have a lap time other than 0."""
+    return sessions.where("laptime_s is not null and laptime_s <> 0")
 
 
 def personal_bests(times: DataFrame, order: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -18,7 +18,9 @@ def deltas(cards: DataFrame, benchmark_lap: int) -> DataFrame:
     """
     rows = cards.withColumn("delta_s_to_apex_m", F.col("s_apex") - F.col("s_brake_onset"))
     base = {"d_delta_s": "delta_s_to_apex_m", "d_Ventry": "Ventry", "d_Vmin": "Vmin", "d_Vexit": "Vexit", "d_a_long_peak": "a_long_peak"}
-    best = rows.where(F.col("lap") == benchmark_lap).groupBy("turn").agg(*(F.first(c).alias(f"pb_{d}") for d, c in base.items()))
+    order = [c for c in ("lap", "s_apex", *base.values()) if c in rows.columns]
+    first = F.min_by(F.struct(*base.values()), F.struct(*order)).alias("pb")
+    best = rows.where(F.col("lap") == benchmark_lap).groupBy("turn").agg(first).select("turn", *(F.col(f"pb.{c}").alias(f"pb_{d}") for d, c in base.items()))
     return rows.join(best, "turn", "left").withColumns({d: F.col(c) - F.col(f"pb_{d}") for d, c in base.items()}).drop(*(f"pb_{d}" for d in base))
 
 
@@ -87,6 +89,34 @@ def stability_score(report: DataFrame) -> DataFrame:
     return report.crossJoin(F.broadcast(tops)).select("turn", (parts[0] + parts[1] + parts[2]).alias("stability_score"))
 
 
+def advice_rank(report: DataFrame) -> DataFrame:
+    """(turn, composite, rank): raw spreads weighted over their largest sum; rank 1 is the least stable, ties by turn.
+
+    No rank if nothing is spread.
+    """
+    weights = {"d_delta_s_iqr": 0.5, "d_Vmin_iqr": 0.3, "d_Ventry_iqr": 0.1, "d_a_long_peak_iqr": 0.1}
+    raw = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
+    rows = report.select("turn", raw.alias("raw")).withColumn("most", F.max("raw").over(W.partitionBy(F.lit(1))))
+    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("raw"), "turn"))
+    return rows.select("turn", F.when(F.col("most") > 0, F.col("raw") / F.col("most")).alias("composite"), F.when(F.col("most") > 0, rank).alias("rank"))
+
+
+def heatmap(report: DataFrame, columns: Sequence[str] = ("d_delta_s_iqr", "d_Ventry_iqr", "d_Vmin_iqr", "d_a_long_peak_iqr"), least_coverage: float = 0.6, normalise: bool = True) -> DataFrame:
+    """(turn, metric, value): turns of enough coverage; normalised, over the metric's 95 % point and within 0 to 1."""
+    long = report.select("turn", "coverage", F.explode(F.create_map(*(x for c in columns for x in (F.lit(c), F.col(c))))).alias("metric", "raw"))
+    long = long.withColumn("value", F.when(F.col("coverage") >= least_coverage, F.col("raw")))
+    top = F.percentile("value", 0.95).over(W.partitionBy("metric"))
+    if normalise:
+        long = long.withColumn("top", top).withColumn("value", F.when(F.col("value").isNull(), None).when(F.col("top") > 0, F.greatest(F.least(F.col("value") / F.col("top"), F.lit(1.0)), F.lit(0.0))).otherwise(0.0))
+    return long.select("turn", "metric", "value")
+
+
+def heatmap_meta(report: DataFrame, columns: Sequence[str] = ("d_delta_s_iqr", "d_Ventry_iqr", "d_Vmin_iqr", "d_a_long_peak_iqr"), least_coverage: float = 0.6) -> DataFrame:
+    """(metric, least, most, mean, q95) of the values that the heat map shows."""
+    long = heatmap(report, columns, least_coverage, normalise=False)
+    return long.groupBy("metric").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.percentile("value", 0.95).alias("q95"))
+
+
 def turn_stats(cards: DataFrame, events: DataFrame, benchmark_lap: int) -> DataFrame:
     """(turn, medians and spreads of absolute differences, and events of the turn)"""
     rows = cards.where(F.col("lap") != benchmark_lap).groupBy("turn").agg(*(F.coalesce(F.median(F.abs(m)), F.lit(0.0)).alias(f"med_|{m}|") for m in ("d_delta_s", "d_Vmin")))

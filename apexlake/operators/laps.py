@@ -28,7 +28,7 @@ def drop_warmup(tel: DataFrame, keys: Keys = ()) -> DataFrame:
     """Without lap 0 and the last lap, if there is more than one lap."""
     laps = tel.groupBy(*keys, "lap").agg(F.lit(1).alias("one"))
     ends = laps.groupBy(*keys).agg(F.max("lap").alias("last"), F.count("*").alias("laps"))
-    joined = tel.join(F.broadcast(ends), list(keys)) if keys else tel.crossJoin(F.broadcast(ends))
+    joined = tel.join(ends, list(keys)) if keys else tel.crossJoin(F.broadcast(ends))
     gone = (F.col("laps") > 1) & ((F.col("lap") == 0) | ((F.col("lap") == F.col("last")) & (F.col("last") > 0)))
     return joined.where(~F.coalesce(gone, F.lit(False))).drop("last", "laps")
 
@@ -46,7 +46,7 @@ def completeness(xy: DataFrame, order: str = "rn", least_rows: int = 100, least_
     ends = ends.withColumn("gap_m", F.sqrt((F.col("x_last") - F.col("x_first")) * (F.col("x_last") - F.col("x_first")) + (F.col("y_last") - F.col("y_first")) * (F.col("y_last") - F.col("y_first"))))
     judged = F.col("samples") >= least_rows
     median = ends.where(judged & (F.col("duration") > 0)).groupBy(*keys).agg(F.median("duration").alias("usual"))
-    ends = ends.join(F.broadcast(median), list(keys), "left") if keys else ends.crossJoin(F.broadcast(median))
+    ends = ends.join(median, list(keys), "left") if keys else ends.crossJoin(F.broadcast(median))
     bad = judged & ((F.col("duration") < least_share * F.col("usual")) | (F.col("gap_m") > most_gap_m))
     return ends.select(*keys, "lap", "samples", "duration", "gap_m", (~F.coalesce(bad, F.lit(False))).alias("keep"))
 
@@ -95,9 +95,11 @@ def median_dt(tel: DataFrame, order: Sequence[str], keys: Keys = ()) -> DataFram
     return steps.groupBy(*keys).agg(F.coalesce(F.when(F.median("d") > 0, F.median("d")), F.when(F.avg("d") > 0, F.avg("d")), F.lit(0.1)).alias("dt"))
 
 
-def derivative(rows: DataFrame, column: str, out: str, dt: float, order: str = "rn", keys: Keys = ("lap",)) -> DataFrame:
-    """+ out: difference to the row before over a constant time step."""
-    return rows.withColumn(out, (F.col(column) - F.lag(column).over(W.partitionBy(*keys).orderBy(order))) / F.lit(float(dt)))
+def derivative(rows: DataFrame, column: str, out: str, dt: float | F.Column, order: str | Sequence[str] = "rn", keys: Keys = ("lap",)) -> DataFrame:
+    """+ out: difference to the row before over a time step, one for all rows or one for each session."""
+    by = [order] if isinstance(order, str) else order
+    step = F.lit(float(dt)) if isinstance(dt, int | float) else dt
+    return rows.withColumn(out, (F.col(column) - F.lag(column).over(W.partitionBy(*keys).orderBy(*by))) / step)
 
 
 def corner_metrics(samples: DataFrame, apexes: DataFrame, window_m: float = 60.0, near_m: float = 30.0, brake_g: float = -0.15, keys: Keys = ()) -> DataFrame:
@@ -121,6 +123,6 @@ def corner_metrics(samples: DataFrame, apexes: DataFrame, window_m: float = 60.0
         F.max(F.when(hard, F.col("s"))).alias("any_onset"), F.max(F.when(hard & (F.col("jerk") < 0), F.col("s"))).alias("sharp_onset"),
     )
     every = samples.select(*keys, "lap").distinct()
-    every = every.join(F.broadcast(apexes), list(keys)) if keys else every.crossJoin(F.broadcast(apexes))
+    every = every.join(apexes, list(keys)) if keys else every.crossJoin(F.broadcast(apexes))
     onset = F.when(F.col("eases"), F.col("sharp_onset")).otherwise(F.col("any_onset")).alias("s_brake_onset")
     return every.join(got, [*keys, "lap", "turn"], "left").select(*keys, "lap", "turn", "s_apex", onset, "Ventry", "Vmin", "Vexit", "a_long_peak")

@@ -54,6 +54,28 @@ def _corner(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(laps.corner_metrics(arc, apexes))
 
 
+def _by_session(spark: SparkSession, d: str) -> DataFrame:
+    """Telemetry of three sessions of four laps."""
+    return tel(spark, d).withColumn("session", (F.col("lap") % 3).cast("int"))
+
+
+def _dvdt(spark: SparkSession, d: str) -> DataFrame:
+    rows, order = _by_session(spark, d), ("t_s", "event_id")
+    rows = rows.join(laps.median_dt(rows, order, ("session",)), "session")
+    return laps.derivative(rows, "v", "dvdt", F.col("dt"), order, ("session",)).select("event_id", *r6("dvdt"))
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    ranked = issues.advice_rank(issues.stability(_deltas(spark, d), BENCHMARK))
+    rows = issues.composite(_scored(spark, d), _stable(spark, d)).select("turn", "composite_score").join(ranked, "turn")
+    return rows.select("turn", text.severity_label(F.col("composite")).alias("severity"), text.priority_label(F.col("composite_score")).alias("priority"), "rank")
+
+
+def _eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = adapters._read(spark, d, "labels").join(adapters._read(spark, d, "documents"), "doc_id")
+    return _rounded(rows.groupBy("source").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.count("*").alias("n")))
+
+
 QUERIES = {
     "top_issues": top_issues,
     "lap_times": lambda s, d: laps.lap_times(tel(s, d)),
@@ -62,10 +84,10 @@ QUERIES = {
     "ref_lap_fastest": lambda s, d: laps.reference_lap(laps.lap_times(tel(s, d))),
     "ref_lap_median": lambda s, d: laps.reference_lap(laps.lap_times(tel(s, d)), "median"),
     "ref_lap_n": lambda s, d: laps.reference_lap(laps.lap_times(tel(s, d)), lap=5),
-    "lap_ffill": lambda s, d: laps.fill_lap(tel(s, d).select("event_id", F.when(F.col("rn") % 3 == 0, F.col("lap")).alias("lap")), "event_id"),
+    "lap_ffill": lambda s, d: laps.fill_lap(_by_session(s, d).select("session", "event_id", F.when(F.col("rn") % 3 == 0, F.col("lap")).alias("lap")), "event_id", ("session",)),
     "arc_length": lambda s, d: laps.arc_length(xy(s, d)).select("lap", "rn", *r6("s")),
-    "median_dt": lambda s, d: _rounded(laps.median_dt(tel(s, d), ("t_s", "event_id"))),
-    "dvdt": lambda s, d: laps.derivative(tel(s, d), "v", "dvdt", 0.5).select("lap", "rn", *r6("dvdt")),
+    "median_dt": lambda s, d: _rounded(laps.median_dt(_by_session(s, d), ("t_s", "event_id"), ("session",))),
+    "dvdt": _dvdt,
     "speed_units": lambda s, d: tel(s, d).select("event_id", *(F.round(text.to_ms(F.col("v"), u), 6).alias(u) for u in ("ms", "kmh", "mph"))),
     "corner_segment_metrics": _corner,
     "card_deltas": lambda s, d: _rounded(_deltas(s, d).select("lap", "turn", "delta_s_to_apex_m", *issues.METRICS)),
@@ -78,7 +100,7 @@ QUERIES = {
     "stability_score": lambda s, d: _rounded(_stable(s, d)),
     "issue_scores": lambda s, d: _rounded(_scored(s, d).select("turn", "comp_s", "comp_v", "comp_sev", "comp_freq", "score")),
     "composite_scores": lambda s, d: _rounded(issues.composite(_scored(s, d), _stable(s, d)).select("turn", "composite_score", "stability_score")),
-    "labels": lambda s, d: _stable(s, d).select("turn", text.severity_label(F.col("stability_score")).alias("severity"), text.priority_label(F.col("stability_score") * 30).alias("priority"), F.row_number().over(W.orderBy(F.desc("stability_score"), "turn")).alias("rank")),
+    "labels": _labels,
     "issue_counts": lambda s, d: text.issue_counts(issues.by_turn(_events(s, d))),
     "session_pivot": lambda s, d: compare.pivot(_sessions(s, d), [0, 1, 2]).select("turn", *(F.col(str(i)).alias(f"s{i}") for i in range(3))),
     "session_first_last": lambda s, d: _rounded(compare.first_last(_sessions(s, d))),
@@ -86,7 +108,7 @@ QUERIES = {
     "laptime_trend": lambda s, d: _rounded(compare.trend(_times(s, d).withColumn("laptime_s", F.round("laptime_s", 3)))),
     "step_changes": lambda s, d: _rounded(compare.step_changes(_sessions(s, d), "score", 1.0, ("turn",))),
     "pb_memory_fold": lambda s, d: compare.personal_bests(_times(s, d), "lap").select("lap", "laptime_s"),
-    "eval_summary": lambda s, d: _rounded(adapters._read(s, d, "labels").join(adapters._read(s, d, "documents"), "doc_id").groupBy("source").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.count("*").alias("n"))),
+    "eval_summary": _eval_summary,
     "kb_topk": lambda s, d: compare.nearest(adapters._read(s, d, "embeddings"), adapters._read(s, d, "embeddings").where("vec_id = 0").first().embedding, 10),
     "text_squeeze": lambda s, d: adapters._read(s, d, "conversations").select("conv_id", "turn", text.squeeze(F.col("text")).alias("text")),
 }
@@ -138,11 +160,12 @@ ORACLES = {
     "ref_lap_fastest": _w("SELECT lap, laptime_s, 'fastest' AS mode FROM gl ORDER BY laptime_s, lap LIMIT 1"),
     "ref_lap_median": _w("SELECT lap, laptime_s, 'median' AS mode FROM gl, gm ORDER BY ABS(laptime_s - gm), lap LIMIT 1"),
     "ref_lap_n": _w("SELECT lap, laptime_s, CASE WHEN (SELECT COUNT(*) FROM gl WHERE lap = 5) > 0 THEN '5' ELSE 'fastest' END AS mode FROM gl ORDER BY lap <> 5, laptime_s, lap LIMIT 1"),
-    "lap_ffill": _w("SELECT event_id, CAST(COALESCE(LAST_VALUE(CASE WHEN rn % 3 = 0 THEN lap END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS INT) AS lap FROM tel"),
+    "lap_ffill": _w("SELECT CAST(lap % 3 AS INT) AS session, event_id, CAST(COALESCE(LAST_VALUE(CASE WHEN rn % 3 = 0 THEN lap END IGNORE NULLS) OVER (PARTITION BY lap % 3 ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS INT) AS lap FROM tel"),
     "arc_length": _w("""SELECT lap, rn, ROUND(SUM(COALESCE(SQRT(dx * dx + dy * dy), 0e0)) OVER (PARTITION BY lap ORDER BY rn ROWS UNBOUNDED PRECEDING), 6) AS s
         FROM (SELECT *, x - LAG(x) OVER (PARTITION BY lap ORDER BY rn) AS dx, y - LAG(y) OVER (PARTITION BY lap ORDER BY rn) AS dy FROM xy) z"""),
-    "median_dt": _w("SELECT ROUND(median(d), 6) AS dt FROM (SELECT t_s - LAG(t_s) OVER (ORDER BY t_s, event_id) AS d FROM tel) z"),
-    "dvdt": _w("SELECT lap, rn, ROUND((v - LAG(v) OVER (PARTITION BY lap ORDER BY rn)) / 5e-1, 6) AS dvdt FROM tel"),
+    "median_dt": _w("SELECT session, ROUND(median(d), 6) AS dt FROM (SELECT CAST(lap % 3 AS INT) AS session, t_s - LAG(t_s) OVER (PARTITION BY lap % 3 ORDER BY t_s, event_id) AS d FROM tel) z GROUP BY session"),
+    "dvdt": _w("""SELECT event_id, ROUND(dv / dt, 6) AS dvdt FROM (SELECT lap % 3 AS session, event_id, v - LAG(v) OVER (PARTITION BY lap % 3 ORDER BY t_s, event_id) AS dv FROM tel) a
+        JOIN (SELECT session, median(d) AS dt FROM (SELECT lap % 3 AS session, t_s - LAG(t_s) OVER (PARTITION BY lap % 3 ORDER BY t_s, event_id) AS d FROM tel) z GROUP BY session) b USING (session)"""),
     "speed_units": _w("SELECT event_id, ROUND(v, 6) AS ms, ROUND(v / 3.6e0, 6) AS kmh, ROUND(v * 0.44704e0, 6) AS mph FROM tel"),
     "card_deltas": _w(f"SELECT lap, turn, {_round('delta_s_to_apex_m', *issues.METRICS)} FROM dl"),
     "ev_absolute": _w("""SELECT lap, turn, 'heavy_brake' AS type, ROUND(a_long_peak / 9.81e0, 6) AS a_long_peak_g, ROUND(s_apex - s_brake_onset, 6) AS delta_s_to_apex_m, NULL::DOUBLE AS Ventry, NULL::DOUBLE AS Vmin
@@ -155,17 +178,20 @@ ORACLES = {
     "stability_score": _w(f"SELECT turn, {_round('stability_score')} FROM ss"),
     "issue_scores": _w(f"SELECT turn, {_round('comp_s', 'comp_v', 'comp_sev', 'comp_freq', 'score')} FROM sc"),
     "composite_scores": _w(f"SELECT turn, {_round('composite_score', 'stability_score')} FROM co"),
-    "labels": _w("""SELECT turn, CASE WHEN stability_score >= 0.8 THEN 'very high' WHEN stability_score >= 0.6 THEN 'high' WHEN stability_score >= 0.4 THEN 'medium' ELSE 'low' END AS severity,
-        CASE WHEN stability_score * 30 >= 25 THEN 'critical' WHEN stability_score * 30 >= 20 THEN 'high' WHEN stability_score * 30 >= 15 THEN 'medium' ELSE 'low' END AS priority,
-        CAST(ROW_NUMBER() OVER (ORDER BY stability_score DESC, turn) AS INT) AS rank FROM ss"""),
+    "labels": _w("""SELECT turn, CASE WHEN raw / top >= 0.8 THEN 'Very Poor' WHEN raw / top >= 0.6 THEN 'Poor' WHEN raw / top >= 0.4 THEN 'Average' ELSE 'Good' END AS severity,
+        CASE WHEN composite_score >= 25 THEN 'Very High Priority' WHEN composite_score >= 20 THEN 'High Priority' WHEN composite_score >= 15 THEN 'Medium Priority' ELSE 'Lower Priority' END AS priority, rank
+        FROM (SELECT turn, raw, MAX(raw) OVER () AS top, CAST(ROW_NUMBER() OVER (ORDER BY raw DESC, turn) AS INT) AS rank FROM (SELECT turn,
+        COALESCE(5e-1 * d_delta_s_iqr, 0e0) + COALESCE(3e-1 * d_Vmin_iqr, 0e0) + COALESCE(1e-1 * d_Ventry_iqr, 0e0) + COALESCE(1e-1 * d_a_long_peak_iqr, 0e0) AS raw FROM st) y) z JOIN co USING (turn)"""),
     "issue_counts": _w("SELECT type, COUNT(*) AS n FROM (SELECT unnest(string_split(top_types, ', ')) AS type FROM byturn) z WHERE type NOT IN ('', '-') GROUP BY type"),
     "session_pivot": _w("SELECT turn, MAX(CASE WHEN session = 0 THEN score END) AS s0, MAX(CASE WHEN session = 1 THEN score END) AS s1, MAX(CASE WHEN session = 2 THEN score END) AS s2 FROM se GROUP BY turn"),
-    "session_first_last": _w("""SELECT turn, first_score, last_score, ROUND(spread, 6) AS spread, ROUND(last_score - first_score, 6) AS change,
-        CASE WHEN last_score < first_score THEN 'improved' WHEN last_score > first_score THEN 'worse' ELSE 'same' END AS trend
+    "session_first_last": _w("""SELECT turn, first_score, last_score, ROUND(spread, 6) AS spread, ROUND(first_score - last_score, 6) AS change,
+        CASE WHEN first_score > last_score THEN 'improved' WHEN first_score < last_score THEN 'worsened' ELSE 'stable' END AS trend
         FROM (SELECT turn, arg_min(score, date) AS first_score, arg_max(score, date) AS last_score, MAX(score) - MIN(score) AS spread, COUNT(*) AS n FROM se GROUP BY turn) z WHERE n >= 2"""),
     "common_turns": _w("SELECT turn FROM se WHERE date = (SELECT MIN(date) FROM se) INTERSECT SELECT turn FROM se WHERE date = (SELECT MAX(date) FROM se) ORDER BY turn LIMIT 8"),
-    "laptime_trend": _w("""SELECT arg_min(l, lap) AS first_s, arg_max(l, lap) AS last_s, ROUND(regr_slope(l, i), 6) AS slope, ROUND(regr_intercept(l, i), 6) AS intercept, ROUND(arg_min(l, lap) - arg_max(l, lap), 6) AS improvement_s
-        FROM (SELECT lap, ROUND(laptime_s, 3) AS l, CAST(ROW_NUMBER() OVER (ORDER BY lap) - 1 AS DOUBLE) AS i FROM lt) z"""),
+    "laptime_trend": _w("""SELECT *, ROUND(CASE WHEN first_s > 0 THEN (first_s - last_s) / first_s * 100 ELSE 0 END, 6) AS improvement_pct,
+        CASE WHEN first_s > last_s THEN 'improved' WHEN first_s < last_s THEN 'worsened' ELSE 'stable' END AS trend FROM (
+        SELECT arg_min(l, lap) AS first_s, arg_max(l, lap) AS last_s, ROUND(regr_slope(l, i), 6) AS slope, ROUND(regr_intercept(l, i), 6) AS intercept, ROUND(arg_min(l, lap) - arg_max(l, lap), 6) AS improvement_s
+        FROM (SELECT lap, ROUND(laptime_s, 3) AS l, CAST(ROW_NUMBER() OVER (ORDER BY lap) - 1 AS DOUBLE) AS i FROM lt) z) y"""),
     "step_changes": _w("SELECT session, turn, score, date, ROUND(change, 6) AS change, COALESCE(ABS(change) > 1e0, FALSE) AS marked FROM (SELECT *, score - LAG(score) OVER (PARTITION BY turn ORDER BY date) AS change FROM se) z"),
     "pb_memory_fold": _w("SELECT lap, laptime_s FROM (SELECT *, MIN(laptime_s) OVER (ORDER BY lap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM lt) z WHERE b IS NULL OR laptime_s < b"),
     "eval_summary": "SELECT source, ROUND(AVG(quality), 6) AS quality, ROUND(AVG(toxic), 6) AS toxic, COUNT(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source",
@@ -186,3 +212,8 @@ ORACLES = {
       fin AS (SELECT l.lap, ap.turn, ROUND(p, 6) AS s_apex, ROUND(s_brake_onset, 6) AS s_brake_onset, ROUND(Ventry, 6) AS Ventry, ROUND(Vmin, 6) AS Vmin, ROUND(Vexit, 6) AS Vexit, ROUND(a_long_peak, 6) AS a_long_peak
         FROM (SELECT DISTINCT lap FROM tel) l CROSS JOIN ap LEFT JOIN met USING (lap, turn)) SELECT * FROM fin"""),
 }
+
+from apexlake.plans import signals  # noqa: E402
+
+QUERIES |= signals.QUERIES
+ORACLES |= {name: _w(sql) for name, sql in signals.ORACLES.items()}
