@@ -66,10 +66,11 @@ def test_jaccard_is_brute_force(spark):
 
 def test_trees_alone_find_all_pairs(spark):
     """Dual traversal from scratch: every linked pair is among the candidates."""
-    sets = [Words(strings(pa.array([t]))).shingles()[0] for t in TEXTS]
-    from apexlake.llm.jaccard import _BITS, _prefix, SIGNATURE
+    from apexlake.llm.jaccard import _BITS, _prefix, SIGNATURE, WIDE
     import numpy as np
 
+    sets = [Words(strings(pa.array([t]))).shingles()[0] >> np.uint64(64 - WIDE) for t in TEXTS]
+
     out, often = [], np.zeros(1 << 20, np.int64)
     for i, s in enumerate(sets):
         bits = np.zeros(SIGNATURE * 64, bool)
@@ -78,7 +79,7 @@ def test_trees_alone_find_all_pairs(spark):
             out.append((int(t.view(np.int64)), i, spot, i, len(s), *np.packbits(bits, bitorder="little").view(np.int64).tolist()))
     entries = spark.createDataFrame(out, "token long, cls long, spot int, comp long, n long, " + ", ".join(f"{b} long" for b in _BITS))
     entries = entries.withColumn("k", F.count("*").over(Window.partitionBy("token")))
-    got = {(a, b) for a, b in rows(jaccard.candidates(entries, 80, Scratch(spark), leaf=2, fan=2, tree=7))}
+    got = {(a, b) for a, b, _ in rows(jaccard.candidates(entries, 80, Scratch(spark), leaf=2, fan=2, tree=7))}
     plain = [set(s.tolist()) for s in sets]
     for i in range(len(plain)):
         for j in range(i):
