@@ -46,9 +46,29 @@ def first_last(scores: DataFrame) -> DataFrame:
 
 
 def long_table(sessions: DataFrame) -> DataFrame:
-    """(session, date, turn, composite_score): top issues of all sessions; without a composite the issue score, else 0."""
-    score = F.coalesce(*(F.col(c) for c in ("composite_score", "score") if c in sessions.columns), F.lit(0.0))
-    return sessions.select("session", "date", "turn", score.cast("double").alias("composite_score"))
+    """(session, date, turn, composite_score, issue_score, stability_score, events_count): top issues of all sessions.
+
+    Without a column composite_score the issue score stands for it; what is absent or null is 0. A single
+    session has nothing to compare with: no rows.
+    """
+    def number(*names: str, kind: str = "double") -> F.Column:
+        own = [c for c in names if c in sessions.columns][:1]
+        return F.coalesce(*(F.col(c).cast(kind) for c in own), F.lit(0).cast(kind))
+
+    several = sessions.agg((F.min("session") < F.max("session")).alias("_several"))
+    rows = sessions.crossJoin(F.broadcast(several)).where("_several")
+    return rows.select("session", "date", "turn", number("composite_score", "score").alias("composite_score"), number("score").alias("issue_score"), number("stability_score").alias("stability_score"), number("events_count", kind="long").alias("events_count"))
+
+
+def improvements(scores: DataFrame) -> DataFrame:
+    """first_last() + improvement_pct, the change in per cent of the first score."""
+    percent = F.when(F.col("first_score") > 0, F.col("change") / F.col("first_score") * 100).otherwise(0.0)
+    return first_last(scores).withColumn("improvement_pct", percent)
+
+
+def largest(scores: DataFrame, k: int) -> DataFrame:
+    """(turn, mean): the k turns with the highest mean score over sessions; ties by turn."""
+    return scores.groupBy("turn").agg(F.avg("score").alias("mean")).orderBy(F.desc("mean"), "turn").limit(k)
 
 
 def timed(sessions: DataFrame) -> DataFrame:

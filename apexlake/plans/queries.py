@@ -213,7 +213,7 @@ ORACLES = {
         FROM (SELECT DISTINCT lap FROM tel) l CROSS JOIN ap LEFT JOIN met USING (lap, turn)) SELECT * FROM fin"""),
 }
 
-from apexlake.plans import signals  # noqa: E402
+from apexlake.plans import reports, signals  # noqa: E402
 
-QUERIES |= signals.QUERIES
-ORACLES |= {name: _w(sql) for name, sql in signals.ORACLES.items()}
+QUERIES |= signals.QUERIES | reports.QUERIES
+ORACLES |= {name: _w(sql) for name, sql in (signals.ORACLES | reports.ORACLES).items()}
