@@ -43,9 +43,9 @@ UNKNOWN = (
     "Released under pressure, version 3 of the public work.", "The copyright office is open on weekdays.",
     "Licensed to sell food and drinks.", "Under the license of the city the market may open.",
 )
-#: Only paragraphs with one of these are scored; every template has one.
-ANCHORS = ("license", "licensed", "licence", "rights", "permission", "redistribution", "gnu", "spdx")
-WORD = "[^a-z0-9]+"
+#: Templates of more words than this may be wrapped over lines; shorter ones are looked for within lines alone.
+WRAPPED = 12
+WORD, BLANK = "[^a-z0-9]+", "\n[ \t\r]*(?:\n[ \t\r]*)+"
 
 
 def _grams(text: str) -> set[str]:
@@ -55,6 +55,22 @@ def _grams(text: str) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
+def needed(least_similarity: float) -> list[str]:
+    """Words of which each confirmed paragraph has one: without those of a template too many of its n-grams are missing.
+
+    The longest words of each template are taken until their absence leaves less than ``least_similarity``.
+    """
+    out: set[str] = set()
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        grams, chosen = _grams(text), set()
+        for word in sorted((g for g in grams if " " not in g), key=lambda w: (-len(w), w)):
+            chosen.add(word)
+            if sum(not chosen & set(g.split()) for g in grams) < least_similarity * len(grams):
+                break
+        out |= chosen
+    return sorted(out)
+
+
 def train(l2: float = 3e-3, steps: int = 300, seed: int = 3) -> tuple[dict[str, list[float]], list[float], float]:
     """Weights of each n-gram by class (families, then unknown), intercepts, and the temperature.
 
@@ -98,10 +114,12 @@ def train(l2: float = 3e-3, steps: int = 300, seed: int = 3) -> tuple[dict[str,
 def scan(docs: DataFrame, scratch: Scratch, least_probability: float = 0.5, least_similarity: float = 0.6) -> DataFrame:
     """Licenses named in each document: (doc_id, n_paragraphs, n_found, n_unknown, families, probability).
 
-    Paragraphs are the lines of whole texts. Those with an anchor word are scored by the classifier; its
-    family is confirmed if the paragraph holds at least ``least_similarity`` of the words and word pairs
-    of one of the family's templates, else the paragraph counts as unknown. families: the confirmed
-    ones, sorted, with commas; probability: the largest of them.
+    Paragraphs of whole texts end at blank lines. Their lines, and the paragraph as a whole if it has
+    several, are scored by the classifier; its family is confirmed if the line holds at least
+    ``least_similarity`` of the words and word pairs of one of the family's templates, or the paragraph of
+    one of more than WRAPPED words. Pieces without any word of needed() can't be confirmed and aren't
+    scored. n_found: paragraphs with a confirmed family; n_unknown: other paragraphs that were scored.
+    families: the confirmed ones, sorted, with commas; probability: the largest of them.
 
     Null or empty text: no paragraphs found. Repeated rows: a row each. Null doc_id: kept. Empty table:
     no rows. Other columns are ignored.
@@ -111,20 +129,26 @@ def scan(docs: DataFrame, scratch: Scratch, least_probability: float = 0.5, leas
     spark = scratch.spark
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("body", F.xxhash64("text"))
-    anchor = r"(?i)\b(?:" + "|".join(ANCHORS) + r")\b"
+    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(needed(least_similarity)) + r")(?![a-z0-9])"
     found = rows.where(F.col("text").rlike(anchor)).dropDuplicates(["doc_id", "body"])
-    found = found.select("doc_id", "body", F.posexplode(F.split("text", "\n")).alias("at", "paragraph")).where(F.col("paragraph").rlike(anchor))
-    found = found.select("doc_id", "body", "at", F.array_remove(F.split(F.lower("paragraph"), WORD), "").alias("w"))
+    found = found.select("doc_id", "body", F.posexplode(F.split("text", BLANK)).alias("at", "paragraph")).where(F.col("paragraph").rlike(anchor))
+    lines = F.split("paragraph", "\n")
+    piece = lambda text, wide: F.struct(text.alias("text"), F.lit(wide).alias("wide"))
+    pieces = F.concat(F.transform(F.filter(lines, lambda x: x.rlike(anchor)), lambda x: piece(x, False)), F.when(F.size(lines) > 1, F.array(piece(F.col("paragraph"), True))).otherwise(F.array().cast("array<struct<text:string,wide:boolean>>")))
+    found = found.select("doc_id", "body", "at", F.posexplode(pieces).alias("i", "piece"))
+    found = found.select("doc_id", "body", "at", "i", "piece.wide", F.array_remove(F.split(F.lower("piece.text"), WORD), "").alias("w"))
     pairs = F.expr("transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))")
-    found = scratch.save(found.select("doc_id", "body", "at", F.array_distinct(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("grams")))
+    found = scratch.save(found.select("doc_id", "body", "at", "i", "wide", F.array_distinct(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("grams")))
     table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")
     templates = {name: [sorted(_grams(t)) for t in texts] for name, texts in TEMPLATES.items()}
+    share = lambda t: F.size(F.array_intersect("grams", F.array(*map(F.lit, t)))) / F.lit(len(t))
+    long = lambda t: sum(" " not in g for g in t) > WRAPPED
     likeness = F.array(*(
-        F.greatest(*(F.size(F.array_intersect("grams", F.array(*map(F.lit, t)))) / F.lit(len(t)) for t in texts), F.lit(0.0))
+        F.greatest(*(share(t) if long(t) else F.when(~F.col("wide"), share(t)) for t in texts), F.lit(0.0))
         for texts in templates.values()
     ))
-    sums = found.select("doc_id", "body", "at", likeness.alias("like"), F.explode("grams").alias("gram")).join(F.broadcast(table), "gram", "left")
-    sums = sums.groupBy("doc_id", "body", "at").agg(
+    sums = found.select("doc_id", "body", "at", "i", likeness.alias("like"), F.explode("grams").alias("gram")).join(F.broadcast(table), "gram", "left")
+    sums = sums.groupBy("doc_id", "body", "at", "i").agg(
         F.any_value("like").alias("like"), *(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"z{k}") for k in range(len(names)))
     )
     sums = sums.withColumn("top", F.greatest(*(F.col(f"z{k}") + intercept[k] for k in range(len(names)))))
@@ -133,14 +157,14 @@ def scan(docs: DataFrame, scratch: Scratch, least_probability: float = 0.5, leas
     for k in range(len(names) - 2, -1, -1):
         best = F.col(f"z{k}") + intercept[k] == F.col("top")
         family, likest = F.when(best, names[k]).otherwise(family), F.when(best, F.col("like")[k]).otherwise(likest)
-    judged = sums.select("doc_id", "body", family.alias("family"), (1 / total).alias("p"), likest.alias("likest"))
+    judged = sums.select("doc_id", "body", "at", family.alias("family"), (1 / total).alias("p"), likest.alias("likest"))
     sure = (F.col("family") != names[-1]) & (F.col("p") >= least_probability) & (F.col("likest") >= least_similarity)
     per = judged.withColumn("sure", F.coalesce(sure, F.lit(False))).groupBy("doc_id", "body").agg(
-        F.count_if("sure").alias("n_found"), F.count_if(~F.col("sure")).alias("n_unknown"),
+        F.size(F.collect_set(F.when(F.col("sure"), F.col("at")))).cast("long").alias("n_found"), F.size(F.collect_set("at")).cast("long").alias("scored"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("sure"), F.col("family")))), ",").alias("families"), F.max(F.when(F.col("sure"), F.col("p"))).alias("probability"),
     )
-    per = scratch.save(per)
-    every = rows.select("doc_id", "body", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_paragraphs"))
+    per = scratch.save(per.withColumn("n_unknown", F.col("scored") - F.col("n_found")))
+    every = rows.select("doc_id", "body", F.size(F.filter(F.split("text", BLANK), lambda x: x.rlike(r"\S"))).cast("long").alias("n_paragraphs"))
     none = F.lit(0).cast("long")
     return every.join(per, every.doc_id.eqNullSafe(per.doc_id) & (every.body == per.body), "left").select(
         every.doc_id, "n_paragraphs", F.coalesce("n_found", none).alias("n_found"), F.coalesce("n_unknown", none).alias("n_unknown"), F.coalesce("families", F.lit("")).alias("families"), "probability"

@@ -180,6 +180,24 @@ def test_licenses(spark):
     assert got == {0: ("apache-2.0", 0), 1: ("mit", 0), 2: ("all-rights-reserved", 0), 3: ("", 1), 4: ("", 0), 5: ("", 0), 6: ("", 0), 7: ("cc-by-nc", 0), 8: ("gpl", 0)}
 
 
+def test_wrapped_licenses(spark):
+    gpl = "# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU General Public\n# License as published by the Free Software Foundation"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"
+    mit = "Permission is hereby granted, free of charge,\r\nto any person obtaining a copy of this software\r\nand associated documentation files"
+    spread = "\n".join(prose(30, i) + " " + w for i, w in enumerate(("all", "rights", "reserved")))
+    texts = [gpl, bsd + "\n \n" + mit, "\n\n".join([prose(40, 3), gpl, "All rights reserved.", prose(40, 4)]), spread, bsd.replace("\n", "\n\n\n")]
+    got = {r.doc_id: (r.families, r.n_found, r.n_paragraphs) for r in licenses.scan(docs(spark, texts), Scratch(spark)).collect()}
+    assert got == {0: ("gpl", 1, 1), 1: ("bsd,mit", 2, 2), 2: ("all-rights-reserved,gpl", 2, 4), 3: ("", 0, 1), 4: ("", 0, 3)}
+
+
+def test_license_gate_loses_nothing():
+    words = set(licenses.needed(0.6))
+    for text in (t for texts in licenses.TEMPLATES.values() for t in texts):
+        grams = licenses._grams(text)
+        without = {g for g in grams if not words & set(g.split())}
+        assert len(without) < 0.6 * len(grams)
+
+
 def test_toxicity_and_quality(spark):
     r = random.Random(8)
     bad = lambda t: " ".join(x if r.random() > 0.06 else r.choice(["vile", "scumbag", "rotten"]) for x in t.split())
