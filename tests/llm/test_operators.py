@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import io
 import random
 from collections import Counter, defaultdict
 
@@ -234,6 +235,19 @@ def test_warc(spark):
         assert r.response.payload is None if page_id in (5, 9) else bytes(r.response.payload) == data
 
 
+def test_warc_names_records_and_odd_archives(spark):
+    page = "<p>" + "same " * 40
+    table = [(5, "http://a", page, "", ""), (2, "http://b", page, "", ""), (None, "http://c", page, "", ""), (2, "http://d", page, "", "")]
+    scratch = Scratch(spark)
+    got = warc.archive(spark.createDataFrame(table, PAGES), scratch, scratch.path()).collect()
+    ids = {r.capture_id for r in got if r.metadata.page_id == 2}
+    again = [r for r in got if r.response.record_type == "revisit"]
+    assert len(got) == 4 and len(ids) == 2 and len(again) == 1 and again[0].response.refers_id in ids and again[0].response.refers_to == 2
+    assert warc.archive(spark.createDataFrame([], PAGES), scratch, scratch.path()).count() == 0
+    odd = b"WARC/1.1\r\nWARC-Type: warcinfo\r\n\r\nWARC/1.1\r\nWARC-Type:response\r\nX: \xff\r\nContent-Length: 4\r\n\r\na\r\nb\r\n\r\n"
+    assert [(h["warc-type"], b) for h, b in warc.parse(io.BytesIO(odd))] == [("warcinfo", b""), ("response", b"a\r\nb")]
+
+
 def test_urls(spark):
     table = [(i, f"https://www.{h}.example.org/en/{i}", "<p>sunny garden with flowers casino", "", "") for i, h in enumerate(["sunnygarden", "flowers", "garden-flowers", "casino-win", "adult-x", "casinowin"] * 20)]
     table += [(900, None, None, "", ""), (901, "nothing", "", "", ""), (902, "http://A.COM/en/x?q", "", "", ""), (903, "http://x.example.com/en/71#y", "", "", ""), (904, "http://example.net/de/80", "", "", ""), (905, "http://b.net/de/9", "", "", ""), (906, "http://notcom/en/", "", "", "")]
