@@ -137,8 +137,9 @@ def scan(docs: DataFrame, scratch: Scratch, least_probability: float = 0.5, leas
     pieces = F.concat(F.transform(F.filter(lines, lambda x: x.rlike(anchor)), lambda x: piece(x, False)), F.when(F.size(lines) > 1, F.array(piece(F.col("paragraph"), True))).otherwise(F.array().cast("array<struct<text:string,wide:boolean>>")))
     found = found.select("doc_id", "body", "at", F.posexplode(pieces).alias("i", "piece"))
     found = found.select("doc_id", "body", "at", "i", "piece.wide", F.array_remove(F.split(F.lower("piece.text"), WORD), "").alias("w"))
+    # Of a piece only what the model or a template knows is kept.
     pairs = F.expr("transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))")
-    found = scratch.save(found.select("doc_id", "body", "at", "i", "wide", F.array_distinct(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("grams")))
+    found = scratch.save(found.select("doc_id", "body", "at", "i", "wide", F.array_intersect(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))), F.array(*map(F.lit, weights))).alias("grams")))
     table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")
     templates = {name: [sorted(_grams(t)) for t in texts] for name, texts in TEMPLATES.items()}
     share = lambda t: F.size(F.array_intersect("grams", F.array(*map(F.lit, t)))) / F.lit(len(t))
