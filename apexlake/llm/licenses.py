@@ -55,15 +55,20 @@ def _grams(text: str) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
+#: Words of licences that other texts rarely have, and those that they often have: the first and the last to be taken.
+RARE = ("license", "licensed", "rights", "reserved", "permission", "redistribution", "redistribute", "gnu", "spdx", "mozilla", "creative", "cc")
+COMMON = frozenset("a all and any are as by can charge except following for free general granted in is it later may not obtaining of or person program provided public published released source subject terms that the this to under use version with without work you".split())
+
+
 def needed(least_similarity: float) -> list[str]:
     """Words of which each confirmed paragraph has one: without those of a template too many of its n-grams are missing.
 
-    The longest words of each template are taken until their absence leaves less than ``least_similarity``.
+    RARE words of each template are taken first, then the longest, COMMON ones last, until their absence leaves less than ``least_similarity``.
     """
     out: set[str] = set()
     for text in (t for texts in TEMPLATES.values() for t in texts):
         grams, chosen = _grams(text), set()
-        for word in sorted((g for g in grams if " " not in g), key=lambda w: (-len(w), w)):
+        for word in sorted((g for g in grams if " " not in g), key=lambda w: (w not in RARE, w in COMMON, -len(w), w)):
             chosen.add(word)
             if sum(not chosen & set(g.split()) for g in grams) < least_similarity * len(grams):
                 break
