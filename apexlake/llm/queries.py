@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, lines, packing, quality, rules, toxicity, urls, warc
+from . import decontaminate, jaccard, licenses, lines, middle, packing, quality, rules, toxicity, trie, urls, warc
 from .common import Scratch
 
 
@@ -67,10 +67,25 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
-QUERIES = {"op6_jaccard": op6_jaccard, "op1_decontamination": op1_decontamination, "op8_lines": op8_lines, "op2_rules": op2_rules, "op7_licenses": op7_licenses, "op4_warc": op4_warc, "op5_urls": op5_urls, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return scratch.last(trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations"), scratch), scratch))
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(table(spark, sf_dir, "documents"), Scratch(spark))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+QUERIES = {"op6_jaccard": op6_jaccard, "op1_decontamination": op1_decontamination, "op8_lines": op8_lines, "op2_rules": op2_rules, "op7_licenses": op7_licenses, "op4_warc": op4_warc, "op5_urls": op5_urls, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing, "op11_trie": op11_trie, "op12_middle": op12_middle}
 
 ORACLES: dict[str, str] = {
     "op2_rules": rules.SQL,
+    "op11_trie": trie.SQL,
+    "op12_middle": middle.SQL,
     "op4_warc": """
         WITH p AS (SELECT page_id, COALESCE(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
