@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, lines, middle, packing, quality, rules, toxicity, trie, urls, warc
+from . import decontaminate, jaccard, licenses, lines, middle, neighbours, packing, quality, rules, toxicity, trie, urls, warc
 from .common import Scratch
 
 
@@ -80,7 +80,12 @@ def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_jaccard": op6_jaccard, "op1_decontamination": op1_decontamination, "op8_lines": op8_lines, "op2_rules": op2_rules, "op7_licenses": op7_licenses, "op4_warc": op4_warc, "op5_urls": op5_urls, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing, "op11_trie": op11_trie, "op12_middle": op12_middle}
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return scratch.last(neighbours.search(table(spark, sf_dir, "embeddings"), scratch))
+
+
+QUERIES = {"op6_jaccard": op6_jaccard, "op1_decontamination": op1_decontamination, "op8_lines": op8_lines, "op2_rules": op2_rules, "op7_licenses": op7_licenses, "op4_warc": op4_warc, "op5_urls": op5_urls, "op3_toxicity": op3_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing, "op11_trie": op11_trie, "op12_middle": op12_middle, "op13_neighbours": op13_neighbours}
 
 ORACLES: dict[str, str] = {
     "op2_rules": rules.SQL,

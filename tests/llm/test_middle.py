@@ -31,7 +31,7 @@ def brute(doc_id, text, unit="."):
     return doc_id, n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
 
 
-@pytest.mark.parametrize(("unit", "run"), [(".", 256), (".", 1), (r"[a-zé]+", 7), (r"[^\n]*\n", 2)])
+@pytest.mark.parametrize(("unit", "run"), [(".", 256), (".", 1), (r"[a-zé]+", 7), (r"[^\n]{0,20}\n", 2)])
 def test_is_plain_python_and_comes_back(spark, unit, run):
     d = docs(spark, TEXTS).unionByName(spark.createDataFrame([(None, "no id"), (None, "no id either"), (None, None), (3, "same id"), (3, "same id")], "doc_id long, text string"), allowMissingColumns=True)
     d = d.withColumns({"n": F.lit("x"), "id": F.lit(1), "hash": F.lit(2), "low": F.lit(3), "at": F.lit(4)})  # clashing names
