@@ -1,12 +1,12 @@
 """Smoothing, map projection, resampling, curvature and apexes.
 
-Everything up to curvature is column expressions over windows of a session's keys. Apexes come from
-profiles of a fixed number of points, so they are found by a grouped numpy function, a group for each
-session; parallelism is over sessions.
+Everything is column expressions over windows of a session's keys; parallelism is over sessions. Apexes come
+from profiles of a fixed number of points: windows find the local maxima, and folds over arrays of these pick apexes.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,18 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from apexlake.operators import ordered
+
 Keys = Sequence[str]
 
 #: WGS 84: semi-major axis in metres, flattening.
 AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
 
 
-def odd_window(dt: float, seconds: float, least: int = 5) -> int:
-    """Samples of so many seconds, odd, at least ``least``."""
-    n = max(least, int(seconds / dt))
-    return n if n % 2 else n + 1
-
-
 def hat_matrix(window: int, degree: int) -> np.ndarray:
     """Row i: weights of the window's values in the fitted polynomial at the window's i-th place."""
     a = np.vander(np.arange(window) - window // 2, degree + 1, increasing=True).astype(float)
@@ -117,113 +113,170 @@ def curvature(line: DataFrame, order: str = "gi", keys: Keys = ()) -> DataFrame:
     return rows.withColumn("kappa", kappa).drop("_x1", "_y1", "_x2", "_y2")
 
 
-def peaks(height: np.ndarray, least: float, distance: int, prominence: float) -> np.ndarray:
-    """Places of local maxima (the middle of a flat top) that are high, apart and prominent enough."""
-    rises = np.flatnonzero(np.diff(height) != 0)
-    starts, ends = np.concatenate(([0], rises + 1)), np.concatenate((rises, [len(height) - 1]))
-    level = height[starts]
-    top = np.zeros(len(level), bool)
-    top[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
-    at = ((starts + ends) // 2)[top]
-    at = at[height[at] >= least]
-    kept = np.ones(len(at), bool)
-    for i in np.argsort(height[at], kind="stable")[::-1]:
-        if kept[i]:
-            close = np.abs(at - at[i]) < distance
-            kept &= ~close
-            kept[i] = True
-    at = at[kept]
-    drop = np.empty(len(at))
-    for j, p in enumerate(at):
-        higher = np.flatnonzero(height > height[p])
-        left, right = higher[higher < p], higher[higher > p]
-        low = left[-1] + 1 if len(left) else 0
-        high = right[0] if len(right) else len(height)
-        drop[j] = height[p] - max(height[low : p + 1].min(), height[p:high].min())
-    return at[drop >= prominence]
-
-
-def merged(at: np.ndarray, height: np.ndarray, s: np.ndarray, gap_m: float) -> np.ndarray:
-    """Peaks, ascending; while the next is nearer than the gap to the one kept last, the higher of both stays."""
-    out: list[int] = []
-    for p in at[np.argsort(s[at], kind="stable")].tolist():
-        if out and s[p] - s[out[-1]] < gap_m:
-            if height[p] > height[out[-1]]:
-                out[-1] = p
-        else:
-            out.append(p)
-    return np.array(out, int)
-
-
-def found(s: np.ndarray, kappa: np.ndarray, q: float, gap_m: float, prominence: float, merge_m: float) -> tuple[np.ndarray, np.ndarray]:
-    """Peaks before and after the merge; empty profiles have none."""
-    if not len(kappa):
-        return np.zeros(0, int), np.zeros(0, int)
-    step = np.median(np.diff(s)) if len(s) > 1 else 0.0
-    distance = max(1, int(gap_m / step)) if step > 0 else 10
-    low, high = np.percentile(kappa, (25, 75))
-    before = peaks(kappa, np.quantile(kappa, q), distance, prominence * (high - low))
-    return before, merged(before, kappa, s, merge_m)
+def smoothed(rows: DataFrame, column: str, out: str, seconds: float, steps: DataFrame, degree: int = 2, order: str = "rn", keys: Keys = ("lap",), least: int = 5) -> DataFrame:
+    """+ out: as savgol(), each session by a window of so many seconds of its own median time step.
+
+    steps: (keys, dt), as laps.median_dt() gives. A session's rows are numbered in units of its window, so that one
+    range frame holds each session's own window, whatever its length; the weights are a row for each
+    window length and place in the window, made where lengths occur and joined. Sessions shorter than their window stay as they are;
+    rows whose window has a null are null. Sessions without a step get none smoothed. Rows equal in order are in undefined order.
+    """
+    odd = F.greatest(F.lit(least), F.floor(F.lit(seconds) / F.col("dt")).cast("int"))
+    steps = steps.select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)), (odd + (odd + 1) % 2).alias("_w"))
+    group = W.partitionBy(*keys)
+    rows = rows.withColumns({"_i": F.row_number().over(group.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(group)})
+    met = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    rows = (rows.join(steps, met, "left") if met else rows.crossJoin(F.broadcast(steps))).drop(*(f"_g{i}" for i in range(len(keys))))
+    rows = rows.withColumn("_fits", F.coalesce(F.col("_n") >= F.col("_w"), F.lit(False)))
+    rows = rows.withColumn("_u", F.when(F.col("_fits"), 4.0 * F.col("_i") / (F.col("_w") - 1)).otherwise(16.0 * F.col("_i")))
+    near = group.orderBy("_u").rangeBetween(-5, 5)
+    rows = rows.withColumns({"_v": F.collect_list(F.struct("_i", F.col(column).cast("double").alias("x"))).over(near), "_lo": F.least(F.greatest(F.col("_i") - F.floor(F.col("_w") / 2), F.lit(0)), F.col("_n") - F.col("_w"))})
+    rows = rows.withColumn("_at", F.when(F.col("_fits"), (F.col("_i") - F.col("_lo")).cast("int")))
+    weights = hats(steps.select("_w").distinct(), degree).withColumnRenamed("_w", "_ww")
+    rows = rows.join(weights, (F.col("_w") == F.col("_ww")) & (F.col("_at") == F.col("_place")), "left")
+    part = F.slice("_v", (F.col("_lo") - F.col("_v")[0]["_i"] + 1).cast("int"), F.col("_w"))
+    smooth = F.aggregate(F.zip_with(part, "_weights", lambda v, w: v["x"] * w), F.lit(0.0), lambda a, b: a + b)
+    return rows.withColumn(out, F.when(F.col("_fits"), smooth).otherwise(F.col(column))).drop("_i", "_n", "_w", "_fits", "_u", "_v", "_lo", "_at", "_ww", "_place", "_weights")
+
+
+def hats(windows: DataFrame, degree: int) -> DataFrame:
+    """(_w, _place, _weights): hat_matrix() of each window length (_w), a row for each place."""
+
+    def made(batches):
+        for batch in batches:
+            for w in batch["_w"].dropna():
+                yield pd.DataFrame({"_w": w, "_place": range(w), "_weights": list(hat_matrix(int(w), degree))})
+
+    return windows.mapInPandas(made, "_w int, _place int, _weights array<double>")
+
+
+def acceleration(rows: DataFrame, steps: DataFrame, sensor: str = "longitudinal_acc_g", speed: str = "v_smooth", order: str = "rn", keys: Keys = ("lap",), seconds: float = 0.2) -> DataFrame:
+    """+ a_long in m/s2, source: the sensor's g, smoothed, in sessions where it says anything, else the change of speed over the median step.
+
+    Rows whose window has a null reading are null; the first row of a session without a sensor is null too.
+    """
+    group = W.partitionBy(*keys)
+    rows = rows.withColumns({"_sensed": F.count(sensor).over(group) > 0, "_g": F.col(sensor) * 9.81})
+    rows = smoothed(rows, "_g", "_a", seconds, steps, 2, order, keys)
+    rows = rows.join(steps.select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)), "dt"), [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)], "left")
+    change = (F.col(speed) - F.lag(speed).over(group.orderBy(order))) / F.col("dt")
+    rows = rows.withColumns({"a_long": F.when(F.col("_sensed"), F.col("_a")).otherwise(change), "source": F.when(F.col("_sensed"), "sensor_g").otherwise("dvdt")})
+    return rows.drop("_sensed", "_g", "_a", "dt", *(f"_g{i}" for i in range(len(keys))))
 
 
 DEFAULT = {"q": 0.78, "min_gap_m": 65.0, "prom_mult": 0.6, "merge_gap_m": 45.0}
 #: The grid of the scan, and the orders of the three stages of tuning.
 GRID = {"q": (0.75, 0.78, 0.80), "min_gap_m": (55.0, 65.0, 75.0), "prom_mult": (0.5, 0.6, 0.7), "merge_gap_m": (40.0, 45.0, 55.0)}
-TUNING = [DEFAULT | {"q": q} for q in GRID["q"]] + [DEFAULT | {"min_gap_m": g} for g in GRID["min_gap_m"]] + [DEFAULT | {"prom_mult": p, "merge_gap_m": m} for p in GRID["prom_mult"] for m in GRID["merge_gap_m"]]
+TUNING = [DEFAULT | {"q": q} for q in GRID["q"]] + [DEFAULT | {"min_gap_m": g} for g in GRID["min_gap_m"]] + [DEFAULT | {"prom_mult": p, "merge_gap_m": m} for p in GRID["prom_mult"] for m in GRID["merge_gap_m"]] + [DEFAULT]
+_SETTING = "q double, min_gap_m double, prom_mult double, merge_gap_m double"
+#: A top of a profile: place in it (the middle of a flat top), position, height, and the lowest value between it and the top before.
+_STACK = "array<struct<h: double, low: double>>"
 
 
-def _profiles(line: DataFrame, keys: Keys, shape: str, rows_of) -> DataFrame:
-    """rows_of(s, kappa) for each session's profile, with the session's keys."""
-    types = dict(line.dtypes)
-    names = [c.split()[0] for c in shape.split(", ")]
+def _lowest(tops: Column, valley: str) -> Column:
+    """Of each top, in order: the lowest value between it and the last strictly higher top before it, or the profile's end.
 
-    def run(group: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("s", kind="stable")
-        out = pd.DataFrame(rows_of(own["s"].to_numpy(), own["kappa"].to_numpy()), columns=names)
-        for i, k in enumerate(keys):
-            out.insert(i, k, group[i])
-        return out
+    A stack of tops, each lower than the one below: what a top is at least as high as goes, its lowest value with it.
+    """
 
-    rows = line.where("kappa is not null").select(*keys, "s", "kappa")
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), shape]))
+    def step(state: Column, top: Column) -> Column:
+        low = F.least(top[valley], F.coalesce(F.array_min(F.transform(F.filter(state["open"], lambda e: e["h"] <= top["h"]), lambda e: e["low"])), top[valley]))
+        still = F.filter(state["open"], lambda e: e["h"] > top["h"])
+        return F.struct(F.concat(still, F.array(F.struct(top["h"].alias("h"), low.alias("low")))).alias("open"), F.concat(state["out"], F.array(low)).alias("out"))
 
+    start = F.struct(F.array().cast(_STACK).alias("open"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(tops, start, step, lambda state: state["out"])
 
-def apexes(line: DataFrame, keys: Keys, **options: float) -> DataFrame:
-    """(keys, turn, s_apex, kappa): apexes of each session's profile (s, kappa), numbered from 1 along it."""
-    own = DEFAULT | options
 
-    def rows_of(s, kappa):
-        at = found(s, kappa, *own.values())[1]
-        return [(i, s[p], kappa[p]) for i, p in enumerate(at.tolist(), 1)]
+def tops(line: DataFrame, keys: Keys, qs: Sequence[float]) -> DataFrame:
+    """(keys, tops, heights, step, spread): the local maxima of each session's profile (s, kappa), as one array.
 
-    return _profiles(line, keys, "turn int, s_apex double, kappa double", rows_of)
+    A top: (i, s, h, prominence), i its place in the profile, of a flat top the middle. heights: quantiles at qs; spread: the
+    interquartile range; step: median distance of points. Runs of equal values come from windows; runs at the ends are
+    no tops but bound prominence. Points without kappa or s are left out; sessions without any have no row. A
+    profile has a fixed number of points, so arrays are bounded by it.
+    """
+    whole, along = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("s")
+    rows = line.where("kappa is not null and s is not null").select(*keys, "s", F.col("kappa").cast("double").alias("h"))
+    rows = rows.withColumns({"i": F.row_number().over(along) - 1, "_new": (F.col("h") != F.lag("h").over(along)).cast("int"), "_d": F.col("s") - F.lag("s").over(along)})
+    rows = rows.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    stats = rows.groupBy(*keys).agg(F.percentile("h", F.array(*map(F.lit, (*qs, 0.25, 0.75)))).alias("_q"), F.median("_d").alias("step"))
+    runs = rows.withColumn("_mid", F.floor((F.min("i").over(W.partitionBy(*keys, "_run")) + F.max("i").over(W.partitionBy(*keys, "_run"))) / 2))
+    runs = runs.groupBy(*keys, "_run").agg(F.first("h").alias("h"), F.max("_mid").alias("i"), F.max(F.when(F.col("i") == F.col("_mid"), F.col("s"))).alias("s"))
+    by = whole.orderBy("_run")
+    before, after = F.lag("h").over(by), F.lead("h").over(by)
+    runs = runs.withColumns({"_edge": before.isNull() | after.isNull(), "_top": (before.isNull() | (before < F.col("h"))) & (after.isNull() | (after < F.col("h")))})
+    runs = runs.withColumn("_g", F.sum(F.col("_top").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("_top").cast("int"))
+    hills = runs.groupBy(*keys, "_g").agg(F.min("h").alias("left"), F.max(F.when(F.col("_top"), F.struct("i", "s", "h", "_edge"))).alias("_p"))
+    hills = hills.withColumn("right", F.coalesce(F.lead("left").over(whole.orderBy("_g")), F.col("_p.h"))).where("_p is not null")
+    found = hills.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_p.i").alias("i"), F.col("_p.s").alias("s"), F.col("_p.h").alias("h"), F.col("_p._edge").alias("edge"), "left", "right"))).alias("_t"))
+    found = found.withColumns({"_l": _lowest(F.col("_t"), "left"), "_r": F.reverse(_lowest(F.reverse("_t"), "right"))})
+    both = F.zip_with(F.col("_t"), F.zip_with("_l", "_r", lambda a, b: F.greatest(a, b)), lambda t, low: F.struct(t["i"].alias("i"), t["s"].alias("s"), t["h"].alias("h"), (t["h"] - low).alias("prominence"), t["edge"].alias("edge")))
+    found = found.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.filter(both, lambda t: ~t["edge"]).alias("tops"))
+    met = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]
+    out = stats.join(found, met) if met else stats.crossJoin(F.broadcast(found))
+    return out.select(*keys, "tops", F.slice("_q", 1, len(qs)).alias("heights"), "step", (F.element_at("_q", -1) - F.element_at("_q", -2)).alias("spread"))
+
+
+def peaks(tops: Column, height: Column, distance: Column, prominence: Column) -> Column:
+    """The tops that are high, apart and prominent enough, in order; of two that are too near the higher stays, of equal ones the later."""
+    high = F.reverse(F.array_sort(F.transform(F.filter(tops, lambda t: t["h"] >= height), lambda t: F.struct(t["h"].alias("h"), t["i"].alias("i"), t["s"].alias("s"), t["prominence"].alias("prominence")))))
+    kept = F.aggregate(high, F.slice(high, 1, 0), lambda kept, t: F.when(F.exists(kept, lambda k: F.abs(k["i"] - t["i"]) < distance), kept).otherwise(F.concat(kept, F.array(t))))
+    return F.array_sort(F.transform(F.filter(kept, lambda t: t["prominence"] >= prominence), lambda t: F.struct(t["i"].alias("i"), t["s"].alias("s"), t["h"].alias("h"))))
+
+
+def merged(peaks: Column, gap_m: Column) -> Column:
+    """The peaks; while the next is nearer than the gap to the one kept last, the higher of both stays."""
+
+    def step(kept: Column, t: Column) -> Column:
+        last = F.element_at(kept, -1)
+        near = F.when(t["h"] > last["h"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(t))).otherwise(kept)
+        return F.when(F.size(kept) == 0, F.array(t)).when(t["s"] - last["s"] < gap_m, near).otherwise(F.concat(kept, F.array(t)))
+
+    return F.aggregate(peaks, F.slice(peaks, 1, 0), step)
+
+
+def detected(line: DataFrame, keys: Keys, settings: Sequence[dict[str, float]]) -> DataFrame:
+    """(keys, stage, setting, before, after): peaks of each session's profile by each setting, before and after the merge.
+
+    Settings are crossed with the sessions' tops, not with their profiles.
+    """
+    qs = sorted({o["q"] for o in settings})
+    table = F.array(*(F.struct(F.lit(n).alias("stage"), F.lit(qs.index(o["q"])).alias("at"), *(F.lit(float(o[c])).alias(c) for c in DEFAULT)) for n, o in enumerate(settings)))
+    rows = tops(line, keys, qs).withColumn("setting", F.explode(table))
+    distance = F.when(F.col("step") > 0, F.greatest(F.floor(F.col("setting.min_gap_m") / F.col("step")), F.lit(1))).otherwise(10)
+    before = peaks(F.col("tops"), F.get("heights", F.col("setting.at")), distance, F.col("setting.prom_mult") * F.col("spread"))
+    rows = rows.withColumn("before", before).withColumn("after", merged(F.col("before"), F.col("setting.merge_gap_m")))
+    return rows.select(*keys, "setting.stage", "setting", "before", "after")
 
 
-def curvature_debug(line: DataFrame, keys: Keys, **options: float) -> DataFrame:
-    """(keys, s, kappa_s, is_peak, peak_s_before_merge, peak_s_after_merge): the profile with its peaks marked."""
-    own = DEFAULT | options
+def apexes(line: DataFrame, keys: Keys, **options: float) -> DataFrame:
+    """(keys, turn, s_apex, kappa): apexes of each session's profile (s, kappa), numbered from 1 along it."""
+    rows = detected(line, keys, [DEFAULT | options]).select(*keys, F.posexplode("after").alias("turn", "p"))
+    return rows.select(*keys, (F.col("turn") + 1).alias("turn"), F.col("p.s").alias("s_apex"), F.col("p.h").alias("kappa"))
 
-    def rows_of(s, kappa):
-        before, after = (set(x.tolist()) for x in found(s, kappa, *own.values()))
-        return [(s[i], kappa[i], int(i in before), s[i] if i in before else None, s[i] if i in after else None) for i in range(len(s))]
 
-    return _profiles(line, keys, "s double, kappa_s double, is_peak int, peak_s_before_merge double, peak_s_after_merge double", rows_of)
+def curvature_debug(line: DataFrame, keys: Keys, **options: float) -> DataFrame:
+    """(keys, s, kappa_s, is_peak, peak_s_before_merge, peak_s_after_merge): the profile with its peaks marked."""
+    found = detected(line, keys, [DEFAULT | options])
+    marks = found.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.explode("before").alias("_p"), "after")
+    marks = marks.select(*(f"_k{n}" for n in range(len(keys))), F.col("_p.i").alias("_i"), F.exists("after", lambda a: a["i"] == F.col("_p.i")).alias("_stays"))
+    rows = line.where("kappa is not null and s is not null").withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy("s")) - 1)
+    rows = rows.join(marks, [*(F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)), F.col("_at") == F.col("_i")], "left")
+    peak = F.col("_i").isNotNull()
+    return rows.select(*keys, "s", F.col("kappa").alias("kappa_s"), peak.cast("int").alias("is_peak"), F.when(peak, F.col("s")).alias("peak_s_before_merge"), F.when(F.col("_stays"), F.col("s")).alias("peak_s_after_merge"))
 
 
 def scan(line: DataFrame, keys: Keys, least: int = 12, most: int = 16) -> DataFrame:
     """(keys, q, min_gap_m, prom_mult, merge_gap_m, apex_count, in_target) of all 81 combinations of the grid."""
+    grid = [dict(zip(GRID, own)) for own in itertools.product(*GRID.values())]
+    return detected(line, keys, grid).select(*keys, *(f"setting.{c}" for c in DEFAULT), F.size("after").alias("apex_count"), F.size("after").between(least, most).alias("in_target"))
 
-    def rows_of(s, kappa):
-        out = []
-        for q in GRID["q"]:
-            for gap in GRID["min_gap_m"]:
-                for prominence in GRID["prom_mult"]:
-                    for merge in GRID["merge_gap_m"]:
-                        count = len(found(s, kappa, q, gap, prominence, merge)[1])
-                        out.append((q, gap, prominence, merge, count, least <= count <= most))
-        return out
 
-    return _profiles(line, keys, "q double, min_gap_m double, prom_mult double, merge_gap_m double, apex_count int, in_target boolean", rows_of)
+def candidates(scanned: DataFrame, keys: Keys, first: int = 10) -> DataFrame:
+    """+ place: the first settings of a scan whose count is in the target, in the grid's order; at most so many a session."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*DEFAULT))
+    return scanned.where("in_target").withColumn("place", place).where(F.col("place") <= first)
 
 
 def tuned(line: DataFrame, keys: Keys, least: int = 12, most: int = 16) -> DataFrame:
@@ -231,26 +284,12 @@ def tuned(line: DataFrame, keys: Keys, least: int = 12, most: int = 16) -> DataF
 
     First the quantile varies, then the gap, then prominence and merge gap; without a hit the default stays.
     """
+    rows = detected(line, keys, TUNING).withColumn("n", F.size("after"))
+    hit = F.struct(~F.col("n").between(least, most) & (F.col("stage") < len(TUNING) - 1), F.when(F.col("n").between(least, most), F.col("stage")).otherwise(len(TUNING)))
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct("setting", "n"), hit).alias("b"))
+    return best.select(*keys, *(f"b.setting.{c}" for c in DEFAULT), F.col("b.n").alias("apex_count"))
 
-    def rows_of(s, kappa):
-        for own in [*TUNING, DEFAULT]:
-            count = len(found(s, kappa, *own.values())[1])
-            if least <= count <= most:
-                break
-        return [(*own.values(), count)]
-
-    return _profiles(line, keys, "q double, min_gap_m double, prom_mult double, merge_gap_m double, apex_count int", rows_of)
 
-
-def nearest_points(points: DataFrame, targets: DataFrame, target: str, order: str = "rn", reach_m: float = 50.0, keys: Keys = ()) -> DataFrame:
-    """targets + x, y of the sample whose s is nearest to the target; ties by order. No sample within reach: null.
-
-    An equality join by buckets of the reach, at any number of targets.
-    """
-    bucket = lambda c: F.floor(c / reach_m)
-    wide = targets.withColumn("_id", F.xxhash64(*targets.columns)).withColumn("_b", F.explode(F.array(*(bucket(F.col(target)) + d for d in (-1, 0, 1)))))
-    near = points.select(*keys, F.col("s").alias("_s"), "x", "y", F.col(order).alias("_o"), bucket(F.col("s")).alias("_b"))
-    gap = F.abs(F.col("_s") - F.col(target))
-    best = wide.join(near, [*keys, "_b"]).where(gap <= reach_m).groupBy("_id").agg(F.min_by(F.struct("x", "y"), F.struct(gap.alias("g"), F.col("_o").alias("o"))).alias("p"))
-    rows = targets.withColumn("_id", F.xxhash64(*targets.columns))
-    return rows.join(best, "_id", "left").select(*targets.columns, "p.x", "p.y")
+def nearest_points(points: DataFrame, targets: DataFrame, target: str, order: str = "rn", keys: Keys = ()) -> DataFrame:
+    """targets + x, y of the sample whose s is nearest to the target, however far; ties by order. Without keys all laps count."""
+    return ordered.nearest(targets, target, points, "s", order, ("x", "y"), keys)

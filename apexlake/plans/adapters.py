@@ -21,6 +21,16 @@ XY = """
 SELECT *, ROUND((3e2 + 9e1 * SIN(5e0 * th)) * COS(th), 6) AS x, ROUND((3e2 + 9e1 * SIN(5e0 * th)) * SIN(th), 6) AS y
 FROM (SELECT *, 6.283185307179586e0 * rn / n AS th FROM {tel}) q
 """
+#: Sessions that differ: clocks of their own, every third without a sensor, readings missing, tracks of 5 to 8 lobes.
+TIMED = """
+SELECT event_id, lap, rn, n, v, rn * (1e0 + lap % 4) / 64e0 AS t_s,
+  CASE WHEN lap % 3 > 0 AND event_id % 97 > 0 THEN longitudinal_acc_g END AS longitudinal_acc_g
+FROM {tel}
+"""
+SHAPED = """
+SELECT event_id, lap, rn, ROUND((3e2 + 9e1 * SIN((5e0 + lap % 4) * th)) * COS(th), 6) AS x, ROUND((3e2 + 9e1 * SIN((5e0 + lap % 4) * th)) * SIN(th), 6) AS y
+FROM (SELECT *, 6.283185307179586e0 * rn / n AS th FROM {tel}) q
+"""
 CARDS = """
 SELECT CAST(l_suppkey AS INT) AS lap, l_linenumber AS turn, 1e2 * l_linenumber AS s_apex,
   CASE WHEN MOD(l_suppkey, 10) = 9 THEN NULL
@@ -51,6 +61,14 @@ def xy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(XY, tel=tel(spark, sf_dir))
 
 
+def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(TIMED, tel=tel(spark, sf_dir))
+
+
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SHAPED, tel=tel(spark, sf_dir))
+
+
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CARDS, lineitem=_read(spark, sf_dir, "lineitem"))
 
@@ -58,5 +76,5 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same as common table expressions of the other engine.
 CTES = (
     f"tel AS ({_text(TEL, DUCKDB).replace('{events}', 'events')}), "
-    f"xy AS ({XY.replace('{tel}', 'tel')}), cards AS ({CARDS.replace('{lineitem}', 'lineitem')})"
+    f"xy AS ({XY.replace('{tel}', 'tel')}), timed AS ({TIMED.replace('{tel}', 'tel')}), shaped AS ({SHAPED.replace('{tel}', 'tel')}), cards AS ({CARDS.replace('{lineitem}', 'lineitem')})"
 )

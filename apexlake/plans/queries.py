@@ -145,7 +145,7 @@ lt AS (SELECT lap, MIN(t_s) AS t_min, MAX(t_s) AS t_max, COUNT(t_s) AS samples,
 md AS (SELECT median(laptime_s) AS m FROM lt), gd AS (SELECT lt.*, laptime_s >= 5e-1 * m AND samples >= 200 AS good, m FROM lt, md),
 gl AS (SELECT * FROM gd WHERE good OR NOT (SELECT bool_or(good) FROM gd)), gm AS (SELECT median(laptime_s) AS gm FROM gl),
 se AS (SELECT CAST(lap % 3 AS INT) AS session, turn, ROUND(AVG(Ventry), 6) AS score, '2024-01-0' || (lap % 3 + 1) AS date FROM cards GROUP BY lap % 3, turn)"""
-_w = lambda body: f"WITH {_D} {body}"
+_w = lambda body: f"WITH RECURSIVE {_D} {body}"
 _round = lambda *c: ", ".join(f'ROUND("{x}", 6) AS "{x}"' for x in c)
 _STATS = [f"{a}{m}{b}" for m in issues.METRICS for a, b in (("", "_median"), ("", "_q25"), ("", "_q75"), ("", "_iqr"), ("", "_mean"), ("", "_std"), ("med_|", "|"), ("iqr_|", "|"))]
 
