@@ -30,6 +30,15 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: Names, how: str = "left") -> DataFrame:
+    """The rows with the table's other columns, joined on keys where nulls are equal; without keys the table is one row."""
+    take = [c for c in table.columns if c not in keys]
+    a, b = rows.alias("_left"), table.alias("_right")
+    on = [F.col(f"_left.`{k}`").eqNullSafe(F.col(f"_right.`{k}`")) for k in keys]
+    both = a.join(b, on, how) if on else a.crossJoin(F.broadcast(b))
+    return both.select(*(F.col(f"_left.`{c}`") for c in rows.columns if c not in take), *(F.col(f"_right.`{c}`") for c in take))
+
+
 def running_total(rows: DataFrame, group: Names, order: Names, weight: Column | int, out: str) -> DataFrame:
     """+ out: sum of the weight over the group's rows up to this one, in order; nulls come first.
 

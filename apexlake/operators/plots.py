@@ -32,16 +32,17 @@ def stacked(top: DataFrame) -> DataFrame:
     return top.select("turn", F.explode(F.array(*bars)).alias("b")).select("turn", "b.*")
 
 
-def brake_points(events: DataFrame, cards: DataFrame, points: DataFrame, order: str = "rn", reach_m: float = 50.0) -> DataFrame:
+def brake_points(events: DataFrame, cards: DataFrame, points: DataFrame, order: str = "rn", keys: Sequence[str] = ("lap",)) -> DataFrame:
     """(lap, turn, delta_s_to_apex_m, x_apex, y_apex, x_brake, y_brake) of heavy brakes that have a card.
 
-    Of several cards of a lap and turn the least counts; without an onset the apex stands for it.
+    Of several cards of a lap and turn the least counts; without an onset the apex stands for it. The samples
+    nearest by arc length mark a place, those of the event's lap, or with keys=() of all laps; laps without samples get nulls.
     """
     first = cards.groupBy("lap", "turn").agg(F.min(F.struct("s_apex", "s_brake_onset")).alias("c"))
     rows = events.where("type = 'heavy_brake'").select("lap", "turn", "delta_s_to_apex_m").join(first, ["lap", "turn"])
     rows = rows.select("lap", "turn", "delta_s_to_apex_m", F.col("c.s_apex").alias("s_apex"), F.coalesce("c.s_brake_onset", "c.s_apex").alias("s_brake"))
     for target, name in (("s_apex", "apex"), ("s_brake", "brake")):
-        rows = signal.nearest_points(points, rows, target, order, reach_m, ("lap",)).withColumnsRenamed({"x": f"x_{name}", "y": f"y_{name}"})
+        rows = signal.nearest_points(points, rows, target, order, keys).withColumnsRenamed({"x": f"x_{name}", "y": f"y_{name}"})
     return rows.drop("s_apex", "s_brake")
 
 
@@ -82,9 +83,29 @@ def advised(top: DataFrame, most: int = 2) -> DataFrame:
     return top.select("turn", F.posexplode(_kinds(most)).alias("at", "type")).select("turn", "at", issue_name(F.col("type")).alias("issue")).where("issue is not null")
 
 
-def payload(events: DataFrame) -> DataFrame:
-    """(event_id, payload): the severity of events as JSON with a space after the colon."""
-    return events.select("event_id", F.format_string('{"severity": %s}', F.round("severity", 4).cast("string")).alias("payload"))
+def payload(events: DataFrame, digits: int = 4) -> DataFrame:
+    """(event_id, payload): what the rule found and the severity, as JSON with spaces after colons and commas, numbers in plain decimals."""
+    plain = F.regexp_replace(F.regexp_replace(F.round("severity", digits).cast("decimal(38,10)").cast("string"), r"0+$", ""), r"\.$", ".0")
+    return events.select("event_id", F.concat(F.regexp_replace("ref_flags", r"\}$", ""), F.lit(', "severity": '), plain, F.lit("}")).alias("payload"))
+
+
+def trajectory(points: DataFrame, benchmark_lap: int | None = None, order: str = "rn") -> DataFrame:
+    """(lap, place, x, y, v, benchmark): the track as driven, in order; benchmark marks the reference lap's line."""
+    place = F.row_number().over(W.partitionBy("lap").orderBy("s", order))
+    return points.where("x is not null and y is not null").select("lap", place.alias("place"), "x", "y", "v", F.coalesce(F.col("lap") == F.lit(benchmark_lap), F.lit(False)).alias("benchmark"))
+
+
+def layout(points: DataFrame, apexes: DataFrame, lap: int | None = None, order: str = "rn") -> DataFrame:
+    """(turn, s_apex, x, y, label): apexes on the line of one lap, or of all if it has no samples or none is named; labels T1, T2 ..."""
+    own = points.where(F.col("lap") == lap) if lap is not None else points
+    used = points if lap is not None and own.isEmpty() else own
+    found = signal.nearest_points(used.withColumn("_row", F.struct("lap", order)), apexes.select("turn", "s_apex"), "s_apex", "_row")
+    return found.withColumn("label", F.concat(F.lit("T"), F.col("turn").cast("string")))
+
+
+def improvements_pct(first_last: DataFrame) -> DataFrame:
+    """+ improvement_pct: the change from the first to the last session in percent of the first score, 0 unless that is positive."""
+    return first_last.withColumn("improvement_pct", F.when(F.col("first_score") > 0, F.col("change") / F.col("first_score") * 100).otherwise(0.0))
 
 
 def whole_issues(top: DataFrame) -> DataFrame:

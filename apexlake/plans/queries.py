@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from apexlake.functions import text
-from apexlake.operators import compare, issues, laps
+from apexlake.operators import compare, issues, laps, ordered
 from apexlake.plans import adapters
 from apexlake.plans.adapters import CTES, cards, tel, xy
 
@@ -17,26 +17,40 @@ _rounded = lambda df: df.select(*(F.round(f"`{c}`", 6).alias(c) if t == "double"
 
 
 def _deltas(spark: SparkSession, d: str) -> DataFrame:
-    return issues.deltas(cards(spark, d), BENCHMARK)
+    """Cards with differences, computed once: one scan of the cards' table whatever reads them."""
+    return ordered.kept(issues.deltas(ordered.kept(cards(spark, d)), BENCHMARK))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return issues.relative_events(_deltas(spark, d), BENCHMARK)
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return issues.scores(issues.turn_stats(_deltas(spark, d), _events(spark, d), BENCHMARK))
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    return issues.stability(_deltas(spark, d), BENCHMARK)
 
 
-def _stable(spark: SparkSession, d: str) -> DataFrame:
-    return issues.stability_score(issues.stability(_deltas(spark, d), BENCHMARK))
+def _composite(spark: SparkSession, d: str, benchmark: int | DataFrame = BENCHMARK, rows: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Both scores of each turn, from one table of cards."""
+    rows = _deltas(spark, d) if rows is None else rows
+    report = ordered.kept(issues.stability(rows, benchmark, keys))
+    scored = issues.scores(issues.turn_stats(report, issues.relative_events(rows, benchmark, keys), keys), keys)
+    return issues.composite(scored, issues.stability_score(report, keys), keys=keys)
 
 
 def top_issues(spark: SparkSession, d: str) -> DataFrame:
-    out = issues.top_issues(issues.composite(_scored(spark, d), _stable(spark, d)))
+    out = issues.top_issues(_composite(spark, d))
     return _rounded(out.select("turn", "composite_score", "score", "stability_score", "events_count", "top_types", "comp_s", "comp_v", "comp_sev", "comp_freq"))
 
 
+def session_issues(spark: SparkSession, d: str) -> DataFrame:
+    """The three worst turns of three sessions, each against a lap of its own, in one job."""
+    rows = ordered.kept(cards(spark, d).withColumn("session", (F.col("lap") % 3).cast("int")))
+    best = rows.groupBy("session").agg(F.min("lap").alias("lap"))
+    rows = ordered.kept(issues.deltas(rows, best, ("session",)))
+    out = issues.top_issues(_composite(spark, d, best, rows, ("session",)), 3, ("session",))
+    return _rounded(out.select("session", "turn", "composite_score", "score", "stability_score", "events_count", "top_types", "sample_event_id"))
+
+
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
     """Mean entry speed per turn and session, for the comparisons."""
     rows = cards(spark, d).withColumn("session", (F.col("lap") % 3).cast("int"))
@@ -66,8 +80,9 @@ def _dvdt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    ranked = issues.advice_rank(issues.stability(_deltas(spark, d), BENCHMARK))
-    rows = issues.composite(_scored(spark, d), _stable(spark, d)).select("turn", "composite_score").join(ranked, "turn")
+    rows = _deltas(spark, d)
+    ranked = issues.advice_rank(issues.stability(rows, BENCHMARK))
+    rows = _composite(spark, d, BENCHMARK, rows).select("turn", "composite_score").join(ranked, "turn")
     return rows.select("turn", text.severity_label(F.col("composite")).alias("severity"), text.priority_label(F.col("composite_score")).alias("priority"), "rank")
 
 
@@ -96,10 +111,14 @@ QUERIES = {
     "event_histogram": lambda s, d: _events(s, d).groupBy("type").agg(F.count("*").alias("n")),
     "events_by_turn": lambda s, d: _rounded(issues.by_turn(_events(s, d))),
     "hotspots": lambda s, d: issues.by_turn(_events(s, d)).select("turn", "events_count").orderBy(F.desc("events_count"), "turn").limit(10),
-    "stability_report": lambda s, d: _rounded(issues.stability(_deltas(s, d), BENCHMARK)),
-    "stability_score": lambda s, d: _rounded(_stable(s, d)),
-    "issue_scores": lambda s, d: _rounded(_scored(s, d).select("turn", "comp_s", "comp_v", "comp_sev", "comp_freq", "score")),
-    "composite_scores": lambda s, d: _rounded(issues.composite(_scored(s, d), _stable(s, d)).select("turn", "composite_score", "stability_score")),
+    "stability_report": lambda s, d: _rounded(_report(s, d)),
+    "stability_score": lambda s, d: _rounded(issues.stability_score(_report(s, d))),
+    "stability_fallback": lambda s, d: _rounded(issues.fallback_score(_report(s, d))),
+    "stability_numbers": lambda s, d: _rounded(issues.stability_numbers(_report(s, d))),
+    "long_metrics": lambda s, d: _rounded(issues.long_metrics(_deltas(s, d))),
+    "issue_scores": lambda s, d: _rounded(_composite(s, d).select("turn", "comp_s", "comp_v", "comp_sev", "comp_freq", "score")),
+    "composite_scores": lambda s, d: _rounded(_composite(s, d).select("turn", "composite_score", "stability_score")),
+    "session_issues": session_issues,
     "labels": _labels,
     "issue_counts": lambda s, d: text.issue_counts(issues.by_turn(_events(s, d))),
     "session_pivot": lambda s, d: compare.pivot(_sessions(s, d), [0, 1, 2]).select("turn", *(F.col(str(i)).alias(f"s{i}") for i in range(3))),
@@ -113,15 +132,17 @@ QUERIES = {
     "text_squeeze": lambda s, d: adapters._read(s, d, "conversations").select("conv_id", "turn", text.squeeze(F.col("text")).alias("text")),
 }
 
+#: What an event keeps of its card.
+_CARD = "delta_s_to_apex_m, Ventry, Vmin, Vexit, d_delta_s, d_Ventry, d_Vmin, d_Vexit, a_long_peak / 9.81e0 AS a_long_peak_g"
 _D = f"""{CTES}, pb AS (SELECT turn, s_apex - s_brake_onset AS d, Ventry, Vmin, Vexit, a_long_peak FROM cards WHERE lap = 1),
 dl AS (SELECT c.*, c.s_apex - c.s_brake_onset AS delta_s_to_apex_m, c.s_apex - c.s_brake_onset - pb.d AS d_delta_s, c.Ventry - pb.Ventry AS d_Ventry,
   c.Vmin - pb.Vmin AS d_Vmin, c.Vexit - pb.Vexit AS d_Vexit, c.a_long_peak - pb.a_long_peak AS d_a_long_peak FROM cards c LEFT JOIN pb USING (turn)),
 raw AS (
-  SELECT lap, turn, 'late_brake' AS type, ABS(d_delta_s) - 7e0 AS severity FROM dl WHERE lap <> 1 AND d_delta_s < -7e0
-  UNION ALL SELECT lap, turn, 'early_brake', d_delta_s - 12e0 FROM dl WHERE lap <> 1 AND d_delta_s > 12e0
-  UNION ALL SELECT lap, turn, 'overslow', ABS(d_Vmin) - 1.2e0 FROM dl WHERE lap <> 1 AND d_Vmin < -1.2e0
-  UNION ALL SELECT lap, turn, 'weak_exit', GREATEST(ABS(d_Vexit) - 1.5e0, 0e0) + GREATEST(0.25e0 - ABS(a_long_peak / 9.81e0), 0e0)
-    FROM dl WHERE lap <> 1 AND d_Vexit < -1.5e0 AND ABS(a_long_peak / 9.81e0) < 0.25e0),
+  SELECT lap, turn, 'late_brake' AS type, ABS(d_delta_s) - 7e0 AS severity, '{{"delta_s": "late"}}' AS ref_flags, {_CARD} FROM dl WHERE lap <> 1 AND d_delta_s < -7e0
+  UNION ALL SELECT lap, turn, 'early_brake', d_delta_s - 12e0, '{{"delta_s": "early"}}', {_CARD} FROM dl WHERE lap <> 1 AND d_delta_s > 12e0
+  UNION ALL SELECT lap, turn, 'overslow', ABS(d_Vmin) - 1.2e0, '{{"vmin": "lower"}}', {_CARD} FROM dl WHERE lap <> 1 AND d_Vmin < -1.2e0
+  UNION ALL SELECT lap, turn, 'weak_exit', GREATEST(ABS(d_Vexit) - 1.5e0, 0e0) + GREATEST(0.25e0 - ABS(a_long_peak / 9.81e0), 0e0),
+    '{{"vexit": "lower", "a_long_peak": "weak"}}', {_CARD} FROM dl WHERE lap <> 1 AND d_Vexit < -1.5e0 AND ABS(a_long_peak / 9.81e0) < 0.25e0),
 ev AS (SELECT *, lap || '-' || turn || '-' || type || '-' || ROW_NUMBER() OVER (PARTITION BY type ORDER BY lap, turn) AS event_id FROM raw WHERE severity > 0),
 kinds AS (SELECT turn, type, COUNT(*) AS n, MIN(lap) AS first FROM ev GROUP BY ALL),
 tt AS (SELECT turn, string_agg(type, ', ' ORDER BY rk) AS top_types FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY turn ORDER BY n DESC, first, type) AS rk FROM kinds) q WHERE rk <= 3 GROUP BY turn),
@@ -170,12 +191,18 @@ ORACLES = {
     "card_deltas": _w(f"SELECT lap, turn, {_round('delta_s_to_apex_m', *issues.METRICS)} FROM dl"),
     "ev_absolute": _w("""SELECT lap, turn, 'heavy_brake' AS type, ROUND(a_long_peak / 9.81e0, 6) AS a_long_peak_g, ROUND(s_apex - s_brake_onset, 6) AS delta_s_to_apex_m, NULL::DOUBLE AS Ventry, NULL::DOUBLE AS Vmin
         FROM cards WHERE a_long_peak / 9.81e0 < -0.28e0 UNION ALL SELECT lap, turn, 'conservative_entry', NULL, NULL, ROUND(Ventry, 6), ROUND(Vmin, 6) FROM cards WHERE Ventry < 1.3e0 * Vmin"""),
-    "ev_all": _w("SELECT lap, turn, type, ROUND(severity, 6) AS severity, event_id FROM ev"),
+    "ev_all": _w(f"SELECT lap, turn, type, event_id, ref_flags, 'rule_v1' AS source, {_round('severity', 'delta_s_to_apex_m', 'Ventry', 'Vmin', 'Vexit', 'd_delta_s', 'd_Ventry', 'd_Vmin', 'd_Vexit', 'a_long_peak_g')} FROM ev"),
     "event_histogram": _w("SELECT type, COUNT(*) AS n FROM ev GROUP BY type"),
     "events_by_turn": _w("SELECT turn, events_count, ROUND(max_severity, 6) AS max_severity, sample_event_id, top_types FROM byturn"),
     "hotspots": _w("SELECT turn, events_count FROM byturn ORDER BY events_count DESC, turn LIMIT 10"),
     "stability_report": _w(f"SELECT turn, lap_count, {_round(*_STATS)}, {', '.join(f'{m}_count' for m in issues.METRICS)}, t.total_laps, ROUND(lap_count / t.total_laps, 6) AS coverage FROM st, (SELECT CAST(COUNT(DISTINCT lap) AS INT) AS total_laps FROM dl WHERE lap <> 1) t"),
     "stability_score": _w(f"SELECT turn, {_round('stability_score')} FROM ss"),
+    "stability_fallback": _w("""SELECT turn, ROUND(raw / MAX(raw) OVER (), 6) AS stability_score FROM (SELECT turn,
+        COALESCE(5e-1 * d_delta_s_iqr, 0e0) + COALESCE(3e-1 * d_Vmin_iqr, 0e0) + COALESCE(1e-1 * d_Ventry_iqr, 0e0) + COALESCE(1e-1 * d_a_long_peak_iqr, 0e0) AS raw FROM st) z"""),
+    "stability_numbers": _w(f"SELECT (SELECT COUNT(*) FROM st) AS turns, ROUND(MAX(x), 6) AS most, ROUND(AVG(x), 6) AS mean FROM ({' UNION ALL '.join(f'SELECT {m}_iqr AS x FROM st' for m in issues.METRICS)}) z"),
+    "long_metrics": _w(" UNION ALL ".join(f"SELECT lap, turn, '{m}' AS metric, ROUND({m}, 6) AS value FROM dl" for m in issues.METRICS)),
+    "session_issues": " UNION ALL ".join(f"""SELECT CAST({s} AS INT) AS session, * FROM (WITH {_D.replace('FROM lineitem GROUP BY', f'FROM lineitem WHERE l_suppkey % 3 = {s} GROUP BY').replace('lap = 1)', f'lap = {s})').replace('lap <> 1', f'lap <> {s}')}
+        SELECT turn, {_round('composite_score', 'score', 'stability_score')}, events_count, top_types, sample_event_id FROM (SELECT co.*, COALESCE(bt.sample_event_id, '') AS sample_event_id FROM co LEFT JOIN bt USING (turn)) x ORDER BY x.composite_score DESC, turn LIMIT 3) q{s}""" for s in range(3)),
     "issue_scores": _w(f"SELECT turn, {_round('comp_s', 'comp_v', 'comp_sev', 'comp_freq', 'score')} FROM sc"),
     "composite_scores": _w(f"SELECT turn, {_round('composite_score', 'stability_score')} FROM co"),
     "labels": _w("""SELECT turn, CASE WHEN raw / top >= 0.8 THEN 'Very Poor' WHEN raw / top >= 0.6 THEN 'Poor' WHEN raw / top >= 0.4 THEN 'Average' ELSE 'Good' END AS severity,

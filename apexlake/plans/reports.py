@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexlake.functions import advice
-from apexlake.operators import compare, issues, laps, plots
+from apexlake.operators import compare, issues, laps, ordered, plots
 from apexlake.plans.adapters import _read, cards, tel, xy
 from apexlake.sources import reports, sessions
 
@@ -19,8 +18,7 @@ _ISSUE = "concat('Issue of ', role)"
 
 
 def _shared(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{shared.rstrip('/')}/reports-{uuid.uuid4().hex}"
+    return f"{ordered.shared_folder(spark)}/reports-{uuid.uuid4().hex}"
 
 
 def _advice(spark: SparkSession, d: str) -> DataFrame:
@@ -61,15 +59,16 @@ def _benchmark(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deltas(spark: SparkSession, d: str) -> DataFrame:
-    return issues.deltas(cards(spark, d), 1)
+    return ordered.kept(issues.deltas(ordered.kept(cards(spark, d)), 1))
 
 
 def _top(spark: SparkSession, d: str) -> DataFrame:
-    return issues.scores(issues.turn_stats(_deltas(spark, d), issues.relative_events(_deltas(spark, d), 1), 1))
+    rows = _deltas(spark, d)
+    return issues.scores(issues.turn_stats(issues.stability(rows, 1), issues.relative_events(rows, 1)))
 
 
 def _brakes(spark: SparkSession, d: str) -> DataFrame:
-    own = cards(spark, d).where("lap < 12")
+    own = ordered.kept(cards(spark, d))
     arc = laps.arc_length(xy(spark, d)).select("lap", "rn", F.round("s", 4).alias("s"), "x", "y")
     return plots.brake_points(issues.absolute_events(own), own, arc)
 
@@ -90,7 +89,7 @@ QUERIES = {
     "best_lap_text": lambda s, d: laps.lap_times(tel(s, d)).select("lap", advice.best_lap_text(F.when(F.col("lap") % 3 > 0, F.col("lap")), F.round("laptime_s", 1), F.lit("S"), F.lit("2024-01-01")).alias("text")),
     "stacked_components": lambda s, d: rounded(plots.stacked(_top(s, d))),
     "brake_points": lambda s, d: rounded(_brakes(s, d)),
-    "heatmap_cells": lambda s, d: plots.cells(issues.stability(_deltas(s, d), 1)).select("turn", "place", "metric", "unit", F.round("value", 6).alias("value"), "least_stable"),
+    "heatmap_cells": lambda s, d: plots.cells(ordered.kept(issues.stability(_deltas(s, d), 1))).select("turn", "place", "metric", "unit", F.round("value", 6).alias("value"), "least_stable"),
     "advised_issues": lambda s, d: plots.advised(_top(s, d)),
     "turn_issues": lambda s, d: plots.turn_issues(_top(s, d)).select("turn", F.array_join("issues.type", ",").alias("types"), F.size("issues").alias("n")),
     "improvements": lambda s, d: rounded(compare.improvements(_scores(s, d))),
@@ -127,9 +126,9 @@ ORACLES = {
     "best_lap_text": " SELECT lap, CASE WHEN lap % 3 = 0 THEN 'No PB record' ELSE 'Lap ' || lap || ', ' || printf('%.2f', ROUND(laptime_s, 1)) || 's (Session: S, 2024-01-01)' END AS text FROM lt",
     "stacked_components": """ SELECT turn, component, label, ROUND(value, 6) AS value, ROUND(bottom, 6) AS bottom FROM (SELECT turn, 'comp_s' AS component, 'Component Δs' AS label, comp_s AS value, 0e0 AS bottom FROM sc UNION ALL SELECT turn, 'comp_v', 'Component ΔVmin', comp_v, comp_s FROM sc
       UNION ALL SELECT turn, 'comp_sev', 'Component Severity', comp_sev, comp_s + comp_v FROM sc UNION ALL SELECT turn, 'comp_freq', 'Component Frequency', comp_freq, comp_s + comp_v + comp_sev FROM sc) z""",
-    "brake_points": f""", {_ARC}, hb AS (SELECT lap, turn, s_apex - s_brake_onset AS delta, s_apex AS a, COALESCE(s_brake_onset, s_apex) AS b FROM cards WHERE lap < 12 AND a_long_peak / 9.81e0 < -0.28e0),
-      ax AS (SELECT hb.lap, turn, arg_min(x, (ABS(s - a), rn)) AS x, arg_min(y, (ABS(s - a), rn)) AS y FROM hb LEFT JOIN arc ON arc.lap = hb.lap AND ABS(s - a) <= 50 GROUP BY ALL),
-      bx AS (SELECT hb.lap, turn, arg_min(x, (ABS(s - b), rn)) AS x, arg_min(y, (ABS(s - b), rn)) AS y FROM hb LEFT JOIN arc ON arc.lap = hb.lap AND ABS(s - b) <= 50 GROUP BY ALL)
+    "brake_points": f""", {_ARC}, hb AS (SELECT lap, turn, s_apex - s_brake_onset AS delta, s_apex AS a, COALESCE(s_brake_onset, s_apex) AS b FROM cards WHERE a_long_peak / 9.81e0 < -0.28e0),
+      ax AS (SELECT hb.lap, turn, arg_min(x, (ABS(s - a), rn)) AS x, arg_min(y, (ABS(s - a), rn)) AS y FROM hb LEFT JOIN arc ON arc.lap = hb.lap  GROUP BY ALL),
+      bx AS (SELECT hb.lap, turn, arg_min(x, (ABS(s - b), rn)) AS x, arg_min(y, (ABS(s - b), rn)) AS y FROM hb LEFT JOIN arc ON arc.lap = hb.lap  GROUP BY ALL)
       SELECT lap, turn, ROUND(delta, 6) AS delta_s_to_apex_m, ax.x AS x_apex, ax.y AS y_apex, bx.x AS x_brake, bx.y AS y_brake FROM hb JOIN ax USING (lap, turn) JOIN bx USING (lap, turn)""",
     "heatmap_cells": f""", {_HEAT}, hq AS (SELECT i, quantile_cont(raw, 0.95) AS top FROM hm GROUP BY i), pl AS (SELECT turn, CAST(ROW_NUMBER() OVER (ORDER BY stability_score DESC NULLS LAST, turn) AS INT) AS place FROM ss),
       hn AS (SELECT turn, place, i, metric, unit, CASE WHEN raw IS NULL THEN NULL WHEN top > 0 THEN GREATEST(LEAST(raw / top, 1e0), 0e0) ELSE 0e0 END AS value FROM hm JOIN hq USING (i) JOIN pl USING (turn)),

@@ -69,7 +69,7 @@ def csv_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stability(spark: SparkSession, d: str) -> DataFrame:
-    return issues.stability(issues.deltas(cards(spark, d), 1), 1)
+    return issues.stability(ordered.kept(issues.deltas(ordered.kept(cards(spark, d)), 1)), 1)
 
 
 QUERIES = {

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from apexlake.functions import advice
-from apexlake.operators import compare, plots
+from apexlake.operators import compare, issues, plots
 from apexlake.sources import reports, sessions
 
 
@@ -106,6 +106,6 @@ def test_summary_and_columns(spark):
     assert "| (None) | 0 |" in empty and "| - | 0 | - | 0.0 |" in empty
     whole = plots.whole_issues(top.withColumn("extra", F.lit(1)))
     assert whole.columns == [*plots.ISSUE_COLUMNS, "extra"] and whole.first().top_types == ""
-    found = spark.createDataFrame([("1-2-late_brake-1", 2.5)], "event_id string, severity double")
-    assert plots.payload(found).first().payload == '{"severity": 2.5}'
+    found = spark.createDataFrame([(k, x, issues.FLAGS[k]) for k, x in (("late_brake", 2.5), ("weak_exit", 0.0004), ("overslow", 12345678.5), ("early_brake", 3.0), ("late_brake", None))], "event_id string, severity double, ref_flags string")
+    assert [r.payload for r in plots.payload(found).collect()] == ['{"delta_s": "late", "severity": 2.5}', '{"vexit": "lower", "a_long_peak": "weak", "severity": 0.0004}', '{"vmin": "lower", "severity": 12345678.5}', '{"delta_s": "early", "severity": 3.0}', None]
     assert _on(spark, lambda t: advice.signed_text(t.cast("double"), "s"), ["1.239", "-0.5"]) == ["+1.24s", "-0.50s"]
