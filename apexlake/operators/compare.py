@@ -1,4 +1,4 @@
-"""Comparison over sessions: pivots, trends, step changes, personal bests; and vector retrieval."""
+"""Comparison over sessions: pivots, trends, step changes, personal bests."""
 
 from __future__ import annotations
 
@@ -80,12 +80,3 @@ def personal_bests(times: DataFrame, order: str, keys: tuple[str, ...] = ()) ->
     """Laps that were strictly faster than all before them; the first always is."""
     before = F.min("laptime_s").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
     return times.withColumn("before", before).where(F.col("before").isNull() | (F.col("laptime_s") < F.col("before")))
-
-
-def nearest(vectors: DataFrame, query: list[float], k: int, column: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k vectors most similar by cosine; ties by key."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    dot = F.aggregate(F.zip_with(column, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    size = sum(float(x) * float(x) for x in query) ** 0.5
-    return vectors.select(key, F.round(dot / F.nullif(norm * size, F.lit(0.0)), 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)

@@ -103,11 +103,6 @@ def layout(points: DataFrame, apexes: DataFrame, lap: int | None = None, order:
     return found.withColumn("label", F.concat(F.lit("T"), F.col("turn").cast("string")))
 
 
-def improvements_pct(first_last: DataFrame) -> DataFrame:
-    """+ improvement_pct: the change from the first to the last session in percent of the first score, 0 unless that is positive."""
-    return first_last.withColumn("improvement_pct", F.when(F.col("first_score") > 0, F.col("change") / F.col("first_score") * 100).otherwise(0.0))
-
-
 def whole_issues(top: DataFrame) -> DataFrame:
     """Top issues with all of their columns in one order; absent ones hold 0 or an empty text, others follow."""
     known = [(F.col(f"`{c}`") if c in top.columns else F.lit(empty)).alias(c) for c, empty in ISSUE_COLUMNS.items()]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from apexlake.functions import text
-from apexlake.operators import compare, issues, laps, ordered
+from apexlake.operators import compare, issues, laps, ordered, retrieval
 from apexlake.plans import adapters
 from apexlake.plans.adapters import CTES, cards, tel, xy
 
@@ -91,6 +91,21 @@ def _eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(rows.groupBy("source").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.count("*").alias("n")))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return adapters._read(spark, d, "embeddings")
+
+
+def _asking(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _retry(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that ask with a vector of zeros or one pointing nowhere near at first, every third with its own, and all with their own again."""
+    own = _asking(spark, d)
+    first = own.withColumn("embedding", F.expr("transform(embedding, (x, i) -> cast(CASE query_id div 100 % 3 WHEN 0 THEN x WHEN 1 THEN 0 ELSE CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END END AS float))"))
+    return retrieval.retried(_vectors(spark, d), first, own, 5, 0.5, carry=["label"])
+
+
 QUERIES = {
     "top_issues": top_issues,
     "lap_times": lambda s, d: laps.lap_times(tel(s, d)),
@@ -128,7 +143,8 @@ QUERIES = {
     "step_changes": lambda s, d: _rounded(compare.step_changes(_sessions(s, d), "score", 1.0, ("turn",))),
     "pb_memory_fold": lambda s, d: compare.personal_bests(_times(s, d), "lap").select("lap", "laptime_s"),
     "eval_summary": _eval_summary,
-    "kb_topk": lambda s, d: compare.nearest(adapters._read(s, d, "embeddings"), adapters._read(s, d, "embeddings").where("vec_id = 0").first().embedding, 10),
+    "kb_topk": lambda s, d: retrieval.retrieved(_vectors(s, d), _asking(s, d), 10),
+    "kb_retry": _retry,
     "text_squeeze": lambda s, d: adapters._read(s, d, "conversations").select("conv_id", "turn", text.squeeze(F.col("text")).alias("text")),
 }
 
@@ -170,6 +186,11 @@ _w = lambda body: f"WITH RECURSIVE {_D} {body}"
 _round = lambda *c: ", ".join(f'ROUND("{x}", 6) AS "{x}"' for x in c)
 _STATS = [f"{a}{m}{b}" for m in issues.METRICS for a, b in (("", "_median"), ("", "_q25"), ("", "_q75"), ("", "_iqr"), ("", "_mean"), ("", "_std"), ("med_|", "|"), ("iqr_|", "|"))]
 
+#: The k vectors most similar to each query's vector, an expression of the row asking.
+_found = lambda vector, k: f"""SELECT query_id, rank, vec_id, similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM (
+    SELECT query_id, vec_id, ROUND(list_dot_product(e, q) / (SQRT(list_dot_product(e, e)) * SQRT(list_dot_product(q, q))), 6) + 0e0 AS similarity
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v, (SELECT vec_id AS query_id, CAST({vector} AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0) a WHERE list_dot_product(q, q) > 0) s) r WHERE rank <= {k}"""
+
 ORACLES = {
     "top_issues": _w(f"SELECT turn, events_count, top_types, {_round('composite_score', 'score', 'stability_score', 'comp_s', 'comp_v', 'comp_sev', 'comp_freq')} FROM co ORDER BY co.composite_score DESC, turn LIMIT 8"),
     "lap_times": _w("SELECT * FROM lt"),
@@ -222,8 +243,10 @@ ORACLES = {
     "step_changes": _w("SELECT session, turn, score, date, ROUND(change, 6) AS change, COALESCE(ABS(change) > 1e0, FALSE) AS marked FROM (SELECT *, score - LAG(score) OVER (PARTITION BY turn ORDER BY date) AS change FROM se) z"),
     "pb_memory_fold": _w("SELECT lap, laptime_s FROM (SELECT *, MIN(laptime_s) OVER (ORDER BY lap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM lt) z WHERE b IS NULL OR laptime_s < b"),
     "eval_summary": "SELECT source, ROUND(AVG(quality), 6) AS quality, ROUND(AVG(toxic), 6) AS toxic, COUNT(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source",
-    "kb_topk": """SELECT vec_id, ROUND(list_dot_product(e, q) / NULLIF(SQRT(list_dot_product(e, e)) * SQRT(list_dot_product(q, q)), 0), 6) AS similarity
-        FROM (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q FROM embeddings) z ORDER BY similarity DESC, vec_id LIMIT 10""",
+    "kb_topk": f"SELECT * FROM ({_found('embedding', 10)}) z",
+    "kb_retry": f"""WITH a AS ({_found("list_transform(embedding, lambda x, i: CAST(CASE vec_id // 100 % 3 WHEN 0 THEN x WHEN 1 THEN 0 ELSE CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END END AS FLOAT))", 5)}), b AS ({_found('embedding', 5)}),
+        g AS (SELECT query_id FROM a WHERE rank = 1 AND similarity >= 5e-1)
+        SELECT z.*, label FROM (SELECT *, 1 AS attempt FROM a WHERE query_id IN (FROM g) UNION ALL SELECT *, 2 FROM b WHERE query_id NOT IN (FROM g)) z JOIN embeddings USING (vec_id)""",
     "text_squeeze": "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), ' ') AS text FROM conversations",
     "corner_segment_metrics": _w("""SELECT * FROM fin""").replace(" SELECT * FROM fin", """,
       a0 AS (SELECT *, x - LAG(x) OVER (PARTITION BY lap ORDER BY rn) AS dx, y - LAG(y) OVER (PARTITION BY lap ORDER BY rn) AS dy FROM xy),

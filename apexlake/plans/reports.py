@@ -52,6 +52,29 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     return sessions.load(spark, root, "top_issues")
 
 
+def _tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Lap times on three tracks, a session for each lap."""
+    times = laps.lap_times(tel(spark, d))
+    return times.select(F.concat(F.lit("track "), F.col("lap") % 3).alias("track"), "lap", "laptime_s", F.concat(F.lit("session "), F.col("lap")).alias("session"), F.format_string("2024-01-%02d", F.col("lap") + 1).alias("date"))
+
+
+def _bests(spark: SparkSession, d: str) -> str:
+    """Folder of bests kept over three calls, the last of which repeats all laps."""
+    root, times = _shared(spark), ordered.kept(_tracks(spark, d))
+    for own in (times.where("lap < 4"), times.where("lap >= 4"), times):
+        sessions.update_bests(own, root)
+    return root
+
+
+def _listing(spark: SparkSession, d: str) -> DataFrame:
+    root, times = _shared(spark), ordered.kept(_tracks(spark, d))
+    own = ordered.kept(cards(spark, d))
+    for s in ("track 0", "track 1"):
+        sessions.save(times.where(F.col("track") == s), root, "benchmark_lap", s, "2024-01-01")
+    sessions.save_deltas(own, issues.deltas(own, 1), root, "track 1", "2024-01-02")
+    return sessions.listing(spark, root)
+
+
 def _benchmark(spark: SparkSession, d: str) -> DataFrame:
     times = laps.lap_times(tel(spark, d)).select(F.col("lap").cast("string").alias("session"), "lap", "laptime_s")
     best = times.where("lap % 4 <> 3").withColumns({"lap": F.col("lap") + 100, "laptime_s": F.col("laptime_s") + (F.col("lap") % 2) - 0.5})
@@ -84,6 +107,9 @@ QUERIES = {
     "gold_references": lambda s, d: _gold(s, d),
     "gold_match": _matched,
     "eval_means": lambda s, d: reports.means(_matched(s, d).withColumn("score", F.lit(None).cast("double")), "issue", ("generated_len", "reference_len"), ("score",)),
+    "best_laps": lambda s, d: rounded(sessions.current_bests(s, _bests(s, d))),
+    "best_history": lambda s, d: rounded(sessions.best_history(s, _bests(s, d))),
+    "store_listing": _listing,
     "session_store": lambda s, d: rounded(compare.long_table(_stored(s, d))),
     "benchmark_choice": lambda s, d: rounded(_benchmark(s, d)),
     "best_lap_text": lambda s, d: laps.lap_times(tel(s, d)).select("lap", advice.best_lap_text(F.when(F.col("lap") % 3 > 0, F.col("lap")), F.round("laptime_s", 1), F.lit("S"), F.lit("2024-01-01")).alias("text")),
@@ -109,6 +135,10 @@ _ARC = """arc AS (SELECT lap, rn, x, y, ROUND(SUM(COALESCE(SQRT(dx * dx + dy * d
 _HEAT = "hm AS (" + " UNION ALL ".join(f"SELECT turn, {i} AS i, '{n}' AS metric, '{u}' AS unit, CASE WHEN lap_count / (SELECT COUNT(DISTINCT lap) FROM dl WHERE lap <> 1) >= 0.6 THEN d_{c}_iqr END AS raw FROM st" for i, (c, n, u) in enumerate((("delta_s", "s", "(m)"), ("Ventry", "Ventry", "(m/s)"), ("Vmin", "Vmin", "(m/s)"), ("a_long_peak", "a_long_peak", "(g)")))) + ")"
 _KINDS = "list_filter(list_transform(string_split(top_types, ','), lambda t: trim(t)), lambda t: t NOT IN ('', '-'))"
 
+#: Laps by track, and those that no earlier one was as fast as.
+_BESTS = """br AS (SELECT 'track ' || lap % 3 AS track, lap, laptime_s, 'session ' || lap AS session, printf('2024-01-%02d', lap + 1) AS date FROM lt),
+  bl AS (SELECT * FROM br WHERE laptime_s > 0 AND laptime_s < COALESCE((SELECT MIN(o.laptime_s) FROM br o WHERE o.track = br.track AND o.date < br.date AND o.laptime_s > 0), 'inf'::DOUBLE))"""
+
 ORACLES = {
     "text_repair": f""" SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\([^\\x00-\\x7f]+\\)', '', 'g'), ':\\s+:', ':', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS text
       FROM (SELECT conv_id, turn, CASE WHEN text <> '' AND regexp_matches(text, '[^\\x00-\\x7f]') AND NOT regexp_matches(text, '[^\\x{{00}}-\\x{{ff}}]') THEN COALESCE({_LATIN}, text) ELSE text END AS t FROM conversations) z""",
@@ -120,6 +150,11 @@ ORACLES = {
     "gold_references": f", {_REFS} SELECT * FROM refs",
     "gold_match": f", {_PAIRS} SELECT * FROM mt",
     "eval_means": f", {_PAIRS} SELECT issue, COUNT(*) AS n, printf('%.1f', AVG(generated_len)) AS generated_len, printf('%.1f', AVG(reference_len)) AS reference_len, 'N/A' AS score FROM mt GROUP BY issue",
+    "best_laps": f", {_BESTS} SELECT track, arg_min(lap, laptime_s) AS lap, ROUND(MIN(laptime_s), 6) AS laptime_s, arg_min(session, laptime_s) AS session, arg_min(date, laptime_s) AS date FROM bl GROUP BY track",
+    "best_history": f""", {_BESTS} SELECT * FROM (SELECT track, lap, ROUND(laptime_s, 6) AS laptime_s, session, date, LAG(lap) OVER w AS old_lap, ROUND(LAG(laptime_s) OVER w, 6) AS old_laptime_s,
+      LAG(session) OVER w AS old_session, ROUND(LAG(laptime_s) OVER w - laptime_s, 6) AS improvement FROM bl WINDOW w AS (PARTITION BY track ORDER BY date)) z WHERE old_lap IS NOT NULL""",
+    "store_listing": """ SELECT 'benchmark_lap' AS name, 'track ' || lap % 3 AS session, '2024-01-01' AS date, COUNT(*) AS n FROM lt WHERE lap % 3 < 2 GROUP BY lap % 3
+      UNION ALL SELECT 'corner_cards_with_delta', 'track 1', '2024-01-02', COUNT(*) FROM cards""",
     "session_store": f", {_S3} SELECT date AS session, '2024-01-0' || (CAST(date AS INT) + 1) AS date, turn, score AS composite_score, score AS issue_score, 0e0 AS stability_score, 0 AS events_count FROM sg",
     "benchmark_choice": """ SELECT CAST(lap AS VARCHAR) AS session, CAST(CASE WHEN old THEN lap + 100 ELSE lap END AS INT) AS lap, ROUND(CASE WHEN old THEN laptime_s - 5e-1 ELSE laptime_s END, 6) AS laptime_s, CASE WHEN old THEN 'historical_pb' ELSE 'fastest' END AS mode
       FROM (SELECT *, lap % 4 <> 3 AND lap % 2 = 0 AS old FROM lt) z""",

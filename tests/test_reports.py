@@ -77,7 +77,7 @@ def test_store(spark, tmp_path):
     sessions.save(spark.createDataFrame([(1, 6.0)], "turn int, score double"), root, "top_issues", "01", "2024-01-03")
     got = {(r.session, r.turn): (r.score, r.composite_score) for r in sessions.load(spark, root, "top_issues").collect()}
     assert got == {("01", 1): (6.0, None), ("1", 1): (4.0, 7.0)}
-    assert sorted(r.turn for r in sessions.load(spark, root, "top_issues.bak").collect()) == [1, 2]
+    assert sorted(r.turn for r in sessions.load(spark, root, "top_issues", backup=True).collect()) == [1, 2]
     long = {r.session: (r.composite_score, r.issue_score, r.events_count) for r in compare.long_table(sessions.load(spark, root, "top_issues")).collect()}
     assert long == {"01": (0.0, 6.0, 0), "1": (7.0, 4.0, 0)}
     sessions.save(spark.createDataFrame([(2, 1, 9.5), (3, 1, 9.0)], "lap int, turn int, s_apex double"), root, "corner_cards", "01")
