@@ -12,7 +12,8 @@ def pivot(scores: DataFrame, sessions: list) -> DataFrame:
     return scores.groupBy("turn").pivot("session", sessions).agg(F.first("score"))
 
 
-def _direction(change: F.Column) -> F.Column:
+def direction(change: F.Column) -> F.Column:
+    """improved, worsened or stable: less is better."""
     return F.when(change > 0, "improved").when(change < 0, "worsened").otherwise("stable")
 
 
@@ -22,7 +23,7 @@ def trend(times: DataFrame) -> DataFrame:
     out = numbered.agg(F.min_by("laptime_s", "date").alias("first_s"), F.max_by("laptime_s", "date").alias("last_s"), F.regr_slope("laptime_s", "i").alias("slope"), F.regr_intercept("laptime_s", "i").alias("intercept"))
     out = out.withColumn("improvement_s", F.col("first_s") - F.col("last_s"))
     percent = F.when(F.col("first_s") > 0, F.col("improvement_s") / F.col("first_s") * 100).otherwise(0.0)
-    return out.withColumns({"improvement_pct": percent, "trend": _direction(F.col("improvement_s"))})
+    return out.withColumns({"improvement_pct": percent, "trend": direction(F.col("improvement_s"))})
 
 
 def step_changes(rows: DataFrame, value: str, least: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -42,7 +43,7 @@ def first_last(scores: DataFrame) -> DataFrame:
     """(turn, first_score, last_score, change, trend, spread) of turns with two sessions or more."""
     out = scores.groupBy("turn").agg(F.min_by("score", "date").alias("first_score"), F.max_by("score", "date").alias("last_score"), (F.max("score") - F.min("score")).alias("spread"), F.count("*").alias("n"))
     out = out.where("n >= 2").withColumn("change", F.col("first_score") - F.col("last_score"))
-    return out.withColumn("trend", _direction(F.col("change"))).drop("n")
+    return out.withColumn("trend", direction(F.col("change"))).drop("n")
 
 
 def long_table(sessions: DataFrame) -> DataFrame:

@@ -174,16 +174,17 @@ def fallback_score(report: DataFrame, keys: Keys = ()) -> DataFrame:
     return rows.select(*keys, "turn", F.coalesce(F.col("_raw") / F.nullif(F.max("_raw").over(W.partitionBy(*keys)), F.lit(0.0)), F.lit(0.0)).alias("stability_score"))
 
 
-def advice_rank(report: DataFrame) -> DataFrame:
-    """(turn, composite, rank): raw spreads weighted over their largest sum; rank 1 is the least stable, ties by turn.
+def advice_rank(report: DataFrame, keys: Keys = ()) -> DataFrame:
+    """(keys, turn, composite, rank): raw spreads weighted over the session's largest sum; rank 1 is the least stable, ties by turn.
 
     No rank if nothing is spread.
     """
     weights = {"d_delta_s_iqr": 0.5, "d_Vmin_iqr": 0.3, "d_Ventry_iqr": 0.1, "d_a_long_peak_iqr": 0.1}
-    raw = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
-    rows = report.select("turn", raw.alias("raw")).withColumn("most", F.max("raw").over(W.partitionBy(F.lit(1))))
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("raw"), "turn"))
-    return rows.select("turn", F.when(F.col("most") > 0, F.col("raw") / F.col("most")).alias("composite"), F.when(F.col("most") > 0, rank).alias("rank"))
+    raw = functools.reduce(Column.__add__, (F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in weights.items()))
+    own = W.partitionBy(*keys)
+    rows = report.select(*keys, "turn", raw.alias("raw")).withColumn("most", F.max("raw").over(own))
+    rank = F.row_number().over(own.orderBy(F.desc("raw"), "turn"))
+    return rows.select(*keys, "turn", F.when(F.col("most") > 0, F.col("raw") / F.col("most")).alias("composite"), F.when(F.col("most") > 0, rank).alias("rank"))
 
 
 def heatmap(report: DataFrame, columns: Sequence[str] = ("d_delta_s_iqr", "d_Ventry_iqr", "d_Vmin_iqr", "d_a_long_peak_iqr"), least_coverage: float = 0.6, normalise: bool = True) -> DataFrame:

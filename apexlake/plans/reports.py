@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexlake.functions import advice
-from apexlake.operators import compare, issues, laps, ordered, plots
+from apexlake.operators import compare, issues, laps, ordered, plots, reporting
 from apexlake.plans.adapters import _read, cards, tel, xy
 from apexlake.sources import reports, sessions
 
@@ -66,6 +66,37 @@ def _bests(spark: SparkSession, d: str) -> str:
     return root
 
 
+def _session_cards(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Cards of three sessions with differences, and the lap each is compared with."""
+    rows = ordered.kept(cards(spark, d).withColumn("session", (F.col("lap") % 3).cast("int")))
+    best = rows.groupBy("session").agg(F.min("lap").alias("lap"))
+    return ordered.kept(issues.deltas(rows, best, ("session",))), best
+
+
+def _coaching(spark: SparkSession, d: str) -> DataFrame:
+    """Coaching reports of three sessions, with conversations as advice."""
+    key = ("session",)
+    rows, best = _session_cards(spark, d)
+    report = ordered.kept(issues.stability(rows, best, key))
+    scored = issues.scores(issues.turn_stats(report, issues.relative_events(rows, best, key), key), key)
+    top = issues.top_issues(issues.composite(scored, issues.stability_score(report, key), keys=key), 6, key)
+    said = _read(spark, d, "conversations").where("conv_id < 30").select((F.col("conv_id") % 3).cast("int").alias("session"), (F.col("turn") + 1).cast("int").alias("turn"), F.when(F.col("role") == "user", "Late Braking / Missed Apex").otherwise("Conservative Entry / Overslowing").alias("issue"), F.regexp_extract("text", "^[A-Za-z ]+", 0).alias("text"))
+    return reporting.coaching(top, report, said, key, sessions=best.select("session").unionByName(spark.range(9, 10).select(F.col("id").cast("int").alias("session"))))
+
+
+def _tracked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions of three tracks with lap times, some of them kept bests, and the scores of their turns."""
+    times = _tracks(spark, d).withColumn("laptime_s", F.when(F.col("lap") != 5, F.round(F.col("laptime_s") / 1000, 3)))
+    kept = F.col("lap") % 4 == 1
+    own = times.withColumns({"old_lap": F.when(kept, F.col("lap") + 50), "old_laptime_s": F.when(kept, F.lit(80.25)), "old_session": F.when(kept, F.lit("earlier"))})
+    rows = cards(spark, d).where("lap < 12").select(F.concat(F.lit("track "), F.col("lap") % 3).alias("track"), F.concat(F.lit("session "), "lap").alias("session"), F.format_string("2024-01-%02d", F.col("lap") + 1).alias("date"), "turn", F.round(F.coalesce("Ventry", F.lit(0.0)), 6).alias("composite_score"), F.round(F.coalesce("Vmin", F.lit(0.0)), 6).alias("issue_score"), F.lit(0.125).alias("stability_score"), F.col("turn").alias("events_count"))
+    return own, ordered.kept(rows)
+
+
+def _comparison(spark: SparkSession, d: str) -> DataFrame:
+    return reporting.comparison(*_tracked(spark, d), shown=4)
+
+
 def _listing(spark: SparkSession, d: str) -> DataFrame:
     root, times = _shared(spark), ordered.kept(_tracks(spark, d))
     own = ordered.kept(cards(spark, d))
@@ -109,6 +140,9 @@ QUERIES = {
     "eval_means": lambda s, d: reports.means(_matched(s, d).withColumn("score", F.lit(None).cast("double")), "issue", ("generated_len", "reference_len"), ("score",)),
     "best_laps": lambda s, d: rounded(sessions.current_bests(s, _bests(s, d))),
     "best_history": lambda s, d: rounded(sessions.best_history(s, _bests(s, d))),
+    "coaching_report": _coaching,
+    "comparison_report": _comparison,
+    "radar": lambda s, d: rounded(reporting.radar(_tracked(s, d)[1])),
     "store_listing": _listing,
     "session_store": lambda s, d: rounded(compare.long_table(_stored(s, d))),
     "benchmark_choice": lambda s, d: rounded(_benchmark(s, d)),
@@ -139,6 +173,51 @@ _KINDS = "list_filter(list_transform(string_split(top_types, ','), lambda t: tri
 _BESTS = """br AS (SELECT 'track ' || lap % 3 AS track, lap, laptime_s, 'session ' || lap AS session, printf('2024-01-%02d', lap + 1) AS date FROM lt),
   bl AS (SELECT * FROM br WHERE laptime_s > 0 AND laptime_s < COALESCE((SELECT MIN(o.laptime_s) FROM br o WHERE o.track = br.track AND o.date < br.date AND o.laptime_s > 0), 'inf'::DOUBLE))"""
 
+_LF = "chr(10)"
+_q = lambda text: "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_p2 = lambda x: f"printf('%.2f', {x})"
+_sign = lambda x, d=2: f"printf('%+.{d}f', {x})"
+_way = lambda x: f"CASE WHEN {x} > 0 THEN 'improved' WHEN {x} < 0 THEN 'worsened' ELSE 'stable' END"
+#: Sessions of three tracks, and their scores.
+_TRACKED = """sn AS (SELECT 'track ' || lap % 3 AS track, 'session ' || lap AS session, printf('2024-01-%02d', lap + 1) AS date, lap, NULLIF(CASE WHEN lap <> 5 THEN ROUND(laptime_s / 1000, 3) END, 0) AS t, lap % 4 = 1 AS old FROM lt),
+  sco AS (SELECT 'track ' || lap % 3 AS track, 'session ' || lap AS session, printf('2024-01-%02d', lap + 1) AS date, turn, ROUND(COALESCE(Ventry, 0e0), 6) AS c, ROUND(COALESCE(Vmin, 0e0), 6) AS i, turn AS n FROM cards WHERE lap < 12)"""
+_COMPARISON = f""", {_TRACKED}, f AS (SELECT track, MIN(t) AS f FROM sn GROUP BY track),
+  l1 AS (SELECT track, string_agg('| ' || session || ' | ' || date || ' | ' || CASE WHEN lap <> 0 THEN 'Lap ' || lap ELSE 'N/A' END || ' | ' || COALESCE({_p2('t')} || 's', 'N/A') || ' | ' || CASE WHEN old THEN '📌 Using Historical PB' WHEN t IS NOT NULL THEN '✅ Current PB' ELSE '-' END || ' |' || {_LF}, '' ORDER BY date, session) AS x FROM sn GROUP BY track),
+  l2 AS (SELECT track, string_agg('| ' || session || ' | ' || {_p2('t')} || 's | ' || CASE WHEN t > f THEN '+' || {_p2('t - f')} || 's' ELSE 'Fastest' END || ' | ' || CASE WHEN old THEN '📌 Historical PB' ELSE '✅ Current PB' END || ' |' || {_LF}, '' ORDER BY date, session) AS x FROM sn JOIN f USING (track) WHERE t IS NOT NULL GROUP BY track),
+  l3 AS (SELECT track, {_q(reporting.MEMORY)} || string_agg('- **' || session || '** (' || date || '): Current fastest Lap ' || lap || ', ' || {_p2('t')} || 's, but using historical PB Lap ' || (lap + 50) || ', 80.25s (from earlier)' || {_LF}, '' ORDER BY date, session) || {_q(chr(10) + '---' + chr(10) * 2)} AS x FROM sn WHERE old AND t IS NOT NULL GROUP BY track),
+  m1 AS (SELECT track, turn, {_q('### Turn ')} || turn || {_q(chr(10) * 2 + reporting.TURN)} || string_agg('| ' || session || ' | ' || {_p2('c')} || ' | ' || {_p2('i')} || ' | ' || {_p2('0.125e0')} || ' | ' || n || ' |' || {_LF}, '' ORDER BY date, session)
+    || CASE WHEN MAX(c) > MIN(c) THEN {_q(chr(10) + '**Improvement**: ')} || {_p2('MAX(c) - MIN(c)')} || ' (from ' || {_p2('MAX(c)')} || ' to ' || {_p2('MIN(c)')} || ')' || {_LF} ELSE '' END || {_q(chr(10) + '---' + chr(10) * 2)} AS x FROM sco GROUP BY track, turn),
+  m2 AS (SELECT track, string_agg(x, '' ORDER BY turn) AS x FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY turn) AS k FROM m1) z WHERE k <= 4 GROUP BY track),
+  e1 AS (SELECT track, arg_min(t, date) AS a, arg_max(t, date) AS b FROM sn WHERE t IS NOT NULL GROUP BY track),
+  e2 AS (SELECT track, string_agg('| Turn ' || turn || ' | ' || {_p2('a')} || ' | ' || {_p2('b')} || ' | ' || {_sign('a - b')} || ' | ' || {_way('a - b')} || ' |' || {_LF}, '' ORDER BY turn) AS x FROM (SELECT track, turn, arg_min(c, date) AS a, arg_max(c, date) AS b FROM sco GROUP BY track, turn) z GROUP BY track)
+  SELECT track, {_q(reporting.COMPARISON + '---' + chr(10) * 2 + reporting.SESSIONS)} || l1.x || {_q(chr(10) + '---' + chr(10) * 2 + reporting.LAPTIMES)} || l2.x || {_q(chr(10) + '---' + chr(10) * 2)} || COALESCE(l3.x, '') || {_q('## 🎯 Top Issues Comparison' + chr(10) * 2)} || m2.x
+    || {_q('## 📈 Trend Analysis' + chr(10) * 2 + '### ⏱️ Lap Time Trend' + chr(10) * 2 + '- **First**: ')} || {_p2('a')} || {_q('s' + chr(10) + '- **Last**: ')} || {_p2('b')} || {_q('s' + chr(10) + '- **Change**: ')} || {_sign('a - b')} || 's (' || {_sign('(a - b) / a * 100', 1)} || {_q('%)' + chr(10) + '- **Trend**: ')} || {_way('a - b')}
+    || {_q(chr(10) * 2 + reporting.TREND)} || e2.x || {_q(chr(10) + reporting.HINT)} AS text
+  FROM l1 JOIN l2 USING (track) LEFT JOIN l3 USING (track) JOIN m2 USING (track) JOIN e1 USING (track) JOIN e2 USING (track)"""
+_SEV = lambda x: f"CASE WHEN {x} >= 8e-1 THEN 'Very Poor' WHEN {x} >= 6e-1 THEN 'Poor' WHEN {x} >= 4e-1 THEN 'Average' ELSE 'Good' END"
+
+
+def coaching_sql(common: str) -> str:
+    """The coaching reports of three sessions: what each has of scores and spreads, then text. common: the common tables' definitions."""
+    own = " UNION ALL ".join(f"""SELECT {s} AS session, * FROM (WITH {common.replace('FROM lineitem GROUP BY', f'FROM lineitem WHERE l_suppkey % 3 = {s} GROUP BY').replace('lap = 1)', f'lap = {s})').replace('lap <> 1', f'lap <> {s}')}
+      SELECT st.turn, composite_score AS cs, score, events_count AS n, top_types, {', '.join(reporting.METRICS)}, row_number() OVER (ORDER BY composite_score DESC, st.turn) AS place FROM co JOIN st USING (turn)) q{s}""" for s in range(3))
+    shown = ", ".join(f"CASE WHEN {m} IS NOT NULL THEN '| {n} | ' || {_p2(m)} || ' {u} |' || {_LF} END" for m, (n, u) in reporting.METRICS.items())
+    return f"""WITH w AS ({own}), rk AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY raw DESC, turn) AS rank, COUNT(*) OVER (PARTITION BY session) AS total, raw / MAX(raw) OVER (PARTITION BY session) AS own FROM (SELECT *,
+        COALESCE(5e-1 * d_delta_s_iqr, 0e0) + COALESCE(3e-1 * d_Vmin_iqr, 0e0) + COALESCE(1e-1 * d_Ventry_iqr, 0e0) + COALESCE(1e-1 * d_a_long_peak_iqr, 0e0) AS raw FROM w) z),
+      tp AS (SELECT * FROM rk WHERE place <= 6),
+      kn AS (SELECT session, turn, place, k.i AS i, string_split(top_types, ', ')[k.i] AS type FROM tp, LATERAL (SELECT unnest(range(1, len(string_split(top_types, ', ')) + 1)) AS i) k WHERE top_types <> '-'),
+      kc AS (SELECT session, string_agg('| ' || type || ' | ' || n || ' |' || {_LF}, '' ORDER BY n DESC, first) AS x FROM (SELECT session, type, COUNT(*) AS n, MIN(place * 100 + i) AS first FROM kn GROUP BY session, type) z GROUP BY session),
+      sd AS (SELECT CAST(conv_id % 3 AS INT) AS session, turn + 1 AS turn, CASE WHEN role = 'user' THEN 'Late Braking / Missed Apex' ELSE 'Conservative Entry / Overslowing' END AS issue, MIN(regexp_extract(text, '^[A-Za-z ]+', 0)) AS said FROM conversations WHERE conv_id < 30 AND regexp_extract(text, '^[A-Za-z ]+', 0) <> '' GROUP BY ALL),
+      it AS (SELECT kn.session, kn.turn, COUNT(*) AS m, list(struct_pack(i := i, issue := sd.issue, said := said) ORDER BY i) AS items FROM kn JOIN sd ON sd.session = kn.session AND sd.turn = kn.turn AND sd.issue = CASE type WHEN 'late_brake' THEN 'Late Braking / Missed Apex' WHEN 'weak_exit' THEN 'Weak Corner Exit' ELSE 'Conservative Entry / Overslowing' END WHERE i <= 2 AND place <= 5 GROUP BY kn.session, kn.turn),
+      se5 AS (SELECT tp.session, place, '### Turn ' || tp.turn || ' (composite score: ' || {_p2('cs')} || ', issue score: ' || {_p2('score')} || ', stability: ' || {_SEV('own')} || {_q(')' + chr(10) * 2 + '- **Event Count**: ')} || n || {_q(chr(10) + '- **Main Issues**: ')} || top_types
+        || {_q(chr(10) * 2 + '#### Stability Metrics' + chr(10) * 2 + '| Metric | Value |' + chr(10) + '|------|------|' + chr(10))} || array_to_string(list_filter([{shown}], lambda x: x IS NOT NULL)[:3], '') || {_q(chr(10) + '- Stability ranking: ')} || rank || '/' || total || {_q(' (higher rank = less stable)' + chr(10) + '- **Stability Assessment**: ')} || {_SEV('own')}
+        || {_q(chr(10) * 2 + '- **Composite Score**: ')} || {_p2('cs')} || ' (issue score: ' || {_p2('score')} || {_q(' + stability score)' + chr(10) + '- **Overall Priority**: ')} || CASE WHEN cs >= 25 THEN 'Very High Priority (many issues and poor consistency, recommend prioritizing improvement)' WHEN cs >= 20 THEN 'High Priority (needs focused attention)' WHEN cs >= 15 THEN 'Medium Priority' ELSE 'Lower Priority' END || {_q(chr(10) * 2)}
+        || COALESCE({_q('**AI-Personalized Coaching Advice**' + chr(10) * 2)} || array_to_string(list_transform(items, lambda x: CASE WHEN m > 1 THEN '**' || x.issue || {_q(':**' + chr(10) * 2)} ELSE '' END || x.said || {_q(chr(10) * 2)}), {_LF}), '') || {_q('---' + chr(10) * 2)} AS x FROM tp LEFT JOIN it ON it.session = tp.session AND it.turn = tp.turn WHERE place <= 5),
+      al AS (SELECT session, string_agg(x, '' ORDER BY place) AS x FROM se5 GROUP BY session)
+      SELECT CAST(s AS INT) AS session, trim(regexp_replace(regexp_replace({_q(reporting.COACHING)} || COALESCE({_q('| Issue Type | Count |' + chr(10) + '|---------|---------|' + chr(10))} || kc.x, {_q('No issues detected.' + chr(10))}) || {_q(chr(10) + '## Main Issue Analysis' + chr(10) * 2)} || COALESCE(al.x, ''), '\\n\\s*\\n\\s*\\n+', {_q(chr(10) * 2)}, 'g'), ' +', ' ', 'g'), ' ' || {_LF}) AS text
+      FROM (SELECT unnest([0, 1, 2, 9]) AS s) z LEFT JOIN kc ON kc.session = s LEFT JOIN al ON al.session = s"""
+
+
 ORACLES = {
     "text_repair": f""" SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\([^\\x00-\\x7f]+\\)', '', 'g'), ':\\s+:', ':', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS text
       FROM (SELECT conv_id, turn, CASE WHEN text <> '' AND regexp_matches(text, '[^\\x00-\\x7f]') AND NOT regexp_matches(text, '[^\\x{{00}}-\\x{{ff}}]') THEN COALESCE({_LATIN}, text) ELSE text END AS t FROM conversations) z""",
@@ -153,6 +232,10 @@ ORACLES = {
     "best_laps": f", {_BESTS} SELECT track, arg_min(lap, laptime_s) AS lap, ROUND(MIN(laptime_s), 6) AS laptime_s, arg_min(session, laptime_s) AS session, arg_min(date, laptime_s) AS date FROM bl GROUP BY track",
     "best_history": f""", {_BESTS} SELECT * FROM (SELECT track, lap, ROUND(laptime_s, 6) AS laptime_s, session, date, LAG(lap) OVER w AS old_lap, ROUND(LAG(laptime_s) OVER w, 6) AS old_laptime_s,
       LAG(session) OVER w AS old_session, ROUND(LAG(laptime_s) OVER w - laptime_s, 6) AS improvement FROM bl WINDOW w AS (PARTITION BY track ORDER BY date)) z WHERE old_lap IS NOT NULL""",
+    "comparison_report": _COMPARISON,
+    "radar": f""", {_TRACKED}, ed AS (SELECT track, MIN(date) AS a, MAX(date) AS b FROM sco GROUP BY track), rd AS (SELECT track, turn, MAX(CASE WHEN date = a THEN c END) AS first_score, MAX(CASE WHEN date = b THEN c END) AS last_score FROM sco JOIN ed USING (track) GROUP BY track, turn),
+      rr AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY turn) AS k FROM rd WHERE first_score IS NOT NULL AND last_score IS NOT NULL), r8 AS (SELECT * FROM rr WHERE k <= 8)
+      SELECT track, turn, ROUND(first_score, 6) AS first_score, ROUND(last_score, 6) AS last_score, ROUND((k - 1) * (6.283185307179586e0 / COUNT(*) OVER (PARTITION BY track)), 6) AS angle FROM r8""",
     "store_listing": """ SELECT 'benchmark_lap' AS name, 'track ' || lap % 3 AS session, '2024-01-01' AS date, COUNT(*) AS n FROM lt WHERE lap % 3 < 2 GROUP BY lap % 3
       UNION ALL SELECT 'corner_cards_with_delta', 'track 1', '2024-01-02', COUNT(*) FROM cards""",
     "session_store": f", {_S3} SELECT date AS session, '2024-01-0' || (CAST(date AS INT) + 1) AS date, turn, score AS composite_score, score AS issue_score, 0e0 AS stability_score, 0 AS events_count FROM sg",
