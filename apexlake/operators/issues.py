@@ -51,24 +51,28 @@ def checked(cards: DataFrame, benchmark: int) -> DataFrame:
     return cards
 
 
-def deltas(cards: DataFrame, benchmark: int | DataFrame, keys: Keys = ()) -> DataFrame:
+def deltas(cards: DataFrame, benchmark: int | DataFrame, keys: Keys = (), earlier: DataFrame | None = None) -> DataFrame:
     """+ delta_s_to_apex_m, unless it is there, and the differences of each metric to the benchmark lap's card of that turn.
 
-    Of several benchmark cards of a turn the first by lap and values counts; without one, differences are null.
+    earlier: cards of a lap of another session, with the keys of the sessions that they are the benchmark of. Of several
+    benchmark cards of a turn the first by lap and values counts; without one, differences are null.
     """
     rows = cards if "delta_s_to_apex_m" in cards.columns else cards.withColumn("delta_s_to_apex_m", F.col("s_apex") - F.col("s_brake_onset"))
     order = [c for c in ("lap", "s_apex", *BASE.values()) if c in rows.columns]
-    own = against(rows, benchmark, keys).where("lap = _benchmark")
+    own = against(rows, benchmark, keys).where("lap = _benchmark").drop("_benchmark")
+    if earlier is not None:
+        taken = ordered.looked_up(own, earlier.select(*keys).distinct().withColumn("_taken", F.lit(True)), keys)
+        own = taken.where("_taken is null").drop("_taken").unionByName(earlier, allowMissingColumns=True)
     best = own.groupBy(*keys, "turn").agg(F.min_by(F.struct(*BASE.values()), F.struct(*order)).alias("_pb"))
     rows = ordered.looked_up(rows, best, (*keys, "turn"))
     return rows.withColumns({d: F.col(c) - F.col(f"_pb.{c}") for d, c in BASE.items()}).drop("_pb")
 
 
-def absolute_events(cards: DataFrame, brake_g: float = -0.28, entry_factor: float = 1.3) -> DataFrame:
-    """(lap, turn, type, a_long_peak_g, delta_s_to_apex_m, Ventry, Vmin): hard braking, slow entries."""
+def absolute_events(cards: DataFrame, brake_g: float = -0.28, entry_factor: float = 1.3, keys: Keys = ()) -> DataFrame:
+    """(keys, lap, turn, type, a_long_peak_g, delta_s_to_apex_m, Ventry, Vmin): hard braking, slow entries."""
     g = F.col("a_long_peak") / 9.81
-    heavy = cards.where(g < brake_g).select("lap", "turn", F.lit("heavy_brake").alias("type"), g.alias("a_long_peak_g"), (F.col("s_apex") - F.col("s_brake_onset")).alias("delta_s_to_apex_m"))
-    slow = cards.where(F.col("Ventry") < entry_factor * F.col("Vmin")).select("lap", "turn", F.lit("conservative_entry").alias("type"), "Ventry", "Vmin")
+    heavy = cards.where(g < brake_g).select(*keys, "lap", "turn", F.lit("heavy_brake").alias("type"), g.alias("a_long_peak_g"), (F.col("s_apex") - F.col("s_brake_onset")).alias("delta_s_to_apex_m"))
+    slow = cards.where(F.col("Ventry") < entry_factor * F.col("Vmin")).select(*keys, "lap", "turn", F.lit("conservative_entry").alias("type"), "Ventry", "Vmin")
     return heavy.unionByName(slow, allowMissingColumns=True)
 
 
@@ -187,14 +191,14 @@ def advice_rank(report: DataFrame, keys: Keys = ()) -> DataFrame:
     return rows.select(*keys, "turn", F.when(F.col("most") > 0, F.col("raw") / F.col("most")).alias("composite"), F.when(F.col("most") > 0, rank).alias("rank"))
 
 
-def heatmap(report: DataFrame, columns: Sequence[str] = ("d_delta_s_iqr", "d_Ventry_iqr", "d_Vmin_iqr", "d_a_long_peak_iqr"), least_coverage: float = 0.6, normalise: bool = True) -> DataFrame:
-    """(turn, metric, value): turns of enough coverage; normalised, over the metric's 95 % point and within 0 to 1."""
-    long = report.select("turn", "coverage", F.explode(F.create_map(*(x for c in columns for x in (F.lit(c), F.col(c))))).alias("metric", "raw"))
+def heatmap(report: DataFrame, columns: Sequence[str] = ("d_delta_s_iqr", "d_Ventry_iqr", "d_Vmin_iqr", "d_a_long_peak_iqr"), least_coverage: float = 0.6, normalise: bool = True, keys: Keys = ()) -> DataFrame:
+    """(keys, turn, metric, value): turns of enough coverage; normalised, over the metric's 95 % point and within 0 to 1."""
+    long = report.select(*keys, "turn", "coverage", F.explode(F.create_map(*(x for c in columns for x in (F.lit(c), F.col(c))))).alias("metric", "raw"))
     long = long.withColumn("value", F.when(F.col("coverage") >= least_coverage, F.col("raw")))
-    top = F.percentile("value", 0.95).over(W.partitionBy("metric"))
+    top = F.percentile("value", 0.95).over(W.partitionBy(*keys, "metric"))
     if normalise:
         long = long.withColumn("top", top).withColumn("value", F.when(F.col("value").isNull(), None).when(F.col("top") > 0, F.greatest(F.least(F.col("value") / F.col("top"), F.lit(1.0)), F.lit(0.0))).otherwise(0.0))
-    return long.select("turn", "metric", "value")
+    return long.select(*keys, "turn", "metric", "value")
 
 
 def heatmap_meta(report: DataFrame, columns: Sequence[str] = ("d_delta_s_iqr", "d_Ventry_iqr", "d_Vmin_iqr", "d_a_long_peak_iqr"), least_coverage: float = 0.6) -> DataFrame:

@@ -51,6 +51,22 @@ def completeness(xy: DataFrame, order: str = "rn", least_rows: int = 100, least_
     return ends.select(*keys, "lap", "samples", "duration", "gap_m", (~F.coalesce(bad, F.lit(False))).alias("keep"))
 
 
+def drop_incomplete(xy: DataFrame, order: str = "rn", keys: Keys = (), **limits: float) -> DataFrame:
+    """Without the laps that completeness() doesn't keep; sessions of a single lap stay whole."""
+    laps = completeness(xy, order, keys=keys, **limits)
+    gone = laps.withColumn("_laps", F.count(F.lit(1)).over(_whole(keys))).where("not keep and _laps > 1").select(*keys, "lap")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"g.{c}")) for c in (*keys, "lap")]
+    return xy.alias("x").join(gone.alias("g"), same, "left_anti")
+
+
+def long_enough(rows: DataFrame, least: int = 10, keys: Keys = ()) -> DataFrame:
+    """Without laps of fewer rows, in sessions of several laps: those that corner cards are made of."""
+    counted = rows.groupBy(*keys, "lap").agg(F.count(F.lit(1)).alias("_rows"))
+    counted = counted.withColumn("_laps", F.count(F.lit(1)).over(_whole(keys))).where((F.col("_rows") >= least) | (F.col("_laps") == 1)).select(*keys, "lap")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"g.{c}")) for c in (*keys, "lap")]
+    return rows.alias("x").join(counted.alias("g"), same, "left_semi")
+
+
 def reference_lap(times: DataFrame, mode: str = "fastest", lap: int | None = None, least_samples: int = 200, keys: Keys = ()) -> DataFrame:
     """(keys, lap, laptime_s, mode): the fastest or median lap of those of good quality, or a given one.
 

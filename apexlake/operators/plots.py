@@ -107,22 +107,3 @@ def whole_issues(top: DataFrame) -> DataFrame:
     """Top issues with all of their columns in one order; absent ones hold 0 or an empty text, others follow."""
     known = [(F.col(f"`{c}`") if c in top.columns else F.lit(empty)).alias(c) for c, empty in ISSUE_COLUMNS.items()]
     return top.select(*known, *(f"`{c}`" for c in top.columns if c not in ISSUE_COLUMNS))
-
-
-def markdown(headers: Sequence[str], rows: Sequence[Sequence[str]]) -> list[str]:
-    """The lines of a Markdown table."""
-    line = lambda cells: f"| {' | '.join(cells)} |"
-    return [line(headers), line(["---"] * len(headers)), *map(line, rows)]
-
-
-def summary(events: DataFrame, turns: DataFrame, top: DataFrame, hottest: int = 10) -> str:
-    """The report on events: counts by type, the ``hottest`` turns, parts of top issues. Rows as many as types, turns shown."""
-    types = [[r.type, str(r.n)] for r in events.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").collect()]
-    hot = turns.orderBy(F.desc("events_count"), "turn").limit(hottest).collect()
-    parts = ("score", *COMPONENTS)
-    best = top.select("turn", *parts).collect()
-    lines = ["# Events Summary", "", "## Table 1: Global Event Type Counts", "", *markdown(["Type", "Count"], types or [["(None)", "0"]]), "", "## Table 2: Top 10 Hotspots by Turn", ""]
-    lines += markdown(["Turn", "Events", "Top Types", "Max Severity"], [[f"T{r.turn}", str(r.events_count), r.top_types or "-", f"{r.max_severity:.2f}"] for r in hot] or [["-", "0", "-", "0.0"]])
-    lines += ["", "## Table 3: Top Issues Component Breakdown", ""]
-    lines += markdown(["Turn", *(p.capitalize() for p in parts)], [[f"T{r.turn}", *(f"{r[p]:.2f}" for p in parts)] for r in best] or [["-", *["0.0"] * len(parts)]])
-    return "\n".join([*lines, ""])

@@ -168,6 +168,32 @@ def comparison(sessions: DataFrame, scores: DataFrame, keys: Keys = ("track",),
     ], keys)
 
 
+#: Headings and tables of the summary of events.
+TYPES = "# Events Summary\n\n## Table 1: Global Event Type Counts\n\n| Type | Count |\n| --- | --- |\n"
+HOTSPOTS = "\n## Table 2: Top 10 Hotspots by Turn\n\n| Turn | Events | Top Types | Max Severity |\n| --- | --- | --- | --- |\n"
+PARTS = "\n## Table 3: Top Issues Component Breakdown\n\n| Turn | Score | Comp_s | Comp_v | Comp_sev | Comp_freq |\n| --- | --- | --- | --- | --- | --- |\n"
+
+
+def event_summary(events: DataFrame, turns: DataFrame, top: DataFrame, sessions: DataFrame, keys: Keys = ("session",), hottest: int = 10) -> DataFrame:
+    """(keys, text): of each session the counts of event types, the ``hottest`` turns and the parts of its top issues.
+
+    turns: as issues.by_turn() gives them; sessions: (keys) of all that get a summary, empty tables where they have no rows.
+    """
+    every = sessions.select(*keys).distinct()
+    without = lambda rows: every.join(rows.select(*keys).distinct(), list(keys), "left_anti")
+    cells = lambda *columns: F.concat(F.lit("| "), *(x for i, c in enumerate(columns) for x in ([F.lit(" | ")] if i else []) + [c]), F.lit(" |\n"))
+    counts = events.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("n"))
+    hot = turns.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("events_count"), "turn"))).where(F.col("place") <= hottest)
+    turn = F.concat(F.lit("T"), _text("turn"))
+    parts = ("score", "comp_s", "comp_v", "comp_sev", "comp_freq")
+    worst = top.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "turn")))
+    return folded([
+        _line(every, keys, 0, F.lit(TYPES)), _line(counts, keys, 1, cells(F.col("type"), _text("n")), -F.col("n"), F.col("type")), _line(without(counts), keys, 1, F.lit("| (None) | 0 |\n")),
+        _line(every, keys, 2, F.lit(HOTSPOTS)), _line(hot, keys, 3, cells(turn, _text("events_count"), F.when(F.coalesce("top_types", F.lit("")) == "", "-").otherwise(F.col("top_types")), _two(F.col("max_severity"))), F.col("place")), _line(without(hot), keys, 3, F.lit("| - | 0 | - | 0.0 |\n")),
+        _line(every, keys, 4, F.lit(PARTS)), _line(worst, keys, 5, cells(turn, *(_two(F.col(c)) for c in parts)), F.col("place")), _line(without(worst), keys, 5, F.lit("| - | 0.0 | 0.0 | 0.0 | 0.0 | 0.0 |\n")),
+    ], keys)
+
+
 def radar(scores: DataFrame, keys: Keys = ("track",), most: int = 8) -> DataFrame:
     """(keys, turn, first_score, last_score, angle): the spokes of the radar chart, turns of both the first and the last session, the lowest ``most``."""
     of = W.partitionBy(*keys)

@@ -167,7 +167,14 @@ def acceleration(rows: DataFrame, steps: DataFrame, sensor: str = "longitudinal_
 DEFAULT = {"q": 0.78, "min_gap_m": 65.0, "prom_mult": 0.6, "merge_gap_m": 45.0}
 #: The grid of the scan, and the orders of the three stages of tuning.
 GRID = {"q": (0.75, 0.78, 0.80), "min_gap_m": (55.0, 65.0, 75.0), "prom_mult": (0.5, 0.6, 0.7), "merge_gap_m": (40.0, 45.0, 55.0)}
-TUNING = [DEFAULT | {"q": q} for q in GRID["q"]] + [DEFAULT | {"min_gap_m": g} for g in GRID["min_gap_m"]] + [DEFAULT | {"prom_mult": p, "merge_gap_m": m} for p in GRID["prom_mult"] for m in GRID["merge_gap_m"]] + [DEFAULT]
+
+
+def tuning(base: dict[str, float]) -> list[dict[str, float]]:
+    """Settings in the order of tuning: the quantile varies, then the gap, then prominence and merge gap; last the base itself."""
+    return [base | {"q": q} for q in GRID["q"]] + [base | {"min_gap_m": g} for g in GRID["min_gap_m"]] + [base | {"prom_mult": p, "merge_gap_m": m} for p in GRID["prom_mult"] for m in GRID["merge_gap_m"]] + [base]
+
+
+TUNING = tuning(DEFAULT)
 _SETTING = "q double, min_gap_m double, prom_mult double, merge_gap_m double"
 #: A top of a profile: place in it (the middle of a flat top), position, height, and the lowest value between it and the top before.
 _STACK = "array<struct<h: double, low: double>>"
@@ -252,13 +259,18 @@ def detected(line: DataFrame, keys: Keys, settings: Sequence[dict[str, float]])
 
 def apexes(line: DataFrame, keys: Keys, **options: float) -> DataFrame:
     """(keys, turn, s_apex, kappa): apexes of each session's profile (s, kappa), numbered from 1 along it."""
-    rows = detected(line, keys, [DEFAULT | options]).select(*keys, F.posexplode("after").alias("turn", "p"))
+    return numbered(detected(line, keys, [DEFAULT | options]), keys)
+
+
+def numbered(found: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, turn, s_apex, kappa) of peaks after the merge."""
+    rows = found.select(*keys, F.posexplode("after").alias("turn", "p"))
     return rows.select(*keys, (F.col("turn") + 1).alias("turn"), F.col("p.s").alias("s_apex"), F.col("p.h").alias("kappa"))
 
 
-def curvature_debug(line: DataFrame, keys: Keys, **options: float) -> DataFrame:
-    """(keys, s, kappa_s, is_peak, peak_s_before_merge, peak_s_after_merge): the profile with its peaks marked."""
-    found = detected(line, keys, [DEFAULT | options])
+def curvature_debug(line: DataFrame, keys: Keys, found: DataFrame | None = None, **options: float) -> DataFrame:
+    """(keys, s, kappa_s, is_peak, peak_s_before_merge, peak_s_after_merge): the profile with its peaks marked, by one setting or as found."""
+    found = detected(line, keys, [DEFAULT | options]) if found is None else found
     marks = found.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.explode("before").alias("_p"), "after")
     marks = marks.select(*(f"_k{n}" for n in range(len(keys))), F.col("_p.i").alias("_i"), F.exists("after", lambda a: a["i"] == F.col("_p.i")).alias("_stays"))
     rows = line.where("kappa is not null and s is not null").withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy("s")) - 1)
@@ -279,15 +291,21 @@ def candidates(scanned: DataFrame, keys: Keys, first: int = 10) -> DataFrame:
     return scanned.where("in_target").withColumn("place", place).where(F.col("place") <= first)
 
 
-def tuned(line: DataFrame, keys: Keys, least: int = 12, most: int = 16) -> DataFrame:
-    """(keys, q, min_gap_m, prom_mult, merge_gap_m, apex_count): the first setting of the three stages within the target.
+def hits(line: DataFrame, keys: Keys, least: int = 12, most: int = 16, **base: float) -> DataFrame:
+    """(keys, setting, before, after): peaks by the first setting of the three stages within the target.
 
-    First the quantile varies, then the gap, then prominence and merge gap; without a hit the default stays.
+    Without a hit the base stays, by default the default setting.
     """
-    rows = detected(line, keys, TUNING).withColumn("n", F.size("after"))
-    hit = F.struct(~F.col("n").between(least, most) & (F.col("stage") < len(TUNING) - 1), F.when(F.col("n").between(least, most), F.col("stage")).otherwise(len(TUNING)))
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct("setting", "n"), hit).alias("b"))
-    return best.select(*keys, *(f"b.setting.{c}" for c in DEFAULT), F.col("b.n").alias("apex_count"))
+    settings = tuning(DEFAULT | base)
+    found = F.size("after").between(least, most)
+    rank = F.when(found, F.col("stage")).when(F.col("stage") == len(settings) - 1, len(settings)).otherwise(len(settings) + 1)
+    best = detected(line, keys, settings).groupBy(*keys).agg(F.min_by(F.struct("setting", "before", "after"), rank).alias("b"))
+    return best.select(*keys, "b.*")
+
+
+def tuned(line: DataFrame, keys: Keys, least: int = 12, most: int = 16) -> DataFrame:
+    """(keys, q, min_gap_m, prom_mult, merge_gap_m, apex_count): the setting of hits()."""
+    return hits(line, keys, least, most).select(*keys, *(f"setting.{c}" for c in DEFAULT), F.size("after").alias("apex_count"))
 
 
 def nearest_points(points: DataFrame, targets: DataFrame, target: str, order: str = "rn", keys: Keys = ()) -> DataFrame:

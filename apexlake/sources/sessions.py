@@ -54,29 +54,37 @@ def _schema(spark: SparkSession, root: str, name: str) -> StructType | None:
 
 
 def save(table: DataFrame, root: str, name: str, session: str, date: str | None = None) -> None:
-    """Writes a session's table; what it held before is kept once, under ``<name>.bak``. Date: today if null.
+    """save_all() of one session's table, which may have no rows; then the session is left without any."""
+    save_all(table.withColumn("session", F.lit(session)), root, name, date, [session])
 
-    A session is a partition of the table, and only that is touched: written beside the table, then moved into its
-    place. Columns new to the table go to its manifest; those it knows keep their type. A table without rows
-    leaves its session without any. The rows may have been read from the very partition.
+
+def save_all(table: DataFrame, root: str, name: str, date: str | None = None, named: Sequence[str] = ()) -> None:
+    """Writes the tables of all sessions in it, by column session, in one job; what these held before is kept once, under ``<name>.bak``.
+
+    A session is a partition of the table, and only partitions of these sessions, and of those named, are touched: written beside the table, then moved
+    into their place. Columns new to the table go to its manifest; those it knows keep their type. The rows may
+    have been read from the very partitions. Date: today if null. Rows of a null session are left out.
     """
     spark = table.sparkSession
     files, schema = _Files(spark, root), _schema(spark, root, name) or StructType()
     known = {f.name: f.dataType for f in schema}
-    rows = table.withColumns({"session": F.lit(session), "date": F.lit(date) if date else F.current_date().cast("string")})
+    rows = table.where("session is not null").withColumns({"session": F.col("session").cast("string"), "date": F.lit(date) if date else F.current_date().cast("string")})
     rows = rows.select(*(F.col(f"`{c}`").cast(known.get(c, t)).alias(c) for c, t in ((f.name, f.dataType) for f in rows.schema)))
+    part = F.concat(F.lit("s-"), "session")
     fresh = f"{root}/{name}.new-{uuid.uuid4().hex}"
-    rows.withColumn("part", F.lit(f"s-{session}")).write.partitionBy("part").parquet(fresh)
+    rows.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(fresh)
     added = [f for f in rows.schema if f.name not in known]
     if added:
         for f in added:
             schema = schema.add(f.name, f.dataType, True)
         save_document(spark, schema.jsonValue(), f"{root}/{name}.schema")
-    own = f"part={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(f's-{session}')}"
-    if files.exists(f"{root}/{name}/{own}"):
-        files.move(f"{root}/{name}/{own}", f"{root}/{name}.bak/{own}")
-    if files.exists(f"{fresh}/{own}"):
-        files.move(f"{fresh}/{own}", f"{root}/{name}/{own}")
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    written = [n for n in files.names(fresh) if n.startswith("part=")]
+    for own in sorted({*written, *(f"part={escaped(f's-{s}')}" for s in named)}):
+        if files.exists(f"{root}/{name}/{own}"):
+            files.move(f"{root}/{name}/{own}", f"{root}/{name}.bak/{own}")
+        if own in written:
+            files.move(f"{fresh}/{own}", f"{root}/{name}/{own}")
     files.delete(fresh)
 
 
@@ -190,6 +198,10 @@ def best_history(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("old_laptime_s is not null").withColumn("improvement", F.col("old_laptime_s") - F.col("laptime_s"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _Files(spark, path).exists(path)
+
+
 def save_document(spark: SparkSession, document: Mapping[str, Any], path: str) -> None:
     """A small JSON document: settings, a benchmark lap, apex parameters."""
     spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.mode("overwrite").text(path)

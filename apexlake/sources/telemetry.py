@@ -53,13 +53,17 @@ def metric_speed(columns: Sequence[str]) -> str | None:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited files with a header as strings: UTF-8, with or without its mark, or else Latin-1; rid is the file's order."""
+    """Delimited files with a header as strings, + file, rid: UTF-8, with or without its mark, or else Latin-1.
+
+    rid orders rows by file name, block of the file and place in it, so a session in several files is in order of their names.
+    """
     read = lambda encoding: spark.read.option("header", True).option("encoding", encoding).option("inferSchema", False).csv(path)
     lines = spark.read.text(path)
     whole = lines.where(~F.is_valid_utf8("value")).isEmpty()
     rows = read("UTF-8" if whole else "ISO-8859-1")
     names = [c.lstrip("﻿").removeprefix("ï»¿") for c in rows.columns]
-    return rows.toDF(*names).withColumn("rid", F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", F.col("_metadata.file_name").alias("file"), place.alias("rid")).toDF(*names, "file", "rid")
 
 
 def canonical(rows: DataFrame, overrides: Mapping[str, str] | None = None, unit: str = "auto", keys: Sequence[str] = (), order: str = "rid") -> DataFrame:

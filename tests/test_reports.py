@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from apexlake.functions import advice
-from apexlake.operators import compare, issues, plots
+from apexlake.operators import compare, issues, plots, reporting
 from apexlake.sources import reports, sessions
 
 
@@ -99,11 +99,13 @@ def test_summary_and_columns(spark):
     events = spark.createDataFrame([("late_brake",), ("late_brake",), ("overslow",)], "type string")
     turns = spark.createDataFrame([(1, 2, "late_brake", 3.456), (2, 5, "", 1.0)], "turn int, events_count int, top_types string, max_severity double")
     top = spark.createDataFrame([(1, 9.876, 1.0, 2.0, 3.0, 0.5)], "turn int, score double, comp_s double, comp_v double, comp_sev double, comp_freq double")
-    lines = plots.summary(events, turns, top).split("\n")
+    one = lambda df: df.withColumn("session", F.lit("s"))
+    known = spark.createDataFrame([("s",), ("t",)], "session string")
+    lines, empty = (r.text for r in reporting.event_summary(one(events), one(turns), one(top), known).orderBy("session").collect())
+    lines = lines.split("\n")
     assert "| late_brake | 2 |" in lines and "| T2 | 5 | - | 1.00 |" in lines and "| T1 | 9.88 | 1.00 | 2.00 | 3.00 | 0.50 |" in lines
-    assert lines.index("| T2 | 5 | - | 1.00 |") < lines.index("| T1 | 2 | late_brake | 3.46 |")
-    empty = plots.summary(events.limit(0), turns.limit(0), top.limit(0))
-    assert "| (None) | 0 |" in empty and "| - | 0 | - | 0.0 |" in empty
+    assert lines.index("| T2 | 5 | - | 1.00 |") < lines.index("| T1 | 2 | late_brake | 3.46 |") and lines.index("| late_brake | 2 |") < lines.index("| overslow | 1 |")
+    assert "| (None) | 0 |" in empty and "| - | 0 | - | 0.0 |" in empty and empty.endswith("| - | 0.0 | 0.0 | 0.0 | 0.0 | 0.0 |\n")
     whole = plots.whole_issues(top.withColumn("extra", F.lit(1)))
     assert whole.columns == [*plots.ISSUE_COLUMNS, "extra"] and whole.first().top_types == ""
     found = spark.createDataFrame([(k, x, issues.FLAGS[k]) for k, x in (("late_brake", 2.5), ("weak_exit", 0.0004), ("overslow", 12345678.5), ("early_brake", 3.0), ("late_brake", None))], "event_id string, severity double, ref_flags string")
