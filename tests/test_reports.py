@@ -111,3 +111,23 @@ def test_summary_and_columns(spark):
     found = spark.createDataFrame([(k, x, issues.FLAGS[k]) for k, x in (("late_brake", 2.5), ("weak_exit", 0.0004), ("overslow", 12345678.5), ("early_brake", 3.0), ("late_brake", None))], "event_id string, severity double, ref_flags string")
     assert [r.payload for r in plots.payload(found).collect()] == ['{"delta_s": "late", "severity": 2.5}', '{"vexit": "lower", "a_long_peak": "weak", "severity": 0.0004}', '{"vmin": "lower", "severity": 12345678.5}', '{"delta_s": "early", "severity": 3.0}', None]
     assert _on(spark, lambda t: advice.signed_text(t.cast("double"), "s"), ["1.239", "-0.5"]) == ["+1.24s", "-0.50s"]
+
+
+def test_blocks_of_advice(spark):
+    texts = {
+        "**A:**\n\nfirst\nline\n\n**B:** \n \n\nsecond **C:**\n\nstill second\n---\nlost\n**D:**\nno empty line\n**E:**\n\nlast": [("A", "first\nline"), ("B", "second **C:**\n\nstill second"), ("E", "last")],
+        "before **F:**\n\ntext\n**bold** words\n**Note: x\nout": [("F", "text\n**bold** words")],
+        "**G:**\n\n**H:**\n\nx": [("G", ""), ("H", "x")],
+        "": [], "no titles\n\n---": [],
+    }
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", reports.blocks(F.col("t")).alias("b")).collect()
+    assert {r.t: [(b.title, b.body.strip()) for b in r.b] for r in got} == texts
+    assert spark.createDataFrame([(None,)], "t string").select(reports.blocks(F.col("t")).alias("b")).first().b is None
+
+
+def test_evaluation_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([("m1", 10, 0.5), ("m1", 20, None), ("m2", 5, 0.25)], "model string, length int, f1 double")
+    reports.save_evaluation(rows, f"file://{tmp_path}/eval", lengths=("length",), scores=("f1",))
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/eval/models").where("model = 'm1'").count() == 2
+    lines = [r.value for r in spark.read.text(f"file://{tmp_path}/eval/summary_markdown").collect()]
+    assert lines[0] == "| model | n | length | f1 |" and "| m1 | 2 | 15.0 | 0.5000 |" in lines and "| m2 | 1 | 5.0 | 0.2500 |" in lines
