@@ -43,7 +43,7 @@ def split_name(name: str, cost: dict[str, float], unknown: float) -> list[str]:
     """The cheapest split of a name into words; an unknown piece costs ``unknown`` and more by its letters."""
     best, back = [0.0], [0]
     for end in range(1, len(name) + 1):
-        choice = min((best[at] + cost.get(name[at:end], unknown + 2.5 * (end - at)), at) for at in range(max(0, end - 24), end))
+        choice = min((best[at] + cost.get(name[at:end], unknown + 2.5 * (end - at)), at) for at in range(end))
         best.append(choice[0])
         back.append(choice[1])
     words, end = [], len(name)
@@ -56,7 +56,7 @@ def split_name(name: str, cost: dict[str, float], unknown: float) -> list[str]:
 def segments(labels: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(label, words): the words of each distinct host label, by a unigram model counted over all of texts."""
     pieces = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("at"))
-    pieces = pieces.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(24), F.length("label") - F.col("at") + 1)), lambda n: F.substring("label", F.col("at"), n))).alias("word"))
+    pieces = pieces.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("label") - F.col("at") + 1), lambda n: F.substring("label", F.col("at"), n))).alias("word"))
     pieces = scratch.save(pieces.distinct())
     wanted = scratch.save(pieces.select("word").distinct())
     words = texts.select(F.explode(F.split(F.lower(F.regexp_replace(F.col("text").cast("string"), "<[^>]*>", " ")), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
