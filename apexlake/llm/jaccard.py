@@ -262,18 +262,19 @@ def join(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
     """One row of each group, that with the smallest doc_id (then text hash; a null doc_id comes last).
 
-    Rows without shingles stay. Of a row repeated exactly one stays; of rows of one doc_id each text is
-    judged for itself.
+    Rows without shingles stay. Of rows equal in doc_id and text one stays, whichever in other columns; of
+    rows of one doc_id each text is judged for itself. Empty table: no rows. Other columns may have any names.
     """
     owned = _grouped(docs, scratch, percent).where("comp is not null")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     keys = owned.groupBy("comp", place.alias("place")).agg(F.count("*").alias("times"))
     firsts = keys.groupBy("comp").agg(F.min("place").alias("first"))
     keys = keys.join(firsts, "comp").where("place <> first or times > 1")
-    keys = scratch.last(keys.select(F.col("place.doc_id").alias("_id"), F.col("place.body").alias("_body"), (F.col("place") == F.col("first")).alias("_first")))
-    same = docs.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs.text.cast("string"), F.lit(""))) == F.col("_body"))
-    out = docs.join(keys, same, "left_anti")
-    repeated = keys.where("_first").select("_id", "_body")
+    keys = scratch.last(keys.select("place.doc_id", "place.body", (F.col("place") == F.col("first")).alias("first")))
+    mine = lambda c: F.col(f"_docs.`{c}`")  # noqa: E731  by side, as docs may have any names
+    same = mine("doc_id").cast("long").eqNullSafe(F.col("_keys.doc_id")) & (F.xxhash64(F.coalesce(mine("text").cast("string"), F.lit(""))) == F.col("_keys.body"))
+    out = docs.alias("_docs").join(keys.alias("_keys"), same, "left_anti")
+    repeated = keys.where("first")
     if repeated.isEmpty():
         return out
-    return out.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.unionByName(docs.alias("_docs").join(repeated.alias("_keys"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
