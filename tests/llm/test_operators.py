@@ -186,9 +186,51 @@ def test_wrapped_licenses(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"
     mit = "Permission is hereby granted, free of charge,\r\nto any person obtaining a copy of this software\r\nand associated documentation files"
     spread = "\n".join(prose(30, i) + " " + w for i, w in enumerate(("all", "rights", "reserved")))
-    texts = [gpl, bsd + "\n \n" + mit, "\n\n".join([prose(40, 3), gpl, "All rights reserved.", prose(40, 4)]), spread, bsd.replace("\n", "\n\n\n")]
+    short = "This work is licensed under the GNU\nGeneral Public License, version 3."
+    narrow = prose(7, 5) + " " + short.replace(" ", "\n") + "\n" + prose(300, 6)
+    texts = [gpl, bsd + "\n \n" + mit, "\n\n".join([prose(40, 3), gpl, "All rights reserved.", prose(40, 4)]), spread, bsd.replace("\n", "\n\n\n"), short, narrow]
     got = {r.doc_id: (r.families, r.n_found, r.n_paragraphs) for r in licenses.scan(docs(spark, texts), Scratch(spark)).collect()}
-    assert got == {0: ("gpl", 1, 1), 1: ("bsd,mit", 2, 2), 2: ("all-rights-reserved,gpl", 2, 4), 3: ("", 0, 1), 4: ("", 0, 3)}
+    assert got == {0: ("gpl", 1, 1), 1: ("bsd,mit", 2, 2), 2: ("all-rights-reserved,gpl", 2, 4), 3: ("", 0, 1), 4: ("", 0, 3), 5: ("gpl", 1, 1), 6: ("gpl", 1, 1)}
+
+
+def test_unknown_licenses(spark):
+    unknown = ["Licensed under the Eclipse Public License 2.0", "Licensed under the Python Software Foundation License.", "SPDX-License-Identifier: Zlib", "Licensed under the Academic Free License, version 3.0.", "This work is licensed under the Open Font License, version 1.1."]
+    got = {r.doc_id: (r.families, r.n_unknown) for r in licenses.scan(docs(spark, unknown), Scratch(spark)).collect()}
+    assert got == {i: ("", 1) for i in range(len(unknown))}
+
+
+def test_licenses_are_those_of_plain_sets(spark):
+    r = random.Random(6)
+    notices = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    texts = []
+    for i in range(120):
+        words = r.choice(notices).split(" ")
+        texts.append(prose(r.randrange(40), i) + r.choice([" ", "\n"]) + "\n".join(w for w in words if r.random() > 0.1 * (i % 5)) + "\n\n" + prose(20, i))
+    weights, intercept, heat = licenses.train()
+    names, tells = [*licenses.TEMPLATES, "unknown"], licenses.telling(licenses.TEMPLATES)
+    import math
+    import re
+
+    def families(text):
+        found = set()
+        for paragraph in re.split(licenses.BLANK, text.lower()):
+            words = [w for w in re.split(licenses.WORD, paragraph) if w]
+            windows = [(words[i : i + 24], False) for i in range(0, max(len(words), 1), 12)] + [(words, True)]
+            for w, wide in windows:
+                grams = licenses._grams(" ".join(w))
+                z = [sum(weights[g][k] for g in grams if g in weights) + intercept[k] for k in range(len(names))]
+                p = 1 / sum(math.exp((x - max(z)) / heat) for x in z)
+                family = names[z.index(max(z))]
+                for template in map(licenses._grams, licenses.TEMPLATES.get(family, ())):
+                    own = tells[family] & template
+                    short = sum(" " not in g for g in template) <= 12
+                    if p >= 0.5 and len(template & grams) >= 0.6 * len(template) and (not own or own & grams) and not (short and wide):
+                        found.add(family)
+        return ",".join(sorted(found))
+
+    got = {x.doc_id: x.families for x in licenses.scan(docs(spark, texts), Scratch(spark)).collect()}
+    want = {i: families(t) for i, t in enumerate(texts)}
+    assert got == want and sum(map(bool, want.values())) > 60
 
 
 def test_license_gate_loses_nothing():
