@@ -267,4 +267,4 @@ from apexlake.plans import reports, signals  # noqa: E402
 
 QUERIES |= signals.QUERIES | reports.QUERIES
 ORACLES |= {name: _w(sql) for name, sql in (signals.ORACLES | reports.ORACLES).items()}
-ORACLES["coaching_report"] = reports.coaching_sql(_D)
+ORACLES |= {"coaching_report": reports.coaching_sql(_D), "event_summaries": reports.summaries_sql(_D)}

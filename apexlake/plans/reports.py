@@ -106,6 +106,28 @@ def _listing(spark: SparkSession, d: str) -> DataFrame:
     return sessions.listing(spark, root)
 
 
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of a lap of an earlier session, out of a store of three."""
+    root, rows = _shared(spark), ordered.kept(cards(spark, d))
+    sessions.save_all(rows.withColumn("session", F.concat(F.lit("s"), F.col("lap") % 3)), root, "corner_cards", "2024-01-01")
+    return rounded(sessions.history(spark, root, "s2", 5))
+
+
+def _summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of the events of three sessions."""
+    key = ("session",)
+    rows, best = _session_cards(spark, d)
+    events = ordered.kept(issues.relative_events(rows, best, key))
+    top = issues.scores(issues.turn_stats(issues.stability(rows, best, key), events, key), key)
+    return reporting.event_summary(events, issues.by_turn(events, key), top, best, key, hottest=5)
+
+
+def _formed(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as advice in other forms, brought into one."""
+    raw = F.concat(F.lit("2. analysis:\nHere the driver is late; Driver has time.\n3. Recommendation :\na. "), F.regexp_extract("text", "^[A-Za-z ]+", 0), F.lit("\n  7. again\nEnd here\nb. no item\n\n\n\n\n4. Implementation: later\nmore\n\nlast"))
+    return _read(spark, d, "conversations").select("conv_id", "turn", advice.one_format(raw).alias("text"))
+
+
 def _benchmark(spark: SparkSession, d: str) -> DataFrame:
     times = laps.lap_times(tel(spark, d)).select(F.col("lap").cast("string").alias("session"), "lap", "laptime_s")
     best = times.where("lap % 4 <> 3").withColumns({"lap": F.col("lap") + 100, "laptime_s": F.col("laptime_s") + (F.col("lap") % 2) - 0.5})
@@ -140,6 +162,15 @@ QUERIES = {
     "eval_means": lambda s, d: reports.means(_matched(s, d).withColumn("score", F.lit(None).cast("double")), "issue", ("generated_len", "reference_len"), ("score",)),
     "best_laps": lambda s, d: rounded(sessions.current_bests(s, _bests(s, d))),
     "best_history": lambda s, d: rounded(sessions.best_history(s, _bests(s, d))),
+    "lap_complete_rows": lambda s, d: laps.drop_incomplete(xy(s, d)).groupBy("lap").agg(F.count("*").alias("n")),
+    "lap_long_rows": lambda s, d: laps.long_enough(xy(s, d), 850).groupBy("lap").agg(F.count("*").alias("n")),
+    "history_cards": _history,
+    "timed_sessions": lambda s, d: rounded(compare.timed(_tracked(s, d)[0].select("track", "session", "laptime_s"))),
+    "event_payloads": lambda s, d: plots.payload(issues.relative_events(_deltas(s, d), 1)),
+    "event_summaries": _summaries,
+    "advice_format": _formed,
+    "track_layout": lambda s, d: plots.layout(laps.arc_length(xy(s, d)).withColumn("s", F.round("s", 4)), s.sql("SELECT CAST(id + 1 AS INT) AS turn, 97e0 + 270e0 * id AS s_apex FROM range(11)"), 3),
+    "trajectory": lambda s, d: plots.trajectory(laps.arc_length(xy(s, d)).withColumn("s", F.round("s", 4)), 4),
     "coaching_report": _coaching,
     "comparison_report": _comparison,
     "radar": lambda s, d: rounded(reporting.radar(_tracked(s, d)[1])),
@@ -218,6 +249,16 @@ def coaching_sql(common: str) -> str:
       FROM (SELECT unnest([0, 1, 2, 9]) AS s) z LEFT JOIN kc ON kc.session = s LEFT JOIN al ON al.session = s"""
 
 
+def summaries_sql(common: str) -> str:
+    """The summaries of events of three sessions."""
+    own = lambda body: " UNION ALL ".join(f"""SELECT {s} AS session, * FROM (WITH {common.replace('FROM lineitem GROUP BY', f'FROM lineitem WHERE l_suppkey % 3 = {s} GROUP BY').replace('lap = 1)', f'lap = {s})').replace('lap <> 1', f'lap <> {s}')} {body}) q{s}""" for s in range(3))
+    row = lambda *cells: "'| ' || " + " || ' | ' || ".join(cells) + f" || ' |' || {_LF}"
+    return f"""WITH a AS ({own('SELECT type, COUNT(*) AS n FROM ev GROUP BY type')}), b AS ({own('SELECT *, row_number() OVER (ORDER BY events_count DESC, turn) AS k FROM byturn')}), c AS ({own('SELECT * FROM sc')}),
+      a1 AS (SELECT session, string_agg({row('type', 'n')}, '' ORDER BY n DESC, type) AS x FROM a GROUP BY session), b1 AS (SELECT session, string_agg({row("'T' || turn", 'events_count', 'top_types', _p2('max_severity'))}, '' ORDER BY k) AS x FROM b WHERE k <= 5 GROUP BY session),
+      c1 AS (SELECT session, string_agg({row("'T' || turn", *(_p2(x) for x in ('score', 'comp_s', 'comp_v', 'comp_sev', 'comp_freq')))}, '' ORDER BY score DESC, turn) AS x FROM c GROUP BY session)
+      SELECT CAST(a1.session AS INT) AS session, {_q(reporting.TYPES)} || a1.x || {_q(reporting.HOTSPOTS)} || b1.x || {_q(reporting.PARTS)} || c1.x AS text FROM a1 JOIN b1 USING (session) JOIN c1 USING (session)"""
+
+
 ORACLES = {
     "text_repair": f""" SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\([^\\x00-\\x7f]+\\)', '', 'g'), ':\\s+:', ':', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS text
       FROM (SELECT conv_id, turn, CASE WHEN text <> '' AND regexp_matches(text, '[^\\x00-\\x7f]') AND NOT regexp_matches(text, '[^\\x{{00}}-\\x{{ff}}]') THEN COALESCE({_LATIN}, text) ELSE text END AS t FROM conversations) z""",
@@ -232,6 +273,16 @@ ORACLES = {
     "best_laps": f", {_BESTS} SELECT track, arg_min(lap, laptime_s) AS lap, ROUND(MIN(laptime_s), 6) AS laptime_s, arg_min(session, laptime_s) AS session, arg_min(date, laptime_s) AS date FROM bl GROUP BY track",
     "best_history": f""", {_BESTS} SELECT * FROM (SELECT track, lap, ROUND(laptime_s, 6) AS laptime_s, session, date, LAG(lap) OVER w AS old_lap, ROUND(LAG(laptime_s) OVER w, 6) AS old_laptime_s,
       LAG(session) OVER w AS old_session, ROUND(LAG(laptime_s) OVER w - laptime_s, 6) AS improvement FROM bl WINDOW w AS (PARTITION BY track ORDER BY date)) z WHERE old_lap IS NOT NULL""",
+    "lap_complete_rows": """, e AS (SELECT lap, COUNT(*) AS n, arg_max(t_s, rn) - arg_min(t_s, rn) AS dur, SQRT((arg_max(x, rn) - arg_min(x, rn)) ** 2 + (arg_max(y, rn) - arg_min(y, rn)) ** 2) AS gap FROM xy GROUP BY lap)
+      SELECT lap, n FROM e WHERE n < 100 OR NOT (dur < 9e-1 * (SELECT median(dur) FROM e WHERE n >= 100 AND dur > 0) OR gap > 4e1)""",
+    "lap_long_rows": " SELECT lap, COUNT(*) AS n FROM xy GROUP BY lap HAVING COUNT(*) >= 850",
+    "history_cards": f" SELECT lap, turn, {', '.join(f'ROUND({c}, 6) AS {c}' for c in ('s_apex', 's_brake_onset', 'Ventry', 'Vmin', 'Vexit', 'a_long_peak'))}, 's2' AS session, '2024-01-01' AS date FROM cards WHERE lap = 5",
+    "timed_sessions": f", {_TRACKED} SELECT track, session, t AS laptime_s FROM sn WHERE t IS NOT NULL",
+    "event_payloads": """ SELECT event_id, replace(ref_flags, '}', ', "severity": ' || CASE WHEN v LIKE '%.' THEN v || '0' ELSE v END || '}') AS payload FROM (SELECT *, rtrim(printf('%.4f', ROUND(severity, 4)), '0') AS v FROM ev) z""",
+    "advice_format": """ SELECT conv_id, turn, 'Analysis:' || chr(10) || 'Here you is late; you has time.' || chr(10) || 'Actionable Recommendations:' || chr(10) || CASE WHEN r = '' THEN 'a. ' ELSE '1. ' || ltrim(r, ' ') END || chr(10) || CASE WHEN r = '' THEN '1' ELSE '2' END || '. again' || chr(10) || 'End here' || chr(10) || 'b. no item' || chr(10) || chr(10) || chr(10) || 'last' AS text
+      FROM (SELECT conv_id, turn, regexp_extract(text, '^[A-Za-z ]+', 0) AS r FROM conversations) z""",
+    "track_layout": f""", {_ARC} SELECT CAST(i + 1 AS INT) AS turn, 97e0 + 270e0 * i AS s_apex, (SELECT arg_min(x, (ABS(s - 97e0 - 270e0 * i), rn)) FROM arc WHERE lap = 3) AS x, (SELECT arg_min(y, (ABS(s - 97e0 - 270e0 * i), rn)) FROM arc WHERE lap = 3) AS y, 'T' || (i + 1) AS label FROM range(11) b(i)""",
+    "trajectory": f""", {_ARC} SELECT arc.lap, CAST(row_number() OVER (PARTITION BY arc.lap ORDER BY s, arc.rn) AS INT) AS place, arc.x, arc.y, v, arc.lap = 4 AS benchmark FROM arc JOIN xy ON xy.lap = arc.lap AND xy.rn = arc.rn""",
     "comparison_report": _COMPARISON,
     "radar": f""", {_TRACKED}, ed AS (SELECT track, MIN(date) AS a, MAX(date) AS b FROM sco GROUP BY track), rd AS (SELECT track, turn, MAX(CASE WHEN date = a THEN c END) AS first_score, MAX(CASE WHEN date = b THEN c END) AS last_score FROM sco JOIN ed USING (track) GROUP BY track, turn),
       rr AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY turn) AS k FROM rd WHERE first_score IS NOT NULL AND last_score IS NOT NULL), r8 AS (SELECT * FROM rr WHERE k <= 8)
