@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,11 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(rows: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the shared folder: read again they are the same rows in the same partitions."""
-    context = rows.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(rows.sparkSession))
-    return rows.checkpoint()
+    """The rows as a table in the shared folder: made once, with a size that joins can go by, and there if executors are lost."""
+    spark, path = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def looked_up(rows: DataFrame, table: DataFrame, keys: Names, how: str = "left") -> DataFrame:

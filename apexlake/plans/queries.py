@@ -120,7 +120,7 @@ QUERIES = {
     "dvdt": _dvdt,
     "speed_units": lambda s, d: tel(s, d).select("event_id", *(F.round(text.to_ms(F.col("v"), u), 6).alias(u) for u in ("ms", "kmh", "mph"))),
     "corner_segment_metrics": _corner,
-    "card_deltas": lambda s, d: _rounded(_deltas(s, d).select("lap", "turn", "delta_s_to_apex_m", *issues.METRICS)),
+    "card_deltas": lambda s, d: _rounded(issues.deltas(ordered.kept(cards(s, d)), BENCHMARK).select("lap", "turn", "delta_s_to_apex_m", *issues.METRICS)),
     "ev_absolute": lambda s, d: _rounded(issues.absolute_events(cards(s, d))),
     "ev_all": lambda s, d: _rounded(_events(s, d)),
     "event_histogram": lambda s, d: _events(s, d).groupBy("type").agg(F.count("*").alias("n")),
