@@ -147,7 +147,8 @@ def search(
     distance to its k-th nearest in the sample bounds that to its k-th nearest of all, and gives
     its Hamming radius: a share ``recall`` of pairs of the sample that far apart lies within it. All codes within
     the radius are looked up, their vectors compared in double precision, and k for each shard kept,
-    none beyond the bound. So a radius too small for a query's neighbours is what can lose one, nothing else.
+    none beyond the bound; the sample's nearest count as found. So a radius too small for a query's neighbours is
+    what can lose one, nothing else, and each query gets k.
 
     Rows take no part whose id is null, or whose vector is null, empty, zero, or holds null or non-finite components, or has
     another length than most. Equal distances go by smaller id. Repeated rows are candidates each; rows with the
@@ -163,13 +164,15 @@ def search(
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, codes = known.value
         for batch in batches:
-            asks, bounds = matrix(batch.column("vec")), np.full(len(batch), np.inf)
+            asks, bounds, near = matrix(batch.column("vec")), np.full(len(batch), np.inf), []
             for i, (own, query) in enumerate(zip(batch.column("id").to_numpy(), asks)):
-                near = distances(codes.sample[ids != own], query)
-                if len(near) >= k:
-                    bounds[i] = np.partition(near, k - 1)[k - 1]
+                others = np.flatnonzero(ids != own)
+                d = distances(codes.sample[others], query)
+                if len(d) >= k:
+                    bounds[i] = np.partition(d, k - 1)[k - 1]
+                near.append([{"vec_id": int(ids[others[j]]), "score": float(d[j])} for j in np.flatnonzero(d <= bounds[i])])
             radius = np.where(np.isinf(bounds), codes.turn.shape[1], codes.radii(np.minimum(bounds, 1e300), recall))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(radius, pa.int32()), pa.array(bounds)], ["id", "vec", "radius", "bound"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(radius, pa.int32()), pa.array(bounds), pa.array(near, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))], ["id", "vec", "radius", "bound", "near"])
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held, index, here = known.value[1], [], None, None
@@ -201,11 +204,15 @@ def search(
 
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
     kind = dict(rows.dtypes)["vec"]
-    asked = scratch.save(asked.mapInArrow(bounded, f"id long, vec {kind}, radius int, bound double"))
+    asked = scratch.save(asked.mapInArrow(bounded, f"id long, vec {kind}, radius int, bound double, near array<struct<vec_id: long, score: double>>"))
     spread = F.pmod(F.xxhash64("id", "vec", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     base = rows.select(spread.alias("shard"), "id", "vec", F.lit(None).cast("int").alias("radius"), F.lit(None).cast("double").alias("bound"))
     visits = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "vec", "radius", "bound")
     dealt = base.unionByName(visits).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("radius").isNotNull())
     found = dealt.mapInArrow(visited, "query_id long, vec_id long, score double")
+    # What the sample knows is found too, whatever the radius; rows of both count once, repeated rows each.
+    both = found.withColumn("own", F.lit(1)).unionByName(asked.select(F.col("id").alias("query_id"), F.inline("near")).withColumn("own", F.lit(0)))
+    both = both.groupBy("query_id", "vec_id", "score").agg(F.sum("own").alias("a"), F.sum(1 - F.col("own")).alias("b"))
+    found = both.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.greatest("a", "b"))).alias("copy"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
