@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, Words, keyed, mix, row_key, slices, strings
 
+#: Words of a run that an item and its match have in common.
+RUN = 3
+
 PAIRS = "doc_id long, item_id long, start long, end long, edits int, item_words int"
 
 
@@ -39,6 +42,14 @@ def edits_of(item: list[int], text: list[int], most: int) -> tuple[int, int] | N
     return (best[0], -best[1]) if best[0] <= most else None
 
 
+def _runs(h: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of RUN words."""
+    out = np.zeros(max(0, len(h) - RUN + 1), np.uint64)
+    for k in range(RUN):
+        out = mix(out + h[k : k + len(out)])
+    return out
+
+
 class Items:
     """The benchmark's items as word hashes, with the tables that windows of documents are looked up in."""
 
@@ -58,6 +69,12 @@ class Items:
         for (_, s), k in zip(self.items, self.most):
             classes[int(np.log(len(s)) / np.log(1.15))].append((len(s) - k, k))
         self.windows = [(min(a for a, _ in c), max(k for _, k in c)) for c in classes.values()]
+        # An edit breaks at most RUN runs of an item, so many of its runs are left in a match of at most so many words.
+        # Each class has its windows' length and the least number of runs left.
+        self.left = [(max(a + 2 * k for a, k in c), min(a + k - RUN + 1 - RUN * k for a, k in c)) for c in classes.values()]
+        self.runs = np.unique(np.concatenate([_runs(s) for _, s in self.items])) if self.items else np.zeros(0, np.uint64)
+        self.likely = np.zeros(1 << 20, bool)
+        self.likely[self.runs >> np.uint64(44)] = True
         # Walks of each item from every word of it, so that edits at its head leave others whole; sampled over
         # windows of eight steps (fewer in short items), sixteen and so on up to the item's size.
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -114,11 +131,20 @@ class Items:
         known[maybe] = self.known[at] == h[maybe]
         other = np.concatenate(([0], np.cumsum(~known, dtype=np.int32)))
         last = np.repeat(words.first[1:], np.diff(words.first))  # end of each word's row
+        runs = _runs(h)
+        maybe = np.flatnonzero(self.likely[runs >> np.uint64(44)])
+        maybe = maybe[np.isin(runs[maybe], self.runs) & (maybe + RUN <= last[maybe])]
+        whole = np.zeros(n + 1, np.int32)
+        whole[maybe + 1] = 1
+        whole = np.cumsum(whole, dtype=np.int32)
         good = np.zeros(n, bool)
-        for size, most in self.windows:
+        for (size, most), (reach, left) in zip(self.windows, self.left):
             m = n - size
             if m >= 0:
-                good[: m + 1] |= (other[size:] - other[: m + 1] <= most) & (np.arange(m + 1) + size <= last[: m + 1])
+                fits = (other[size:] - other[: m + 1] <= most) & (np.arange(m + 1) + size <= last[: m + 1])
+                if left > 0:
+                    fits &= whole[np.minimum(np.arange(m + 1) + max(0, reach - RUN + 1), n)] - whole[: m + 1] >= left
+                good[: m + 1] |= fits
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         most_of = np.array(self.most, np.int64)
         # A walk so far from any good start belongs to no match.
@@ -159,7 +185,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, least_wor
     """Passages of documents that are benchmark items but for a few edits: (doc_id, item_id, start, end, edits, item_words).
 
     Every word of a whole text may start a passage. Starts whose item-sized window has more words
-    that no item has than edits are allowed cannot match and are left out. At the others, CGK walks are
+    that no item has than edits are allowed, or fewer runs of items' words than so many edits leave whole,
+    cannot match and are left out. At the others, CGK walks are
     sampled over windows of eight steps up to an item's size and looked up among walks from every word of
     every item; starts around what is found are tried, and the edit distance in words decides: at most ``error`` times the item's words. The best passage
     of each document and item is returned, words counted from 0. Items are taken to the tasks in blocks of

@@ -57,3 +57,24 @@ def test_rows_of_one_id_are_judged_each(spark):
     bad, good = "x alpha beta gamma delta epsilon zeta eta theta iota kappa y", "nothing of that kind is in here"
     table = spark.createDataFrame([(7, bad, "a"), (7, good, "b"), (None, bad, "c"), (None, good, "d"), (None, None, "e")], "doc_id long, text string, item_id string")
     assert sorted(r.item_id for r in decontaminate.keep_clean(table, bench, Scratch(spark)).collect()) == ["b", "d", "e"]
+
+
+def test_starts_without_runs_of_items_are_left_out_and_lose_nothing():
+    """Words of items in other orders are not walked over; with runs or without them the same passages are found."""
+    made = lambda items: decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items], 0.2, 8, 2, 3, 4)
+    find = lambda text: sorted(index.find(Words(strings(pa.array([text])))))
+    items, walked = [prose(n, 7 * n) for n in (8, 12, 25, 60)], []
+    index = made(items)
+    keys, index.keys = index.keys, lambda h, starts, scales: walked.append(len(starts)) or keys(h, starts, scales)
+    assert find(" ".join(random.Random(1).choices(items[3], k=3000))) == [] and sum(walked) < 300
+    items += [["w1", "w2", "w3"], ["w5", "w6"]]
+    index, r, texts = made(items), random.Random(5), []
+    for item in items * 20:
+        words = item[:]
+        for k in range(int(0.2 * len(item))):
+            at = r.randrange(len(words))
+            words[at : at + r.randrange(2)] = ["x%d" % k] if r.random() < 0.7 else []
+        texts.append(" ".join(prose(30, r.random()) + words + prose(30, r.random())))
+    with_runs = [find(t) for t in texts]
+    index.left = [(size, 0) for size, _ in index.left]
+    assert with_runs == [find(t) for t in texts] and sum(map(len, with_runs)) > 60
