@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import PACKED, Scratch, Words, among, components, join_up, mix, signed, slices, strings
 
-#: Words of 64 bits in a signature, log2 of the counters of frequent shingles, least shingles kept of a set.
-SIGNATURE, COUNTERS, WALKS = 8, 20, 6
+#: Words of 64 bits in a signature (trees fold them to half as many, for shorter conditions), log2 of the counters of frequent shingles, least shingles kept of a set.
+SIGNATURE, COUNTERS, WALKS = 16, 20, 6
 #: Bits of a shingle's hash.
 WIDE = 48
 #: Linked sets share one prefix shingle, and one more for each so many shingles of the smaller set.
 SHARED = 24
 _BITS = [f"b{i}" for i in range(SIGNATURE)]
+_FOLDED = _BITS[: SIGNATURE // 2]
 _SALTS = mix(np.arange(1, WALKS + 1, dtype=np.uint64))
 PROFILE = "doc_id long, body long, cls long, n long, " + ", ".join(f"{b} long" for b in _BITS) + ", least array<long>, shingles array<long>, part int, counts binary"
 
@@ -124,14 +125,30 @@ def _entries(sets: DataFrame, often: np.ndarray, percent: int, scratch: Scratch)
     return scratch.save(sets.select("cls", "shingles").mapInArrow(run, "token long, cls long, n int, spot int"))
 
 
+def possible(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes those whose sizes and bitmaps allow a link, so that few sets must travel."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    signs = among(sets.select("cls", "n", *_BITS), wanted, "cls").groupBy("cls").agg(*(F.any_value(c).alias(c) for c in ("n", *_BITS)))
+    signs = scratch.save(signs)
+    side = lambda s: signs.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", *_BITS)))
+    count = lambda x: sum((x(c) for c in _BITS[1:]), x(_BITS[0]))
+    shared = count(lambda c: F.bit_count(F.col(f"{c}_a").bitwiseAND(F.col(f"{c}_b"))))
+    over = F.least(*(F.col(f"n_{s}") - count(lambda c: F.bit_count(f"{c}_{s}")) for s in "ab"))
+    may = (100 + percent) * F.least(shared + over, "n_a", "n_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    out = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"))
+    scratch.drop(signs)
+    return out
+
+
 def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes those whose sets are similar enough."""
+    pairs = possible(pairs, sets, scratch, percent)
     wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     own = scratch.save(among(sets.select("cls", "shingles"), wanted, "cls").groupBy("cls").agg(F.first("shingles").alias("s")).join(wanted, "cls", "left_semi"), **PACKED)
     both = pairs.join(own.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
     out = scratch.save(both.where((100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))) & (F.col("common") > 0)).select("a", "b"))
-    scratch.drop(wanted, own)
+    scratch.drop(pairs, wanted, own)
     return out
 
 
@@ -143,7 +160,7 @@ def _bound(x: str, y: str, percent: int) -> F.Column:
     shingles before and after the token that both stand below.
     """
     c = lambda side, name: F.col(f"{side}_{name}")
-    shared = sum((F.bit_count(c(x, b).bitwiseAND(c(y, b))) for b in _BITS[1:]), F.bit_count(c(x, "b0").bitwiseAND(c(y, "b0"))))
+    shared = sum((F.bit_count(c(x, b).bitwiseAND(c(y, b))) for b in _FOLDED[1:]), F.bit_count(c(x, "b0").bitwiseAND(c(y, "b0"))))
     overlap = F.least(shared + F.least(c(x, "over"), c(y, "over")), F.least(c(x, "before"), c(y, "before")) + 1 + F.least(c(x, "after"), c(y, "after")))
     sizes = (100 * c(x, "high") >= percent * c(y, "low")) & (100 * c(y, "high") >= percent * c(x, "low"))
     one = (c(x, "first") == c(x, "last")) & (c(y, "first") == c(y, "last")) & (c(x, "first") == c(y, "first"))
@@ -163,13 +180,13 @@ def candidates(entries: DataFrame, percent: int, scratch: Scratch, leaf: int = 1
     rows = entries.withColumn("tree", own).withColumn("place", F.row_number().over(W.partitionBy("token", "tree").orderBy("n", "cls")) - 1)
     at = lambda size: F.shiftleft("tree", 40) + F.floor(F.col("place") / size)
     rows = rows.select(
-        "token", "cls", F.col("n").alias("low"), F.col("n").alias("high"), F.col("comp").alias("first"), F.col("comp").alias("last"), *_BITS,
-        (F.col("n") - sum((F.bit_count(b) for b in _BITS[1:]), F.bit_count("b0"))).alias("over"),
+        "token", "cls", F.col("n").alias("low"), F.col("n").alias("high"), F.col("comp").alias("first"), F.col("comp").alias("last"), *_FOLDED,
+        (F.col("n") - sum((F.bit_count(b) for b in _FOLDED[1:]), F.bit_count("b0"))).alias("over"),
         F.col("spot").cast("long").alias("before"), (F.col("n") - F.col("spot") - 1).alias("after"), at(leaf).alias("leaf"), at(leaf * fan).alias("node"),
     )
     rows = scratch.save(rows)
     merge = lambda df, *by: df.groupBy("token", *by).agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), *(F.bit_or(b).alias(b) for b in _BITS),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), *(F.bit_or(b).alias(b) for b in _FOLDED),
         *(F.max(c).alias(c) for c in ("over", "before", "after")),
     )
     leaves = scratch.save(merge(rows, "leaf", "node"))
@@ -218,17 +235,27 @@ def _grouped(docs: DataFrame, scratch: Scratch, percent: int, leaf: int = 32) ->
 
     entries = _entries(sets, often, percent, scratch)
     live = scratch.save(entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"))
+    # Dealt by token once: what lies together so is counted, and classes met by several tasks made one, in place.
     some = among(entries, live, "token").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-    some = scratch.save(some.groupBy("cls", "token").agg(*(F.first(x).alias(c) for c, x in (("n", "n"), ("spot", "spot"), ("comp", F.coalesce("root", "cls"))))))
-    scratch.drop(entries)
-    mixed = some.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).where("low < high").select("token", "k")
-    below = scratch.save(some.join(mixed, "token"))
-    scratch.drop(some)
+    some = some.select("token", "cls", "n", "spot", F.coalesce("root", "cls").alias("comp")).repartition("token")
+    some = some.groupBy("token", "cls").agg(*(F.any_value(c).alias(c) for c in ("n", "spot", "comp")))
+    together = W.partitionBy("token")
+    below = some.select("*", F.min("comp").over(together).alias("low"), F.max("comp").over(together).alias("high"), F.count("*").over(together).alias("k"))
+    below = scratch.save(below.where("low < high").drop("low", "high"))
+    scratch.drop(entries, live)
     large = scratch.save(below.where(F.col("k") > leaf))
-    classes = among(sets.select("cls", *_BITS), large, "cls").groupBy("cls").agg(*(F.any_value(c).alias(c) for c in _BITS))
+    folded = [F.col(one).bitwiseOR(F.col(two)).alias(one) for one, two in zip(_FOLDED, _BITS[len(_FOLDED) :])]
+    classes = among(sets.select("cls", *folded), large, "cls").groupBy("cls").agg(*(F.any_value(c).alias(c) for c in _FOLDED))
     found = _in_leaf(below.where(F.col("k") <= leaf), percent).unionByName(candidates(large.join(scratch.save(classes), "cls"), percent, scratch, leaf))
-    found = found.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("n").alias("n")).where(F.col("times") > F.floor(F.col("n") / SHARED))
-    more = verified(scratch.save(found.select("a", "b")), sets, scratch, percent)
+    found = scratch.save(found.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("n").alias("n")).where(F.col("times") > F.floor(F.col("n") / SHARED)))
+    # Each class meets first the one it shares most tokens with; what that makes one component is not compared again.
+    both = found.select("a", "b", "times").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "times"))
+    best = both.groupBy("a").agg(F.max(F.struct("times", "b")).alias("p")).select(F.least("a", "p.b").alias("a"), F.greatest("a", "p.b").alias("b")).distinct()
+    links = scratch.save(links.unionByName(verified(scratch.save(best), sets, scratch, percent)))
+    comps = scratch.save(components(links, scratch))
+    root = lambda end: comps.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    rest = found.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    more = verified(scratch.save(rest.select("a", "b")), sets, scratch, percent)
 
     comps = scratch.save(components(links.unionByName(more), scratch))
     owned = profile.where("part is null").select("doc_id", "body", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(comps, F.col("cls") == F.col("node"), "left")
